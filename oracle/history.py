@@ -2,7 +2,7 @@
 from oracle.parts import COST, MEASURES, SUMS, by_class, mult, promised, r, season, whole
 
 _SUM = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in SUMS)
-_YEARLY = f"SELECT year(date) AS year, {MEASURES}, CAST(max(date) - min(date) + 1 AS INTEGER) AS days FROM b_fact GROUP BY 1"
+_YEARLY = f"SELECT CAST(year(date) AS INTEGER) AS year, {MEASURES}, CAST(max(date) - min(date) + 1 AS INTEGER) AS days FROM b_fact GROUP BY 1"
 _SEVERITY = (f"SELECT severity, {MEASURES}, {r('CASE WHEN sum(exposed) > 0 THEN sum(delay_min_sum)/sum(exposed) END', 1)} AS delay_per_exposed_min, "
              f"{r('sum(sla_breaches)/sum(orders)', 4)} AS breach_rate FROM b_fact GROUP BY 1")
 _CAT = "b_fact JOIN part ON p_partkey = l_partkey"

@@ -5,7 +5,7 @@ SQL = {
     "parse_envelope": "SELECT kafka_ts, event_id, type, sim_time, emitted_at, order_id, city_id, route_id FROM b_parsed",
     "reject_reason": "SELECT coalesce(reason, 'valid') AS reason, type, count(*) AS rows FROM b_checked GROUP BY 1, 2",
     "quarantine": """SELECT reason, event_id, type, kafka_ts, CAST(least(1024, CASE WHEN fault = 6 THEN length('not json '||e) ELSE
-        2 + CASE WHEN event_id IS NOT NULL THEN length('"event_id":"",'||event_id) ELSE 0 END + length('"type":"",'||type)
+        CASE WHEN event_id IS NOT NULL THEN length('"event_id":"",'||event_id) ELSE 0 END + length('"type":"",'||type)
         + CASE WHEN fault = 8 THEN length('"sim_time":"not a time",') ELSE length('"sim_time":"2024-01-01T00:00:00.000000Z",') END
         + CASE WHEN fault = 5 THEN length('"emitted_at":"2099-01-01T00:00:00Z",') ELSE length('"emitted_at":"2024-01-01T00:00:00.000000Z",') END
         + CASE WHEN order_id IS NOT NULL THEN length('"order_id":"",'||order_id) ELSE 0 END + CASE WHEN city_id IS NOT NULL THEN length('"city_id":"",'||city_id) ELSE 0 END
@@ -27,6 +27,7 @@ SQL = {
     "stream_watermark": f"SELECT max(window_end) AS last_closed, count(*) AS windows, CAST(sum(events) AS BIGINT) AS events FROM ({_CLOSED})",
     "stream_branches": f"""SELECT 'quarantine' AS branch, count(*) AS rows FROM b_checked WHERE reason IS NOT NULL UNION ALL SELECT 'clean', count(*) FROM b_clean
         UNION ALL SELECT 'metrics', count(*) FROM ({_CLOSED}) UNION ALL SELECT 'raw', count(*) FROM b_checked""",
+    "stream_late_data": """SELECT CAST(count(*) FILTER (reason IS NULL AND emitted_at < (SELECT max(emitted_at) - INTERVAL 30 SECOND FROM b_clean)) AS BIGINT) AS dropped_late, count(*) AS rows FROM b_checked""",
     "progress_digest": """SELECT 'digest' AS name, CAST((SELECT count(*) FROM events) AS BIGINT) AS rows,
         CAST((SELECT count(*) FROM b_checked WHERE reason IS NULL) - (SELECT count(*) FROM b_clean) AS BIGINT) AS dropped_duplicates, 0::BIGINT AS dropped_late""",
     "semi_known_ids": "SELECT city_id, count(*) AS events FROM b_clean WHERE city_id IN (SELECT city_id FROM b_city) GROUP BY 1",

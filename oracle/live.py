@@ -122,6 +122,7 @@ SQL = {
     "replace_predictions": "SELECT route_id, tier, dispatch AS dispatch_hour, orders, score, category, expected_class, p_rain, expected_delay_min, p_breach, 7 AS contributions FROM b_risk",
     "order_risk": "SELECT order_id, score, category, p_breach FROM b_orders o JOIN b_risk p ON p.route_id = o.route_id AND p.tier = o.tier AND p.dispatch = o.planned_dispatch",
     "future_summary": _SUMMARY,
+    "stream_tick": _SUMMARY,
     "risk_timeline": _TIMELINE,
     "timeline_2h": f"""SELECT CAST(step//2 AS BIGINT) AS wave, min(hour) AS hour, CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(high_plus) AS BIGINT) AS high_plus, CAST(sum(sla_breaches) AS BIGINT) AS sla_breaches,
         max(rain_probability) AS rain_probability, {r('CASE WHEN sum(orders) > 0 THEN sum(avg_score*orders)/sum(orders) ELSE 0 END', 2)} AS avg_score FROM ({_TIMELINE}) GROUP BY 1""",

@@ -22,7 +22,7 @@ SQL = {
         UNION SELECT 'product', 'P'||p_partkey, p_name FROM part UNION SELECT 'customer', 'U'||c_custkey, c_name FROM customer""",
     "join_alternative_route": """SELECT a.route_id, a.city_id, a.role, a.distance_km, b.route_id AS alternative_id, b.role AS alternative_role, b.distance_km AS alternative_km
         FROM b_routes a JOIN b_routes b ON a.city_id = b.city_id AND a.route_id <> b.route_id""",
-    "polyline_length_km": f"SELECT route_id AS line_id, {r(f'coalesce(sum({_D}), 0)', 3)} AS km FROM ({_LEGS}) GROUP BY 1",
+    "polyline_length_km": f"SELECT route_id AS line_id, {r(f'coalesce(sum({_D}) FILTER (lat2 IS NOT NULL), 0)', 3)} AS km FROM ({_LEGS}) GROUP BY 1",
     "sample_polyline": f"""SELECT line_id, seg, step, {r(f'CASE WHEN step = 0 THEN lat1 ELSE degrees(atan2({_Z}, sqrt(pow({_X}, 2) + pow({_Y}, 2)))) END', 4)} AS lat,
         {r(f'CASE WHEN step = 0 THEN lon1 ELSE degrees(atan2({_Y}, {_X})) END', 4)} AS lon FROM (
         SELECT line_id, seg, CAST(step AS INTEGER) AS step, lat1, lon1, lat2, lon2, CASE WHEN arc > 0 THEN sin((1 - step/parts)*arc)/sin(arc) END AS a, CASE WHEN arc > 0 THEN sin(step/parts*arc)/sin(arc) END AS b FROM (

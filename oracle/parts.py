@@ -182,7 +182,7 @@ CTES = {
         for c, m in zip(CLASSES, MULTS)) + " FROM b_routes r LEFT JOIN b_wide w USING (route_id)",
     "b_daily": f"SELECT 'C'||(o_custkey%25) AS city_id, CAST(o_orderdate AS DATE) AS date, {r('o_totalprice/4000', 1)} AS rain_mm FROM orders",
     "b_hourly": "SELECT 'C'||(user_id%25) AS city_id, date_trunc('hour', ts) AS hour, max(value)/10 AS mm FROM events GROUP BY 1, 2",
-    "b_clim": f"""SELECT city_id, month(date) AS month, {season('month(date)')} AS season, count(*) AS days, {r('avg(rain_mm)', 2)} AS mean_mm,
+    "b_clim": f"""SELECT city_id, CAST(month(date) AS INTEGER) AS month, {season('month(date)')} AS season, count(*) AS days, {r('avg(rain_mm)', 2)} AS mean_mm,
         {r('quantile_cont(rain_mm, 0.5)', 2)} AS median_mm, {r('quantile_cont(rain_mm, 0.75)', 2)} AS p75_mm, {r('quantile_cont(rain_mm, 0.9)', 2)} AS p90_mm,
         {r('avg(CASE WHEN rain_mm >= 2.5 THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS p_rainy, {r('avg(CASE WHEN rain_mm >= 64.5 THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS p_heavy,
         {r('avg(rain_mm)*30.4::DOUBLE', 1)} AS monthly_total_mm FROM b_daily GROUP BY 1, 2, 3""",

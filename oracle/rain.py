@@ -29,5 +29,5 @@ SQL = {
         FROM (SELECT city_id, CAST(unnest(range(48)) AS INTEGER) AS step FROM b_city)) g LEFT JOIN b_hourly h USING (city_id, hour)))""",
     "src_hourly_rain": f"""SELECT city_id, hour, {r('coalesce(mm, 0)', 4)} AS mm FROM (SELECT city_id, day + to_hours(CAST(h AS INTEGER)) AS hour FROM (SELECT city_id, day, unnest(range(24)) AS h FROM
         (SELECT DISTINCT city_id, date_trunc('day', hour)::TIMESTAMP AS day FROM b_hourly))) LEFT JOIN b_hourly USING (city_id, hour)""",
-    "src_daily_rain": f"SELECT city_id, year(date) AS year, {daily('rain_mm')} AS severity, count(*) AS days, {r('avg(rain_mm)', 2)} AS mean_mm FROM b_daily GROUP BY 1, 2, 3",
+    "src_daily_rain": f"SELECT city_id, CAST(year(date) AS INTEGER) AS year, {daily('rain_mm')} AS severity, count(*) AS days, {r('avg(rain_mm)', 2)} AS mean_mm FROM b_daily GROUP BY 1, 2, 3",
 }

@@ -249,16 +249,18 @@ def expected_route_day(route_rain: DataFrame, routes: DataFrame, cities: DataFra
     `route_rain`: route_id, date, rain_mm, severity. `shares`: category_id, share.
     """
     national = cities.agg(F.sum("demand")).scalar()
-    constants = (routes.join(cities.select("city_id", "demand"), "city_id")
-                 .select("route_id", (F.col("demand") / national * F.col("share")).alias("weight"),
-                         "normal_eta_h", "sensitivity"))
-    normal = F.col("normal_eta_h")
-    days = route_rain.join(constants, "route_id")
-    days = days.withColumn("mean_min", service.weather_delay_h(normal, F.col("sensitivity"), F.col("severity")) * 60)
+    normal, sensitivity = F.col("normal_eta_h"), F.col("sensitivity")
+    # Everything that depends on route and class only is worked out once per
+    # pair, not once per day.
+    pairs = (routes.join(cities.select("city_id", "demand"), "city_id")
+             .withColumn("severity", F.explode(F.array(*map(F.lit, S.RAIN_CLASSES))))
+             .withColumn("mean_min", service.weather_delay_h(normal, sensitivity, F.col("severity")) * 60))
     breach = sum((F.lit(m) * p_over(F.greatest(F.lit(1e-6), (service.promised_h(normal, F.lit(t)) - normal) * 60), F.col("mean_min"))
                   for t, m in zip(S.TIERS, S.TIER_MIX)), F.lit(0.0))
-    days = (days.withColumn("p_weather_breach", breach).withColumn("p_late", p_over(F.lit(30.0), F.col("mean_min")))
-            .withColumn("p_exposed", rain.exposure_probability(F.col("severity"), F.col("rain_mm")))
+    constants = pairs.select("route_id", "severity", "mean_min", (F.col("demand") / national * F.col("share")).alias("weight"),
+                             breach.alias("p_weather_breach"), p_over(F.lit(30.0), F.col("mean_min")).alias("p_late"))
+    days = route_rain.join(constants, ["route_id", "severity"])
+    days = (days.withColumn("p_exposed", rain.exposure_probability(F.col("severity"), F.col("rain_mm")))
             .withColumn("volume", service.expected_orders(F.col("date")) * F.col("weight")))
     mix = shares.agg(F.collect_list(F.struct("category_id", "share"))).scalar()  # one entry per category
     rows = days.withColumn("part", F.explode(mix))

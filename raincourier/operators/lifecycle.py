@@ -32,31 +32,53 @@ def _latest(kind: str, *fields: str) -> Column:
     return F.max(F.when(F.col("type") == kind, F.struct(*columns)))
 
 
-def order_facts(parsed: DataFrame) -> DataFrame:
-    """One row per created order: the latest created, assigned and completed
-    facts. A new creation discards what came before it."""
+def latest_order_events(parsed: DataFrame) -> DataFrame:
+    """Latest created, assigned and completed event per order. All columns are
+    maxima, so partial results of several batches merge by maximum again."""
     created = ("city_id", "route_id", "customer_id", "warehouse_id", "hub_id", "category_id", "tier", "value_inr", "planned_dispatch", "promised_at")
     lines = F.max(F.when(F.col("type") == "ORDER_CREATED", F.struct(F.col("sim_time").alias("at"), "event_id", F.size("p.items").alias("n"))))
-    facts = (parsed.filter(F.col("type").isin(*ORDER_TYPES)).groupBy("order_id").agg(
+    return parsed.filter(F.col("type").isin(*ORDER_TYPES)).groupBy("order_id").agg(
         _latest("ORDER_CREATED", *created).alias("created"), lines.alias("lines"),
         _latest("ORDER_ASSIGNED", "trip_id", "vehicle_id").alias("assigned"),
         _latest("DELIVERY_COMPLETED", "trip_id", "weather_class", "delay_min", "weather_delay_min", "sla_breached").alias("completed"))
-        .filter(F.col("created").isNotNull()))
-    return (facts.withColumn("assigned", F.when(F.col("assigned.at") >= F.col("created.at"), F.col("assigned")))
-            .withColumn("completed", F.when(F.col("completed.at") >= F.col("created.at"), F.col("completed"))))
 
 
-def trip_facts(parsed: DataFrame) -> DataFrame:
-    """One row per trip: the latest dispatch, position, delay and arrival. A
-    dispatch discards earlier reports."""
-    trips = parsed.filter(F.col("type").isin(*TRIP_TYPES)).groupBy(F.col("p.trip_id").alias("trip_id")).agg(
+def settle_orders(latest: DataFrame) -> DataFrame:
+    """Orders that were created; what an order did before its latest creation
+    is discarded."""
+    known = latest.filter(F.col("created").isNotNull())
+    return known.withColumns({fact: F.when(F.col(f"{fact}.at") >= F.col("created.at"), F.col(fact)) for fact in ("assigned", "completed")})
+
+
+def order_facts(parsed: DataFrame) -> DataFrame:
+    return settle_orders(latest_order_events(parsed))
+
+
+def latest_trip_events(parsed: DataFrame) -> DataFrame:
+    """Latest dispatch, position, delay and arrival per trip (all maxima)."""
+    return parsed.filter(F.col("type").isin(*TRIP_TYPES)).groupBy(F.col("p.trip_id").alias("trip_id")).agg(
         F.max("route_id").alias("route_id"), _latest("VEHICLE_DISPATCHED", "vehicle_id", "planned_arrival").alias("dispatched"),
         _latest("VEHICLE_MOVEMENT", "near_city", "progress", "lat", "lon").alias("moved"),
         _latest("DELIVERY_DELAY", "delay_min", "cause").alias("delayed"), _latest("HUB_ARRIVAL", "hub_id").alias("arrived"))
+
+
+def settle_trips(latest: DataFrame) -> DataFrame:
+    """A dispatch discards the reports before it."""
     since = F.coalesce("dispatched.at", F.timestamp_micros(F.lit(0)))
-    for fact in ("moved", "delayed", "arrived"):
-        trips = trips.withColumn(fact, F.when(F.col(f"{fact}.at") >= since, F.col(fact)))
-    return trips
+    return latest.withColumns({fact: F.when(F.col(f"{fact}.at") >= since, F.col(fact)) for fact in ("moved", "delayed", "arrived")})
+
+
+def trip_facts(parsed: DataFrame) -> DataFrame:
+    return settle_trips(latest_trip_events(parsed))
+
+
+def merge_latest(partials: DataFrame, key: str, facts) -> DataFrame:
+    """Merge partial results of several batches into one row per key."""
+    return partials.groupBy(key).agg(*[F.max(fact).alias(fact) for fact in facts])
+
+
+ORDER_FACTS = ("created", "lines", "assigned", "completed")
+TRIP_FACTS = ("route_id", "dispatched", "moved", "delayed", "arrived")
 
 
 def join_trip_members(orders: DataFrame, trips: DataFrame) -> DataFrame:

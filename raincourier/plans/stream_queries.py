@@ -3,6 +3,7 @@ from the orders) read as a stream, run to the end of the available data and
 read back from its sink."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from raincourier.operators import ingest, lifecycle
 from raincourier.plans.catalog import query
@@ -23,7 +24,7 @@ def _run(lake, df, name, mode="append", writer=None) -> DataFrame:
     path = scratch(lake.spark, name)
     query = jobs.start(df, None, (writer or sinks.batch_folder)(path), scratch(lake.spark, f"{name}-checkpoint"), every=None, mode=mode)
     jobs.drain([query])
-    return lake.spark.read.schema(df.schema.add("batch_id", "int")).parquet(path)
+    return lake.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.IntegerType())])).parquet(path)
 
 
 def clean_stream(lake):
@@ -79,18 +80,63 @@ def _log_stream(lake):
 
 @query()
 def stream_order_state(lake):
-    """Order and trip state kept by keyed stream state; the order table it gives."""
-    spark = lake.spark
+    """The order table from the streamed state; equals the batch fold."""
+    state = scratch(lake.spark, "order-state")
+    jobs.drain([jobs.start(_log_stream(lake), None, order_state.delta_writer(state), scratch(lake.spark, "order-state-checkpoint"), every=None)])
+    return order_state.order_view(lake.spark, state, lake.routes)
+
+
+@query()
+def stream_state_ttl(lake):
+    """Trips left in the state store after timers forgot the old ones."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, order_state.ROCKSDB)
+    before = lake.spark.conf.get(provider)
+    lake.spark.conf.set(provider, order_state.ROCKSDB)
     try:
-        log = _log_stream(lake)
-        orders = _run(lake, order_state.order_stream(log, "10 days"), "orders", "update")
-        trips = _run(lake, order_state.trip_stream(log, "10 days"), "trips", "update")
+        changes = _run(lake, order_state.trip_stream(_log_stream(lake)), "trips", "update")
     finally:
-        spark.conf.set(provider, before)
-    return order_state.order_view(orders, trips, lake.routes)
+        lake.spark.conf.set(provider, before)
+    return order_state.current_trips(changes)
+
+
+@query()
+def stream_late_data(lake):
+    """Every event delivered a second time, under a new id, after the stream has
+    moved on: what the watermark drops as late is counted."""
+    spark, folder, checkpoint = lake.spark, scratch(lake.spark, "late"), scratch(lake.spark, "late-checkpoint")
+    events = lake.table("events")
+    dropped = None
+    for again in (False, True):
+        messages = event_messages(events)
+        if again:
+            text = F.replace(F.col("value").cast("string"), F.lit('"event_id":"E'), F.lit('"event_id":"L'))
+            messages = messages.withColumn("value", text.cast("binary"))
+        messages.write.mode("append").parquet(folder)
+        source_ = readers.file_stream(spark, folder, messages.schema)
+        stream = jobs.start(ingest.clean_dedup(jobs.checked(source_, CLOCK)), "late", sinks.batch_folder(scratch(spark, "late-out")), checkpoint, every=None)
+        jobs.drain([stream])
+        dropped = [(p.json,) for p in stream.recentProgress]
+    reports = spark.createDataFrame(dropped, "progress string")
+    return progress.progress_digest(reports).agg(F.sum("dropped_late").alias("dropped_late"), F.sum("rows").alias("rows"))
+
+
+@query()
+def stream_tick(lake):
+    """One tick of the live engine over the streamed log: the outlook it publishes."""
+    from raincourier.operators import impact, scoring
+    from raincourier.sources.tables import COEFS
+    root = scratch(lake.spark, "tick")
+
+    def risk(events):
+        orders = lifecycle.fold_orders(events, lake.routes)
+        return scoring.cohort_risk(orders, lake.routes, lake.hourly_rain(lake.now), lake.route_history, COEFS, lake.now).drop("contributions")
+
+    def views(events, risk_table):
+        return {"future": impact.future_summary(risk_table, lake.now)}
+
+    tick = jobs.Tick(f"{root}/log", f"{root}/views", risk, views)
+    jobs.drain([jobs.start(_log_stream(lake), None, tick, f"{root}/checkpoint", every=None)])
+    return lake.spark.read.parquet(f"{root}/views/future").drop("tick")
 
 
 @query()

@@ -1,134 +1,127 @@
-"""Order and trip state as keyed streams.
+"""Order and trip state kept up to date from the clean event stream.
 
-Both streams keep, per key, the latest event of each kind (by sim_time, then
-event id). Orders are keyed by order id and trips by trip id, so a busy route
-or city is never one key. `order_view` joins the two current tables with the
-batch operators, which makes stream and batch results the same.
+Each micro-batch is reduced, with built-in aggregates only, to the latest event
+of each kind per order and per trip, and stored as that batch's delta. The
+reductions are maxima, so deltas merge by maximum: the order table at any time
+is the merge of the compacted base and the deltas since. A repeated batch
+replaces its own delta. Nothing is keyed by route or city, so a busy one is no
+hot key. Compaction folds deltas into a new base and drops expired keys.
+
+`LatestTrips` is the state-store form for trips, with event-time timers that
+forget a trip on their own.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from raincourier import settings as S
+from raincourier.functions import clock
 from raincourier.operators import lifecycle, merge
-from raincourier.sources.schemas import PAYLOAD
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS = 3_600_000
-FIELDS = ("at", "event_id", "city_id", "route_id", "payload")
 
 
-def _schema(key: str, kinds) -> str:
-    facts = ", ".join(f"{k}_at bigint, {k}_event_id string, {k}_city_id string, {k}_route_id string, {k}_payload string" for k in kinds)
-    return f"{key} string, changed bigint, {facts}, gone boolean"
+def delta_writer(folder: str):
+    """foreachBatch body: latest order and trip events of the batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = lifecycle.with_payload(batch).persist()
+        try:
+            lifecycle.latest_order_events(parsed).write.mode("overwrite").parquet(f"{folder}/orders/batch_id={batch_id}")
+            lifecycle.latest_trip_events(parsed).write.mode("overwrite").parquet(f"{folder}/trips/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
+    return write
+
+
+def read_facts(spark: SparkSession, folder: str):
+    """(orders, trips): merged latest events over base and deltas."""
+    orders = lifecycle.merge_latest(spark.read.parquet(f"{folder}/orders"), "order_id", lifecycle.ORDER_FACTS)
+    trips = lifecycle.merge_latest(spark.read.parquet(f"{folder}/trips"), "trip_id", lifecycle.TRIP_FACTS)
+    return orders, trips
+
+
+def order_view(spark: SparkSession, folder: str, routes: DataFrame) -> DataFrame:
+    """The order table; equals the batch fold of the same events."""
+    orders, trips = read_facts(spark, folder)
+    members = lifecycle.join_trip_members(lifecycle.settle_orders(orders), lifecycle.settle_trips(trips))
+    return lifecycle.order_rows(members, routes)
+
+
+def compact(spark: SparkSession, folder: str, target: str, routes: DataFrame, now) -> None:
+    """Write the merged state, without expired orders, as the base (batch -1) of
+    a new folder that the stream continues in."""
+    orders, trips = read_facts(spark, folder)
+    expired = lifecycle.expire_orders(order_view(spark, folder, routes), now, expired=True)
+    kept = merge.delete_keys(orders, expired, ["order_id"])
+    old = F.col("arrived.at") < clock.plus_hours(clock.moment(now), -float(S.KEEP_DELIVERED_H))
+    kept.write.mode("overwrite").parquet(f"{target}/orders/batch_id=-1")
+    trips.filter(~F.coalesce(old, F.lit(False))).write.mode("overwrite").parquet(f"{target}/trips/batch_id=-1")
+
 
+# ---- state store form ------------------------------------------------------
+FIELDS = ("trip_id", "route_id", "status", "at", "event_id", "arrived_at", "gone")
+STATUS = {"VEHICLE_DISPATCHED": "in_transit", "VEHICLE_MOVEMENT": "in_transit", "DELIVERY_DELAY": "in_transit", "HUB_ARRIVAL": "at_hub"}
 
-class LatestFacts(StatefulProcessor):
-    """Keeps one fact per kind and forgets a key when its business is over."""
 
-    def __init__(self, key: str, kinds: dict, done_kind: str, done_h: float, idle_h: float):
-        self.key, self.kinds, self.done_kind, self.done_h, self.idle_h = key, kinds, done_kind, done_h, idle_h
+class LatestTrips(StatefulProcessor):
+    """Last report of each trip; a trip is forgotten two days after it arrived,
+    or after two days without any report."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        columns = ", ".join(f"{k}_at bigint, {k}_event_id string, {k}_city_id string, {k}_route_id string, {k}_payload string"
-                            for k in self.kinds.values())
-        self.state = handle.getValueState("facts", columns)
-
-    def _columns(self):
-        return [f"{kind}_{field}" for kind in self.kinds.values() for field in FIELDS]
+        self.state = handle.getValueState("trip", "route_id string, status string, at bigint, event_id string, arrived_at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = self._columns()
-        facts = dict(zip(columns, self.state.get())) if self.state.exists() else dict.fromkeys(columns)
-        newest = 0
+        seen = tuple(self.state.get()) if self.state.exists() else (None, None, -1, "", None)
+        before = self._expiry(seen)
         for batch in rows:
-            for event in batch.itertuples(index=False):
-                kind = self.kinds[event.type]
-                seen = (facts[f"{kind}_at"], facts[f"{kind}_event_id"])
-                newest = max(newest, event.at)
-                if seen[0] is None or (event.at, event.event_id) > seen:
-                    for field in FIELDS:
-                        facts[f"{kind}_{field}"] = getattr(event, field)
-        self.state.update(tuple(facts[c] for c in columns))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        done = facts[f"{self.done_kind}_at"]
-        latest = max(facts[f"{k}_at"] for k in self.kinds.values() if facts[f"{k}_at"] is not None)
-        expires = done // 1000 + self.done_h * HOUR_MS if done is not None else latest // 1000 + self.idle_h * HOUR_MS
-        self.handle.registerTimer(int(expires))
-        yield self._row(key, newest, facts, False)
+            arrived = batch.loc[batch["type"] == "HUB_ARRIVAL", "at"]
+            last = batch.sort_values(["at", "event_id"]).iloc[-1]
+            arrived_at = max([t for t in (seen[4], arrived.max() if len(arrived) else None) if t is not None], default=None)
+            newest = (last.route_id, STATUS[last.type], int(last["at"]), last.event_id)
+            if newest[2:] < tuple(seen[2:4]):
+                newest = tuple(seen[:4])
+            seen = (*newest, None if arrived_at is None else int(arrived_at))
+        if seen[4] is not None:
+            seen = (seen[0], "at_hub", *seen[2:])
+        self.state.update(seen)
+        if before is not None and before != self._expiry(seen):
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(self._expiry(seen))
+        yield pd.DataFrame([(key[0], *seen, False)], columns=list(FIELDS)).astype({"arrived_at": "Int64"})
+
+    @staticmethod
+    def _expiry(seen):
+        if seen[2] < 0:
+            return None
+        last = seen[2] if seen[4] is None else seen[4]
+        return last // 1000 + S.KEEP_DELIVERED_H * HOUR_MS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield self._row(key, timerValues.getCurrentWatermarkInMs() * 1000, dict.fromkeys(self._columns()), True)
-
-    def _row(self, key, changed, facts, gone):
-        frame = pd.DataFrame({self.key: [key[0]], "changed": [changed], **{c: [facts[c]] for c in self._columns()}, "gone": [gone]})
-        return frame.astype({f"{k}_at": "Int64" for k in self.kinds.values()})
+        gone_at = timerValues.getCurrentWatermarkInMs() * 1000
+        yield pd.DataFrame([(key[0], None, None, gone_at, "", None, True)], columns=list(FIELDS)).astype({"arrived_at": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-ORDER_KINDS = {"ORDER_CREATED": "created", "ORDER_ASSIGNED": "assigned", "DELIVERY_COMPLETED": "completed"}
-TRIP_KINDS = {"VEHICLE_DISPATCHED": "dispatched", "VEHICLE_MOVEMENT": "moved", "DELIVERY_DELAY": "delayed", "HUB_ARRIVAL": "arrived"}
-# Created or assigned orders wait up to two days for their wave plus six hours.
-ORDER_IDLE_H = 2 * 48 + S.EXPIRE_AFTER_H
-
-
-def _facts(events: DataFrame, key: str, kinds: dict, done_kind: str, idle_h: float, watermark: str) -> DataFrame:
-    rows = events.filter(F.col("type").isin(*kinds)).withWatermark("sim_time", watermark)
-    rows = rows.select(F.col(key), "type", "sim_time", F.unix_micros("sim_time").alias("at"), "event_id", "city_id", "route_id", "payload")
-    processor = LatestFacts(key, kinds, done_kind, S.KEEP_DELIVERED_H, idle_h)
-    return rows.groupBy(key).transformWithStateInPandas(processor, _schema(key, kinds.values()), "Update", "EventTime")
-
-
-def order_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Changes of orders (update mode)."""
-    return _facts(events, "order_id", ORDER_KINDS, "completed", ORDER_IDLE_H, watermark)
-
-
 def trip_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Changes of trips (update mode)."""
-    keyed = events.withColumn("trip_id", F.get_json_object("payload", "$.trip_id"))
-    return _facts(keyed, "trip_id", TRIP_KINDS, "arrived", S.KEEP_DELIVERED_H, watermark)
-
-
-def current(changes: DataFrame, key: str) -> DataFrame:
-    """Latest state per key from the change table (which carries batch_id)."""
-    latest = merge.replace_current(changes, key, "batch_id")
-    return latest.filter(~F.col("gone"))
-
-
-def _struct(kind: str, *fields: str):
-    base = [F.timestamp_micros(f"{kind}_at").alias("at"), F.col(f"{kind}_event_id").alias("event_id")]
-    payload = F.from_json(f"{kind}_payload", PAYLOAD)
-    picked = [F.col(f"{kind}_{f}").alias(f) if f in ("city_id", "route_id") else payload[f].alias(f) for f in fields]
-    return F.when(F.col(f"{kind}_at").isNotNull(), F.struct(*base, *picked)).alias(kind)
-
-
-def order_view(order_changes: DataFrame, trip_changes: DataFrame, routes: DataFrame) -> DataFrame:
-    """The order table from the two change tables; equals the batch fold."""
-    orders = current(order_changes, "order_id").filter(F.col("created_at").isNotNull())
-    facts = orders.select(
-        "order_id",
-        _struct("created", "city_id", "route_id", "customer_id", "warehouse_id", "hub_id", "category_id", "tier", "value_inr",
-                "planned_dispatch", "promised_at"),
-        F.struct(F.size(F.from_json("created_payload", PAYLOAD)["items"]).alias("n")).alias("lines"),
-        _struct("assigned", "trip_id", "vehicle_id"),
-        _struct("completed", "trip_id", "weather_class", "delay_min", "weather_delay_min", "sla_breached"))
-    for fact in ("assigned", "completed"):
-        facts = facts.withColumn(fact, F.when(F.col(f"{fact}.at") >= F.col("created.at"), F.col(fact)))
-    trips = current(trip_changes, "trip_id").select(
-        "trip_id", F.coalesce("dispatched_route_id", "arrived_route_id").alias("route_id"), _struct("dispatched", "vehicle_id", "planned_arrival"),
-        _struct("moved", "near_city", "progress", "lat", "lon"), _struct("delayed", "delay_min", "cause"), _struct("arrived", "hub_id"))
-    since = F.coalesce("dispatched.at", F.timestamp_micros(F.lit(0)))
-    for fact in ("moved", "delayed", "arrived"):
-        trips = trips.withColumn(fact, F.when(F.col(f"{fact}.at") >= since, F.col(fact)))
-    return lifecycle.order_rows(lifecycle.join_trip_members(facts, trips), routes)
+    """Changes of trips (update mode); needs the RocksDB state store provider."""
+    rows = events.filter(F.col("type").isin(*STATUS)).withWatermark("sim_time", watermark)
+    rows = rows.select(F.get_json_object("payload", "$.trip_id").alias("trip_id"), "type", "sim_time", F.unix_micros("sim_time").alias("at"),
+                       "event_id", "route_id")
+    schema = "trip_id string, route_id string, status string, at bigint, event_id string, arrived_at bigint, gone boolean"
+    return rows.groupBy("trip_id").transformWithStateInPandas(LatestTrips(), schema, "Update", "EventTime")
+
+
+def current_trips(changes: DataFrame) -> DataFrame:
+    """Trips in state, from the change table (which carries batch_id)."""
+    latest = merge.replace_current(changes, "trip_id", "batch_id").filter(~F.col("gone"))
+    return latest.select("trip_id", "route_id", "status", F.timestamp_micros("at").alias("last_report"), F.timestamp_micros("arrived_at").alias("arrived_at"))
