@@ -61,7 +61,10 @@ def compact(spark: SparkSession, folder: str, target: str, routes: DataFrame, no
     kept = merge.delete_keys(orders, expired, ["order_id"])
     old = F.col("arrived.at") < clock.plus_hours(clock.moment(now), -float(S.KEEP_DELIVERED_H))
     kept.write.mode("overwrite").parquet(f"{target}/orders/batch_id=-1")
-    trips.filter(~F.coalesce(old, F.lit(False))).write.mode("overwrite").parquet(f"{target}/trips/batch_id=-1")
+    # An old trip stays as long as one of its orders does.
+    needed = kept.select(F.col("assigned.trip_id").alias("trip_id"), F.lit(True).alias("needed")).filter("trip_id IS NOT NULL").distinct()
+    trips = trips.join(needed, "trip_id", "left").filter(F.coalesce("needed", ~old, F.lit(True))).drop("needed")
+    trips.write.mode("overwrite").parquet(f"{target}/trips/batch_id=-1")
 
 
 # ---- state store form ------------------------------------------------------
