@@ -22,7 +22,8 @@ ORDER_TYPES = S.TYPES_WITH_ORDER
 
 
 def with_payload(events: DataFrame) -> DataFrame:
-    return events.withColumn("p", F.from_json("payload", PAYLOAD))
+    """Adds the parsed payload `p`, parsed once per row (see parse_envelope)."""
+    return events.select("*", F.explode(F.array(F.from_json("payload", PAYLOAD))).alias("p"))
 
 
 def _latest(kind: str, *fields: str) -> Column:

@@ -15,8 +15,9 @@ from raincourier import settings as S
 from raincourier.functions import geo
 from raincourier.functions.numeric import clamp, pick, rounded
 
-# Cell edge is 2**-level: level 12 is about 1.5 km, level -2 holds the sphere.
-LEVELS = tuple(range(12, -3, -2))
+# Cell edge is 2**-level: level 20 is about 6 m, so that a dense site area stays
+# split into small cells; level -2 holds the whole sphere.
+LEVELS = tuple(range(20, -3, -2))
 _AROUND = "flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> (i, j, k))))))"
 
 

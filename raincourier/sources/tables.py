@@ -86,16 +86,16 @@ class Lake:
         """The first warehouse of the cities with most warehouses."""
         leading = (self.warehouses.groupBy("city_id").agg(F.count("*").alias("n"), F.min("number").alias("number"))
                    .orderBy(F.desc("n"), "city_id").limit(FULFILMENT_CENTRES))
-        return measured(self.warehouses.join(leading.select("number"), "number", "left_semi").drop("number"))
+        return self.warehouses.join(leading.select("number"), "number", "left_semi").drop("number")
 
     @cached_property
     def hubs(self) -> DataFrame:
         number = F.substring("city_id", 2, 9).cast("int")
         lat, lon = geo.destination_point(F.col("lat"), F.col("lon"), (number * 37 % 360).cast("double"),
                                          (4 + number % 6).cast("double"))
-        return measured(self.cities.select(
+        return self.cities.select(
             F.concat(F.lit("H"), number).alias("hub_id"), F.concat("name", F.lit(" delivery hub")).alias("name"),
-            "city_id", rounded(lat, 4).alias("lat"), rounded(lon, 4).alias("lon")))
+            "city_id", rounded(lat, 4).alias("lat"), rounded(lon, 4).alias("lon"))
 
     @cached_property
     def routes(self) -> DataFrame:
