@@ -28,6 +28,9 @@ SQL = {
     "stream_branches": f"""SELECT 'quarantine' AS branch, count(*) AS rows FROM b_checked WHERE reason IS NOT NULL UNION ALL SELECT 'clean', count(*) FROM b_clean
         UNION ALL SELECT 'metrics', count(*) FROM ({_CLOSED}) UNION ALL SELECT 'raw', count(*) FROM b_checked""",
     "stream_late_data": """SELECT CAST(count(*) FILTER (reason IS NULL AND emitted_at < (SELECT max(emitted_at) - INTERVAL 30 SECOND FROM b_clean)) AS BIGINT) AS dropped_late, count(*) AS rows FROM b_checked""",
+    "stream_dup_counter": "SELECT CAST((SELECT count(*) FROM b_checked WHERE reason IS NULL) - (SELECT count(*) FROM b_clean) AS BIGINT) AS dropped_duplicates",
+    "stream_triggers": "SELECT reason, count(*) AS rows FROM b_checked WHERE reason IS NOT NULL GROUP BY 1",
+    "stream_progress_listener": "SELECT 'listened' AS name, CAST((SELECT count(*) FROM events) AS BIGINT) AS rows, CAST((SELECT count(*) FROM b_checked WHERE reason IS NULL) - (SELECT count(*) FROM b_clean) AS BIGINT) AS dropped_duplicates",
     "progress_digest": """SELECT 'digest' AS name, CAST((SELECT count(*) FROM events) AS BIGINT) AS rows,
         CAST((SELECT count(*) FROM b_checked WHERE reason IS NULL) - (SELECT count(*) FROM b_clean) AS BIGINT) AS dropped_duplicates, 0::BIGINT AS dropped_late""",
     "semi_known_ids": "SELECT city_id, count(*) AS events FROM b_clean WHERE city_id IN (SELECT city_id FROM b_city) GROUP BY 1",

@@ -1,5 +1,5 @@
 """Twins of the rain queries."""
-from oracle.parts import daily, hourly, probs, r, rank
+from oracle.parts import WEIGHTS, daily, expected, hourly, probs, r, rank
 
 _FROM = "TIMESTAMP '2024-01-01'"
 _FC = f"SELECT city_id, at, lead_h, mm, {probs('rk', 'lead_h')} FROM (SELECT city_id, hour AS at, mm, {rank('(' + hourly('mm') + ')')} AS rk, (epoch_us(hour) - epoch_us({_FROM}))/3.6e9 AS lead_h FROM b_hourly)"
@@ -23,6 +23,7 @@ SQL = {
     "join_route_day_rain": "SELECT * FROM b_rr",
     "forecast_probs": f"SELECT city_id, at, lead_h, {', '.join(_P)}, {r('1 - prob_none', 4)} AS p_rain, {r('mm', 1)} AS mmph FROM ({_FC})",
     "scale_rain": f"SELECT city_id, at, scale, {', '.join(_scaled(i) for i in range(4))} FROM (SELECT *, unnest([0.5, 1.0, 1.4, 2.0])::DOUBLE AS scale FROM ({_FC}))",
+    "expected_weight": f"SELECT city_id, at, {r(expected(WEIGHTS), 6)} AS weight FROM ({_FC})",
     "forecast_grid": f"""SELECT city_id, step, hour, {r('1 - prob_none', 4)} AS p_rain, {r('mm', 1)} AS mmph, CASE greatest({', '.join(_P)}) WHEN prob_none THEN 'none' WHEN prob_rain THEN 'rain'
         WHEN prob_heavy THEN 'heavy' ELSE 'extreme' END AS class FROM (SELECT city_id, step, hour, mm, {probs('rk', 'step')} FROM (
         SELECT g.*, coalesce(h.mm, 0) AS mm, {rank('(' + hourly('coalesce(h.mm, 0)') + ')')} AS rk FROM (SELECT city_id, step, TIMESTAMP '2024-01-15 06:00:00' + to_hours(step) AS hour

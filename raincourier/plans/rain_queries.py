@@ -1,7 +1,7 @@
 """Rain queries: history, climatology, forecast."""
 from pyspark.sql import functions as F
 
-from raincourier.functions import clock, rain
+from raincourier.functions import clock, rain, service
 from raincourier.functions.numeric import rounded
 from raincourier.operators import climate
 from raincourier.plans.catalog import query
@@ -77,3 +77,11 @@ def src_daily_rain(lake):
     """Daily readings with their class; the parquet twin of the CSV reader."""
     return climate.weather_history(lake.daily_rain()).groupBy("city_id", F.year("date").alias("year"), "severity").agg(
         F.count("*").alias("days"), rounded(F.avg("rain_mm"), 2).alias("mean_mm"))
+
+
+@query()
+def expected_weight(lake):
+    """Probability-weighted severity of every city-hour on record."""
+    hourly = lake.hourly_rain()
+    out = climate.forecast(hourly.select("city_id", F.col("hour").alias("at")), hourly, "2024-01-01T00:00:00Z")
+    return out.select("city_id", "at", rounded(service.expected_weight({c: F.col(c) for c in rain.PROBABILITIES}), 6).alias("weight"))

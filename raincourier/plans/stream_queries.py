@@ -1,6 +1,8 @@
 """Structured Streaming queries: the events table (or the event log derived
 from the orders) read as a stream, run to the end of the available data and
 read back from its sink."""
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,3 +167,43 @@ def progress_digest(lake):
     reports = lake.spark.createDataFrame([(p.json,) for p in stream.recentProgress], "progress string")
     return progress.progress_digest(reports).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("dropped_duplicates").alias("dropped_duplicates"),
                                                                  F.sum("dropped_late").alias("dropped_late"))
+
+
+@query()
+def stream_dup_counter(lake):
+    """Duplicates the state store dropped, by its own counter."""
+    stream = jobs.start(clean_stream(lake), "duplicates", sinks.batch_folder(scratch(lake.spark, "dup")), scratch(lake.spark, "dup-checkpoint"), every=None)
+    jobs.drain([stream])
+    reports = lake.spark.createDataFrame([(p.json,) for p in stream.recentProgress], "progress string")
+    return progress.progress_digest(reports).agg(F.sum("dropped_duplicates").alias("dropped_duplicates"))
+
+
+@query()
+def stream_triggers(lake):
+    """A branch on a processing-time trigger, stopped once it has caught up."""
+    path = scratch(lake.spark, "triggers")
+    rejected = ingest.quarantine(jobs.checked(source(lake), CLOCK))
+    stream = jobs.start(rejected, "triggers", sinks.batch_folder(path), scratch(lake.spark, "triggers-checkpoint"), every="1 second")
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return lake.spark.read.parquet(path).groupBy("reason").agg(F.count("*").alias("rows"))
+
+
+@query()
+def stream_progress_listener(lake):
+    """What the listener published about one query, digested."""
+    reports: list = []
+    listener = progress.ProgressListener(lambda name, text: reports.append((name, text)))
+    lake.spark.streams.addListener(listener)
+    try:
+        stream = jobs.start(clean_stream(lake), "listened", sinks.batch_folder(scratch(lake.spark, "listened")), scratch(lake.spark, "listened-checkpoint"), every=None)
+        jobs.drain([stream])
+        deadline = time.monotonic() + 60  # reports arrive on the listener thread
+        while str(stream.id) not in listener.terminated and time.monotonic() < deadline:
+            time.sleep(0.1)
+    finally:
+        lake.spark.streams.removeListener(listener)
+    mine = lake.spark.createDataFrame([(text,) for name, text in reports if name == "listened"], "progress string")
+    return progress.progress_digest(mine).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("dropped_duplicates").alias("dropped_duplicates"))
