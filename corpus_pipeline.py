@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourier.llm import decontaminate, mixing, pu_classifier, secrets
+from raincourier.llm import decontaminate, mixing, pu_classifier, secrets, token_groups
 from raincourier.sources.scratch import written
 
 
@@ -16,6 +16,11 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return pu_classifier.keep_good(docs, spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return token_groups.keep_one(docs, width=5, percent=80)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a benchmark item."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
@@ -32,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return mixing.mix_sources(docs)[0]
 
 
-STAGES = [("quality classifier", quality), ("benchmark decontamination", leaks), ("secret scans", redact), ("mixing sources", mix)]
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", leaks), ("secret scans", redact), ("mixing sources", mix)]
 ORACLE_SQL = None
 
 

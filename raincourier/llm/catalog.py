@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raincourier.llm import archives, decontaminate, mixing, pu_classifier, quality_rules, secrets, substring_dedup, url_filter
+from raincourier.llm import archives, decontaminate, maxent_lm, mixing, pu_classifier, quality_rules, secrets, substring_dedup, token_groups, url_filter
 from raincourier.sources.scratch import scratch
 
 
@@ -20,11 +20,19 @@ def op2_substring_dedup(spark, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_jaccard_join(spark, folder: str) -> DataFrame:
+    return token_groups.near_copies(_table(spark, folder, "documents"))
+
+
 def op4_warc(spark, folder: str) -> DataFrame:
     read = archives.pages_to_warc(_table(spark, folder, "pages"), scratch(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm_scoring(spark, folder: str) -> DataFrame:
+    return maxent_lm.score_texts(_table(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -49,7 +57,7 @@ def op10_mixing(spark, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    found = [op1_quality_classifier, op2_substring_dedup, op4_warc, op6_quality_rules, op7_decontamination, op8_secret_scans, op9_url_filters, op10_mixing]
+    found = [op1_quality_classifier, op2_substring_dedup, op3_jaccard_join, op4_warc, op5_lm_scoring, op6_quality_rules, op7_decontamination, op8_secret_scans, op9_url_filters, op10_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from raincourier.sources.scratch import written
 
-PACK_BYTES = 16 << 20
-RANGE_KEYS = 2_000_000
+PACK_BYTES = 6 << 20
+RANGE_KEYS = 1_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -76,9 +76,9 @@ class Pack:
         self.ids, self.texts = batch.column(0), batch.column(1)
         raws = [(t.as_py() or "").encode() for t in self.texts]
         self.raws = raws
-        self.words, starts = word_hashes(b"\n".join(raws), lower)
+        self.words, self.starts = word_hashes(b"\n".join(raws), lower)
         ends = np.cumsum([len(r) + 1 for r in raws])
-        self.bounds = np.concatenate([[0], np.searchsorted(starts, ends)]).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.searchsorted(self.starts, ends)]).astype(np.int64)
 
     @property
     def sizes(self) -> np.ndarray:
@@ -162,14 +162,16 @@ _BACK = pa.schema([("pack", pa.int64()), ("keys", pa.binary()), ("numbers", pa.b
 
 
 def census(packs: DataFrame, of_pack: Callable[[bytes], tuple[np.ndarray, np.ndarray]],
-           decide: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keys_per_byte: float = 0.2) -> DataFrame:
+           decide: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keys_per_byte: float = 0.2,
+           totals: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Answers to the packs: rows (pack, keys, numbers).
 
     `of_pack(body)` gives the sorted distinct keys of a pack and a number for
     each. `decide(keys, numbers, starts)` sees the entries of one key range
     sorted by key, equal keys side by side from `starts` on, and returns a mask
-    of the entries that get an answer and the answers. The number of ranges
-    follows the input, so a group's size does not."""
+    of the entries that get an answer and the answers. `totals`, if given, adds
+    a row of pack -1 per range with its sums. The number of ranges follows the
+    input, so a group's size does not."""
     spark = packs.sparkSession
     total = packs.agg(F.sum("n_bytes")).head()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * keys_per_byte) // RANGE_KEYS, 1)
@@ -194,13 +196,16 @@ def census(packs: DataFrame, of_pack: Callable[[bytes], tuple[np.ndarray, np.nda
         keys, numbers, packs_in = keys[order], numbers[order], packs_in[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         mask, answers = decide(keys, numbers, starts)
+        sums = (-1, b"", narrow(totals(keys, numbers, starts))) if totals else ()
         keys, packs_in = keys[mask], packs_in[mask]
         order = np.argsort(packs_in, kind="stable")
         keys, packs_in, answers = keys[order], packs_in[order], answers[order]
         edges = np.flatnonzero(np.concatenate([[True], packs_in[1:] != packs_in[:-1]])) if len(keys) else np.zeros(0, np.int64)
         ends = np.append(edges[1:], len(keys))
-        return pa.Table.from_arrays([pa.array(packs_in[edges], pa.int64()), pa.array([squeezed(keys[a:b]) for a, b in zip(edges, ends)], pa.binary()),
-                                     pa.array([narrow(answers[a:b]) for a, b in zip(edges, ends)], pa.binary())], schema=_BACK)
+        back = [packs_in[edges].tolist(), [squeezed(keys[a:b]) for a, b in zip(edges, ends)], [narrow(answers[a:b]) for a, b in zip(edges, ends)]]
+        for column, value in zip(back, sums):
+            column.append(value)
+        return pa.Table.from_arrays([pa.array(column, field.type) for column, field in zip(back, _BACK)], schema=_BACK)
 
     sent = packs.select("pack", "body").mapInArrow(send, "key_range long, pack long, keys binary, numbers binary")
     return sent.groupBy("key_range").applyInArrow(meet, "pack long, keys binary, numbers binary")
