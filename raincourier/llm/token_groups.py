@@ -23,7 +23,7 @@ from raincourier.llm.components import components
 from raincourier.llm.packs import Pack, census, find, make_packs, mixed, rolling, with_answers, word_hashes
 from raincourier.sources.scratch import written
 
-WIDTH, PERCENT, GROUP = 4, 85, 32
+WIDTH, PERCENT, GROUP = 4, 85, 64
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("central", pa.float64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary())])
@@ -125,25 +125,41 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _open_groups(proposed: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between queries and the members of the groups proposed to them
-    (node, group). Members of a group travel once per task that asks for it."""
-    blobs = (members.join(nodes.select("node", "body"), "node").groupBy("group").agg(F.collect_list(F.struct("node", "body")).alias("members")))
-    rows = (proposed.join(nodes.select("node", "body"), "node").join(blobs, "group").select("group", "node", "body", "members"))
+def _overlaps(asking: list[np.ndarray], held: list[np.ndarray], percent: int):
+    """(number asking, number held) of linked sets. A set is compared with the
+    held ones, all at once, only if its overlap with their union allows a link."""
+    owner = np.repeat(np.arange(len(held)), [len(s) for s in held])
+    tokens = np.concatenate(held)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = np.array([len(s) for s in held])
+    for k, own in enumerate(asking):
+        left, right = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+        if 100 * np.count_nonzero(right > left) < percent * len(own):
+            continue
+        n = right - left
+        at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(held))
+        for m in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
+            yield k, int(m)
+
+
+def _open_groups(proposed: DataFrame, placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between components (a, b) found in pairs of groups (g, h)."""
+    member = F.struct("comp", "body")
+    blobs = placed.select("node", "comp", "group").join(nodes.select("node", "body"), "node").groupBy("group").agg(F.collect_list(member).alias("members"))
+    left, right = blobs.select(F.col("group").alias("g"), F.col("members").alias("asking")), blobs.select(F.col("group").alias("h"), F.col("members").alias("held"))
+    rows = proposed.join(left, "g").join(right, "h").select("asking", "held")
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out, last = [], None
-            for group, node, body, listed in zip(*[c for c in batch.columns]):
-                if group.as_py() != last:
-                    last = group.as_py()
-                    sets = [(m["node"], shingles(open_(m["body"]))) for m in listed.as_py()]
-                    union = np.unique(np.concatenate([s for _, s in sets]))
-                own = shingles(open_(body.as_py()))
-                need = -(-percent * len(own) // 100)
-                if len(np.intersect1d(own, union, assume_unique=True)) >= need:
-                    out += [(node.as_py(), m) for m, s in sets if linked(own, s, percent)]
+            out = set()
+            for x, y in zip(batch.column(0), batch.column(1)):
+                x, y = x.as_py(), y.as_py()
+                for k, m in _overlaps([shingles(open_(r["body"])) for r in x], [shingles(open_(r["body"])) for r in y], percent):
+                    if x[k]["comp"] != y[m]["comp"]:
+                        out.add((x[k]["comp"], y[m]["comp"]))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return rows.mapInArrow(run, "a long, b long")
@@ -154,30 +170,35 @@ def _similar(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = written(sets.where(F.size("rare") > 0).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "central", "rare", "body")])
                     .withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
     rare = nodes.select("node", "n", "central", F.explode("rare").alias("t"))
-    # 1. Groups of similar documents: everyone meets the most central document among those that share a rare shingle.
+    # 1. Everyone meets the most central document among those that share a rare shingle.
     pivots = (rare.groupBy("t").agg(F.max(F.struct("central", "node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-              .select("t", F.col("p.node").alias("b"), F.col("p.n").alias("m")))
+              .select("t", F.col("p.node").alias("b"), F.col("p.central").alias("weight"), F.col("p.n").alias("m")))
+    met = written(rare.join(pivots, "t").groupBy("node", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("weight").alias("weight")), "shingle-met")
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    stars = rare.join(pivots, "t").where((F.col("node") != F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    stars = met.where((F.col("node") != F.col("b")) & near).select(F.col("node").alias("a"), "b")
     first = written(components(_verify(stars, nodes, percent)), "shingle-components")
-    # 2. Token-group matrix: rare shingles that more than one component has, against groups of bounded size.
-    placed = (nodes.select("node", "n", "rare").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    # 2. Groups of similar documents: parts of one component, or small components around the same central document.
+    hubs = met.groupBy("node").agg(F.max(F.struct("weight", "b")).alias("h")).select("node", F.col("h.b").alias("hub"))
+    placed = nodes.select("node", "n", "rare").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(hubs, "node", "left")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("size"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
-    placed = written(placed.join(sizes, "comp").withColumn("group", F.concat_ws(":", F.col("comp").cast("string"), chunk.cast("string"))), "shingle-groups")
-    rows = placed.select("node", "n", "comp", "size", "group", F.explode("rare").alias("t"))
-    open_t = rows.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("t")
-    rows = written(rows.join(open_t, "t", "left_semi"), "shingle-matrix")
-    matrix = rows.groupBy("t", "group").agg(F.min("comp").alias("g_comp"), F.min("size").alias("g_size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    other = (F.struct("size", "comp") < F.struct(F.col("g_size").alias("size"), F.col("g_comp").alias("comp")))
-    fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    proposed = written(rows.join(matrix.withColumnRenamed("group", "g"), "t").where(other & fits).select("node", F.col("g").alias("group")).distinct(), "shingle-proposed")
-    found = _open_groups(proposed, nodes, placed.select("node", "group"), percent)
-    names = placed.select("node", "comp")
-    across = (found.join(names.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca"), "a").join(names.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb"), "b")
-              .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    merged = components(across).select(F.col("node").alias("old"), F.col("comp").alias("new"))
-    return nodes.select("node", "digest"), names.join(merged, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    placed = placed.join(sizes, "comp").withColumn("base", F.when(F.col("size") >= GROUP, F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(
+        F.concat(F.lit("h"), F.coalesce("hub", "node").cast("string"))))
+    counts = placed.groupBy("base").agg(F.count("*").alias("in_base"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("in_base") / GROUP).cast("long"))
+    placed = written(placed.join(counts, "base").select("node", "n", "rare", "comp", F.concat_ws(":", "base", chunk.cast("string")).alias("group")), "shingle-groups")
+    # 3. Token-group matrix. Pairs of groups that share a rare shingle, fit in size and span components are opened.
+    about = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = placed.select("group", F.explode("rare").alias("t")).distinct()
+    matrix = matrix.join(matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "t", "left_semi").join(about, "group")
+    matrix = written(matrix, "shingle-matrix")
+    other = matrix.select("t", *[F.col(c).alias(f"{c}_h") for c in ("group", "low", "high", "least", "most")])
+    fits = (100 * F.col("most") >= percent * F.col("least_h")) & (100 * F.col("most_h") >= percent * F.col("least"))
+    mixed_pair = ~((F.col("low") == F.col("high_h")) & (F.col("high") == F.col("low_h")))
+    proposed = matrix.join(other, "t").where((F.col("group") < F.col("group_h")) & fits & mixed_pair).select(F.col("group").alias("g"), F.col("group_h").alias("h")).distinct()
+    inside = about.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    proposed = written(proposed.unionAll(inside), "shingle-proposed")
+    merged = components(_open_groups(proposed, placed, nodes, percent).distinct()).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    return nodes.select("node", "digest"), placed.select("node", "comp").join(merged, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
