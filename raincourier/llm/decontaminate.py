@@ -192,14 +192,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
     return out
 
 
+def _clean(shared):
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not (t and matches(t, shared.value)) for t in texts], dtype=bool)
+    return F.pandas_udf(clean, "boolean")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """The rows of documents whose text holds no benchmark item; all columns stay.
     Each row is judged by its own text, so null and repeated ids do no harm."""
     out = docs
     for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(block, rate=rate))
-
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not (t and matches(t, shared.value)) for t in texts], dtype=bool)
-        out = out.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(build_index(block, rate=rate)))(F.col("text")))
     return out
