@@ -4,7 +4,7 @@ A pack is one row that holds some thousand texts as compressed Arrow data. Per
 pack the keys of all its texts are reduced to distinct ones with one number
 each, so that a key shared by any number of texts leaves a pack once. Key ranges
 meet in Spark groups of bounded size, and what they find goes back to the packs
-that asked. Keys travel as differences in sorted order, six bytes each or less."""
+that asked. Keys travel as differences in sorted order, some six bytes each."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from raincourier.sources.scratch import written
 
-PACK_BYTES = 6 << 20
+PACK_BYTES = 3 << 20
 RANGE_KEYS = 1_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _IS_BLANK = np.zeros(256, bool)
@@ -128,20 +128,28 @@ def make_packs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
 
 
 def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences of the fewest bytes that hold all of them."""
+    """Sorted distinct keys as differences of a few bytes each. The width is the
+    cheapest; a difference that needs more stands as 0 and in a list beside."""
     steps = np.diff(keys, prepend=np.uint64(0))
     first, rest = steps[:1], steps[1:]
-    size = max(1, -(-int(rest.max() if len(rest) else 0).bit_length() // 8))
-    return bytes([size]) + first.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+    costs = [k * len(rest) + 8 * np.count_nonzero(rest >> np.uint64(8 * k)) if k < 8 else 8 * len(rest) for k in range(1, 9)]
+    size = 1 + int(np.argmin(costs))
+    wide = rest[(rest >> np.uint64(8 * size)) > 0] if size < 8 else rest[:0]
+    if len(wide):
+        rest = np.where((rest >> np.uint64(8 * size)) > 0, np.uint64(0), rest)
+    return np.array([size, len(wide)], np.uint32).tobytes() + first.tobytes() + wide.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
 def unsqueezed(blob: bytes) -> np.ndarray:
-    size = blob[0]
-    first = np.frombuffer(blob, np.uint64, 1, 1)
-    rest = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, size)
-    wide = np.zeros((len(rest), 8), np.uint8)
-    wide[:, :size] = rest
-    return np.cumsum(np.concatenate([first, wide.view(np.uint64).ravel()]), dtype=np.uint64)
+    size, n_wide = np.frombuffer(blob, np.uint32, 2).tolist()
+    first, wide = np.frombuffer(blob, np.uint64, 1, 8), np.frombuffer(blob, np.uint64, n_wide, 16)
+    narrow_ = np.frombuffer(blob, np.uint8, offset=16 + 8 * n_wide).reshape(-1, size)
+    full = np.zeros((len(narrow_), 8), np.uint8)
+    full[:, :size] = narrow_
+    rest = full.view(np.uint64).ravel()
+    if n_wide:
+        rest[rest == 0] = wide
+    return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
 
 
 def narrow(values: np.ndarray) -> bytes:
