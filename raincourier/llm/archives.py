@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ def arc_from_pages(pages: DataFrame) -> DataFrame:
         digest = hashlib.sha256()
         for page_id, url, raw in held:
             digest.update(f"{page_id} {url} {len(raw)}\n".encode("utf-8", "replace"))
-        name = f"pages-{digest.hexdigest()[:24]}-{k}.arc"
+        name = f"pages-{TaskContext.get().partitionId()}-{k}-{digest.hexdigest()[:16]}.arc"
         return pa.RecordBatch.from_pydict({"name": [name], "content": pa.array([arc_file(name, 1 + k % 2, held)], pa.binary())})
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(build, "name string, content binary")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raincourier.llm import archives, decontaminate, maxent_lm, mixing, pu_classifier, quality_rules, secrets, substring_dedup, token_groups, url_filter
+from raincourier.llm.twins import llm_sql  # noqa: F401
 from raincourier.sources.scratch import scratch
 
 
@@ -59,7 +60,3 @@ def op10_mixing(spark, folder: str) -> DataFrame:
 def llm_queries() -> dict:
     found = [op1_quality_classifier, op2_substring_dedup, op3_jaccard_join, op4_warc, op5_lm_scoring, op6_quality_rules, op7_decontamination, op8_secret_scans, op9_url_filters, op10_mixing]
     return {f.__name__: f for f in found}
-
-
-def llm_sql() -> dict:
-    return {}
