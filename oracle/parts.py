@@ -140,7 +140,7 @@ CTES = {
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "b_wh": """SELECT 'W'||s_suppkey AS warehouse_id, s_name AS name, city_id, lat + (s_suppkey%17)*0.03::DOUBLE AS lat,
         lon + (s_suppkey%23)*0.02::DOUBLE AS lon, s_suppkey AS number FROM supplier JOIN b_city ON num = s_nationkey""",
-    "b_fc": """SELECT w.* FROM b_wh w JOIN (SELECT city_id, count(*) AS n, min(number) AS number FROM b_wh GROUP BY 1 ORDER BY n DESC, city_id LIMIT 10) l
+    "b_fc": """SELECT w.* FROM b_wh w JOIN (SELECT city_id, min(number) AS number FROM b_wh GROUP BY 1) l
         ON l.number = w.number""",
     "b_hub": f"""SELECT 'H'||num AS hub_id, name||' delivery hub' AS name, city_id, {r(_HUB_LAT, 4)} AS lat, {r(_HUB_LON, 4)} AS lon FROM b_city""",
     "b_near": f"""SELECT * FROM (SELECT c.city_id, f.warehouse_id, f.city_id AS origin, {haversine('f.lat', 'f.lon', 'c.lat', 'c.lon')} AS km,

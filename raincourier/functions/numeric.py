@@ -58,3 +58,8 @@ def complementary_error(x: Column) -> Column:
         poly = (poly + coefficient) * t
     tail = poly * F.exp(-x * x)
     return F.when(x >= 0, tail).otherwise(2 - tail)
+
+
+def finite(value: Column) -> Column:
+    """The number, or null where it is NaN or infinite."""
+    return F.when(F.abs(value) < float("inf"), value)

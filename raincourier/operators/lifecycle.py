@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from raincourier import settings as S
 from raincourier.functions import clock, rain, service
-from raincourier.functions.numeric import rounded
+from raincourier.functions.numeric import finite, rounded
 from raincourier.operators.ordered import running_before
 from raincourier.sources.schemas import PAYLOAD
 
@@ -142,15 +142,32 @@ def weather_events(events: DataFrame) -> DataFrame:
     return with_payload(events.filter("type = 'WEATHER_EVENT'")).select("city_id", "sim_time", "event_id", "p.rain_mmph", "p.severity")
 
 
+def creations(parsed: DataFrame) -> DataFrame:
+    """Latest creation per order, with what a delivery is accounted by. A
+    maximum, so those of several batches merge by `latest_creations`."""
+    return parsed.filter("type = 'ORDER_CREATED'").groupBy("order_id").agg(
+        F.max(F.struct("sim_time", "event_id", "route_id", "p.category_id", "p.tier")).alias("o"))
+
+
+def latest_creations(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("order_id").agg(F.max("o").alias("o"))
+
+
+def completions(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("type = 'DELIVERY_COMPLETED'").select(
+        "order_id", "sim_time", F.col("p.weather_class").alias("class"), finite(F.col("p.weather_delay_min")).alias("weather_delay_min"),
+        finite(F.col("p.delay_min")).alias("delay_min"), F.coalesce("p.sla_breached", F.lit(False)).alias("breached"))
+
+
 def delivered_rollup(events: DataFrame) -> DataFrame:
     """Completed deliveries per (day, route, category), ready to be added to
     the history fact. Completions of unknown orders do not count."""
     parsed = with_payload(events)
-    known = (parsed.filter("type = 'ORDER_CREATED'").groupBy("order_id").agg(
-        F.max(F.struct("sim_time", "event_id", "route_id", "p.category_id", "p.tier")).alias("o")))
-    done = parsed.filter("type = 'DELIVERY_COMPLETED'").select(
-        "order_id", "sim_time", F.col("p.weather_class").alias("class"), "p.weather_delay_min", "p.delay_min",
-        F.coalesce("p.sla_breached", F.lit(False)).alias("breached"))
+    return account(completions(parsed), creations(parsed))
+
+
+def account(done: DataFrame, known: DataFrame) -> DataFrame:
+    """Completions joined with their orders' creations, added up per day, route and category."""
     joined = done.join(known, "order_id").filter(F.col("sim_time") >= F.col("o.sim_time"))
     wet, cost = F.col("class") != "none", F.col("weather_delay_min") / 60 * S.COST_PER_DELAY_HOUR
 

@@ -11,14 +11,35 @@ from raincourier.operators import ingest, lifecycle
 from raincourier.plans.catalog import query
 from raincourier.plans.ingest_queries import NOW as CLOCK
 from raincourier.sources import eventlog, readers, sinks
-from raincourier.sources.scratch import scratch
+from raincourier.sources.scratch import scratch, written
 from raincourier.sources.tables import event_messages
 from raincourier.streaming import jobs, order_state, progress
 
 
+MAX_FILES = 8  # part files a trigger takes in
+
+
 def source(lake) -> DataFrame:
     events = lake.table("events")
-    return event_messages(readers.file_stream(lake.spark, lake.folder, events.schema, "events.parquet"))
+    return event_messages(readers.table_stream(lake.spark, f"{lake.folder}/events.parquet", events.schema, MAX_FILES))
+
+
+def _reported(lake, start) -> tuple[DataFrame, str]:
+    """Every progress report of the stream that `start()` begins, as the listener
+    received them, written to a table once the stream has ended."""
+    reports: list = []
+    listener = progress.ProgressListener(lambda name, text: reports.append((name, text)))
+    lake.spark.streams.addListener(listener)
+    try:
+        stream = start()
+        jobs.drain([stream])
+        deadline = time.monotonic() + 60  # reports arrive on the listener thread
+        while str(stream.id) not in listener.terminated and time.monotonic() < deadline:
+            time.sleep(0.1)
+        name = stream.name
+    finally:
+        lake.spark.streams.removeListener(listener)
+    return written(lake.spark.createDataFrame([(text,) for of, text in reports if of == name], "progress string"), f"{name}-progress")
 
 
 def _run(lake, df, name, mode="append", writer=None) -> DataFrame:
@@ -73,11 +94,12 @@ def stream_branches(lake):
 
 
 
-def _log_stream(lake):
+def _log_stream(lake, parts: int | None = None):
+    """The event log as a stream; with `parts`, in time ranges that arrive in batches of their own."""
     path = scratch(lake.spark, "log")
     log = eventlog.lifecycle_events(lake)
-    log.write.parquet(path)
-    return readers.file_stream(lake.spark, path, log.schema)
+    (log.repartitionByRange(parts, "sim_time") if parts else log).write.parquet(path)
+    return readers.file_stream(lake.spark, path, log.schema, max_files=1 if parts else None)
 
 
 @query()
@@ -107,7 +129,6 @@ def stream_late_data(lake):
     moved on: what the watermark drops as late is counted."""
     spark, folder, checkpoint = lake.spark, scratch(lake.spark, "late"), scratch(lake.spark, "late-checkpoint")
     events = lake.table("events")
-    dropped = None
     for again in (False, True):
         messages = event_messages(events)
         if again:
@@ -115,10 +136,7 @@ def stream_late_data(lake):
             messages = messages.withColumn("value", text.cast("binary"))
         messages.write.mode("append").parquet(folder)
         source_ = readers.file_stream(spark, folder, messages.schema)
-        stream = jobs.start(ingest.clean_dedup(jobs.checked(source_, CLOCK)), "late", sinks.batch_folder(scratch(spark, "late-out")), checkpoint, every=None)
-        jobs.drain([stream])
-        dropped = [(p.json,) for p in stream.recentProgress]
-    reports = spark.createDataFrame(dropped, "progress string")
+        reports = _reported(lake, lambda: jobs.start(ingest.clean_dedup(jobs.checked(source_, CLOCK)), "late", sinks.batch_folder(scratch(spark, "late-out")), checkpoint, every=None))
     return progress.progress_digest(reports).agg(F.sum("dropped_late").alias("dropped_late"), F.sum("rows").alias("rows"))
 
 
@@ -143,9 +161,10 @@ def stream_tick(lake):
 
 @query()
 def stream_rollup(lake):
-    """Delivered roll-up added up from per-batch deltas."""
+    """Delivered roll-up over several batches: an order and its delivery mostly
+    arrive in different ones."""
     path = scratch(lake.spark, "rollup")
-    jobs.drain([jobs.start(_log_stream(lake), None, sinks.rollup_folder(path, lifecycle.delivered_rollup), scratch(lake.spark, "rollup-checkpoint"), every=None)])
+    jobs.drain([jobs.start(_log_stream(lake, parts=5), None, sinks.rollup_folder(path), scratch(lake.spark, "rollup-checkpoint"), every=None)])
     return sinks.read_rollup(lake.spark, path)
 
 
@@ -162,9 +181,7 @@ def stream_recovery(lake):
 def progress_digest(lake):
     """Health fields of a finished stream, taken from its progress reports."""
     path = scratch(lake.spark, "digest")
-    stream = jobs.start(clean_stream(lake), "digest", sinks.batch_folder(path), scratch(lake.spark, "digest-checkpoint"), every=None)
-    jobs.drain([stream])
-    reports = lake.spark.createDataFrame([(p.json,) for p in stream.recentProgress], "progress string")
+    reports = _reported(lake, lambda: jobs.start(clean_stream(lake), "digest", sinks.batch_folder(path), scratch(lake.spark, "digest-checkpoint"), every=None))
     return progress.progress_digest(reports).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("dropped_duplicates").alias("dropped_duplicates"),
                                                                  F.sum("dropped_late").alias("dropped_late"))
 
@@ -172,9 +189,7 @@ def progress_digest(lake):
 @query()
 def stream_dup_counter(lake):
     """Duplicates the state store dropped, by its own counter."""
-    stream = jobs.start(clean_stream(lake), "duplicates", sinks.batch_folder(scratch(lake.spark, "dup")), scratch(lake.spark, "dup-checkpoint"), every=None)
-    jobs.drain([stream])
-    reports = lake.spark.createDataFrame([(p.json,) for p in stream.recentProgress], "progress string")
+    reports = _reported(lake, lambda: jobs.start(clean_stream(lake), "duplicates", sinks.batch_folder(scratch(lake.spark, "dup")), scratch(lake.spark, "dup-checkpoint"), every=None))
     return progress.progress_digest(reports).agg(F.sum("dropped_duplicates").alias("dropped_duplicates"))
 
 
@@ -194,16 +209,5 @@ def stream_triggers(lake):
 @query()
 def stream_progress_listener(lake):
     """What the listener published about one query, digested."""
-    reports: list = []
-    listener = progress.ProgressListener(lambda name, text: reports.append((name, text)))
-    lake.spark.streams.addListener(listener)
-    try:
-        stream = jobs.start(clean_stream(lake), "listened", sinks.batch_folder(scratch(lake.spark, "listened")), scratch(lake.spark, "listened-checkpoint"), every=None)
-        jobs.drain([stream])
-        deadline = time.monotonic() + 60  # reports arrive on the listener thread
-        while str(stream.id) not in listener.terminated and time.monotonic() < deadline:
-            time.sleep(0.1)
-    finally:
-        lake.spark.streams.removeListener(listener)
-    mine = lake.spark.createDataFrame([(text,) for name, text in reports if name == "listened"], "progress string")
+    mine = _reported(lake, lambda: jobs.start(clean_stream(lake), "listened", sinks.batch_folder(scratch(lake.spark, "listened")), scratch(lake.spark, "listened-checkpoint"), every=None))
     return progress.progress_digest(mine).groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("dropped_duplicates").alias("dropped_duplicates"))

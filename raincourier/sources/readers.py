@@ -27,6 +27,18 @@ def file_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.pa
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """A parquet table as a stream, be it one file or a folder of part files. A
+    table that is not there raises an error instead of an empty stream."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    if status.isDirectory():
+        return file_stream(spark, path, schema, max_files=max_files)
+    # Without partition discovery, tables that lie beside the file as folders do no harm.
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", path.rpartition("/")[2])
+    return reader.parquet(path.rpartition("/")[0])
+
+
 def read_daily(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Daily rain CSV (city_id, date, rain_mm), gzip allowed; blank readings are
     null. A gzip file is one split, so it is spread out again when asked."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourier.operators import history, merge
+from raincourier.operators import history, lifecycle
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -93,18 +93,35 @@ def materialize_monthly(fact: DataFrame, path: str, months: list | None = None)
     overwrite_partitions(history.mv_monthly(fact).repartition("month"), path, "month")
 
 
-def rollup_folder(path: str, delta: Callable[[DataFrame], DataFrame]) -> Writer:
-    """Incremental roll-up: each batch adds its own delta partition; repeating
-    a batch replaces that delta instead of adding it twice."""
+def rollup_folder(path: str) -> Writer:
+    """Delivered roll-up kept up to date by day. A batch adds its creations and
+    completions to those kept; then the days it touches are added up anew: days
+    it has completions of, and days of earlier completions whose order it
+    announces. So an order and its delivery may come in any batches, and a
+    repeated batch changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        delta(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        parsed = lifecycle.with_payload(batch).persist()
+        try:
+            lifecycle.creations(parsed).write.mode("overwrite").parquet(f"{path}/created/batch_id={batch_id}")
+            done = lifecycle.completions(parsed).withColumn("date", F.to_date("sim_time")).withColumn("batch_id", F.lit(batch_id))
+            overwrite_partitions(done, f"{path}/done", "date", "batch_id")
+        finally:
+            parsed.unpersist()
+        if not exists(spark, f"{path}/done"):
+            return
+        created, done = spark.read.parquet(f"{path}/created"), spark.read.parquet(f"{path}/done")
+        late = done.join(created.filter(F.col("batch_id") == batch_id).select("order_id"), "order_id", "left_semi")
+        touched = done.filter(F.col("batch_id") == batch_id).select("date").unionByName(late.select("date")).distinct()
+        days = [r.date for r in touched.collect()]  # calendar days, few
+        if days:
+            done = done.filter(F.col("date").isin(days)).drop("date", "batch_id")
+            overwrite_partitions(lifecycle.account(done, lifecycle.latest_creations(created)), f"{path}/rollup", "date")
     return write
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    deltas = spark.read.parquet(path)
-    keys = ["date", "route_id", "category_id"]
-    return merge.merge_additive(deltas.limit(0), deltas, keys, list(history.ADDITIVE), "severity")
+    return spark.read.parquet(f"{path}/rollup")
 
 
 def save_scenario(run_id: str, sim_time, window_h: int, levers: dict, current: DataFrame, simulated: DataFrame, folder: str) -> None:

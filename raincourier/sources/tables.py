@@ -26,7 +26,6 @@ NOW = datetime(2024, 1, 15, 6)
 COEFS = (-1.089, -9.163, 8.7489, -4.2773)
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 CATEGORY_SHARE = (0.18, 0.24, 0.22, 0.16, 0.12, 0.08)
-FULFILMENT_CENTRES = 10
 WAVES_H = 108
 ELAPSED_H = 60
 TRIP_BLOCK = 10_000
@@ -83,9 +82,8 @@ class Lake:
 
     @cached_property
     def fulfilment_centres(self) -> DataFrame:
-        """The first warehouse of the cities with most warehouses."""
-        leading = (self.warehouses.groupBy("city_id").agg(F.count("*").alias("n"), F.min("number").alias("number"))
-                   .orderBy(F.desc("n"), "city_id").limit(FULFILMENT_CENTRES))
+        """The first warehouse of every city that has any."""
+        leading = self.warehouses.groupBy("city_id").agg(F.min("number").alias("number"))
         return self.warehouses.join(leading.select("number"), "number", "left_semi").drop("number")
 
     @cached_property

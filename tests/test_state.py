@@ -121,14 +121,36 @@ def test_merges_are_idempotent(spark):
     assert sorted(map(tuple, added.collect())) == [("k", 6, "rain"), ("m", 5, "heavy")]
 
 
-def test_rollup_batch_replayed_counts_once(spark, tmp_path):
-    path = str(tmp_path / "rollup")
-    writer = sinks.rollup_folder(path, lambda df: df)
-    columns = ["date", "route_id", "category_id", *history.ADDITIVE, "severity"]
-    row = spark.createDataFrame([("d", "r", "c", *[1.0] * len(history.ADDITIVE), "rain")], columns)
-    for batch in (0, 0, 1):
-        writer(row, batch)
-    assert sinks.read_rollup(spark, path).first().orders == 2
+def test_rollup_over_batches(spark, tmp_path):
+    """Order and delivery in different batches, in either order; a batch given
+    twice; and NaN in a payload, which counts as absent."""
+    done = {"trip_id": "t", "route_code": "r", "tier": "express", "category_id": "k", "value_inr": 1.0, "weather_class": "rain", "delay_min": 30.0, "weather_delay_min": 12.5, "sla_breached": True}
+    rows = [("ORDER_CREATED", 0, "a", "R1", CREATED), ("ORDER_CREATED", 1, "b", "R1", CREATED), ("DELIVERY_COMPLETED", 30, "a", "R1", done),
+            ("DELIVERY_COMPLETED", 31, "b", "R1", {**done, "weather_delay_min": float("nan")}), ("DELIVERY_COMPLETED", 50, "c", "R1", done), ("ORDER_CREATED", 2, "c", "R1", CREATED)]
+    log = event(spark, rows)
+    writer = sinks.rollup_folder(str(tmp_path / "rollup"))
+    parts = [log.filter(F.col("event_id").isin(*ids)) for ids in (("e0", "e1"), ("e2", "e4"), ("e3",), ("e5",))]
+    for k in (0, 1, 1, 2, 3, 3):
+        writer(parts[k], k)
+    columns = ["date", "route_id", "category_id", "orders", "sla_breaches", "delay_min_sum", "cost_transport"]
+    want = sorted(map(str, lifecycle.delivered_rollup(log).select(columns).collect()))
+    got = sorted(map(str, sinks.read_rollup(spark, str(tmp_path / "rollup")).select(columns).collect()))
+    assert got == want and len(want) == 2 and "None" not in "".join(want) and "nan" not in "".join(want)
+
+
+def test_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    table = spark.range(100).withColumn("v", F.col("id") % 7)
+    table.repartition(5).write.parquet(str(tmp_path / "many.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next(p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-"))
+    (tmp_path / "single.parquet").write_bytes(part.read_bytes())
+    for name in ("many.parquet", "single.parquet"):
+        out = str(tmp_path / f"out-{name}")
+        stream = readers.table_stream(spark, str(tmp_path / name), table.schema, 2)
+        jobs.drain([jobs.start(stream, None, sinks.batch_folder(out), str(tmp_path / f"cp-{name}"), every=None)])
+        assert spark.read.parquet(out).count() == 100
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        readers.table_stream(spark, str(tmp_path / "absent.parquet"), table.schema)
 
 
 def test_impact_levels_conserve_orders(spark):
