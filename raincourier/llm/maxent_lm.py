@@ -27,6 +27,7 @@ SIZE = ROWS * (CLASSES + SLOTS)
 END = np.uint64(0xC0FFEE00000000F0)  # key of the end token; its slot is the first of the last class
 _START = np.uint64(7)
 _LOW = np.uint64(255)
+assert ROWS * CLASSES <= 1 << 16
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                   ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -128,7 +129,7 @@ class Model:
 
 def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """Sum a batch's gradients by row, then scale each by its history."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # row numbers are below 2^16, which numpy sorts by radix
     ranked = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     total = np.add.reduceat(grad[order], starts, axis=0) / np.float32(np.sqrt(BATCH))
