@@ -50,7 +50,7 @@ def window_entropy(token: Column, width: int = WINDOW) -> Column:
     def count(text: Column, char: Column) -> Column:
         return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(acc: Column, char: Column) -> Column:
         def entered(char: Column) -> Column:
             n = count(acc["win"], char)
             return F.struct(F.concat(acc["win"], char).alias("win"), (acc["sum"] + _term(n + 1) - _term(n)).alias("sum"))
@@ -64,10 +64,10 @@ def window_entropy(token: Column, width: int = WINDOW) -> Column:
         def rated(s: Column) -> Column:
             bits = F.lit(math.log2(width)) - s["sum"] / width
             return F.struct(s["win"].alias("win"), s["sum"].alias("sum"), F.when(F.length(s["win"]) == width, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
-        return let(let(let(token.substr(i, F.lit(1)), entered), left), rated)
+        return let(let(entered(char), left), rated)
 
     zero = F.struct(F.lit("").alias("win"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), zero, step)["best"]
+    return F.aggregate(F.split(token, ""), zero, step)["best"]
 
 
 def _random(token: Column) -> Column:
