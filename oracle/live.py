@@ -3,13 +3,13 @@ from oracle.parts import (FAILS, MULTS, NOW, WEIGHTS, by_class, breach, category
 
 _RISK = "route_id, tier, dispatch, city_id, warehouse_id, orders, score, category, expected_class, p_rain, expected_delay_min, p_breach"
 _DETAIL = {
-    "rainfall": ("Rainfall severity", 30, f"expected_class||' rain expected on the trip ('||{whole('p_rain_max*100')}||'% chance of rain)'"),
-    "route_history": ("Historical route impact", 20, f"code||' historically runs '||{whole('wet_ratio*100')}||'% slower in '||wet_class||' rain'"),
-    "exposure": ("Route exposure", 15, f"{whole('exposed_share*100')}||'% of the '||hours||' h trip under likely rain'"),
-    "load": ("Warehouse load", 10, f"{whole('load_share*100')}||'% of this warehouse''s upcoming orders are weather-exposed'"),
-    "timing": ("Delivery timing", 8, "'arrives around '||lpad(CAST(CAST(floor(arrival) AS INTEGER) AS VARCHAR), 2, '0')||':00 IST'||CASE WHEN evening THEN ' (evening last mile)' ELSE '' END"),
-    "sla": ("SLA tightness", 12, f"'expected delay '||{whole('delay_h*60')}||' min against '||{whole('slack_h*60')}||' min of SLA slack'"),
-    "performance": ("Route on-time history", 5, f"{whole('none_on_time*100')}||'% on time in dry weather'"),
+    "rainfall": ("Rainfall severity", 30, f"'forecast on the way: '||expected_class||', odds of rain '||{whole('p_rain_max*100')}||'%'"),
+    "route_history": ("Historical route impact", 20, f"'past delay on '||code||' in class '||wet_class||': +'||{whole('wet_ratio*100')}||'% of travel time'"),
+    "exposure": ("Route exposure", 15, f"'wet hours: '||{whole('exposed_share*100')}||'% of '||hours"),
+    "load": ("Warehouse load", 10, f"'exposed orders of the warehouse: '||{whole('load_share*100')}||'%'"),
+    "timing": ("Delivery timing", 8, "'local arrival hour '||lpad(CAST(CAST(floor(arrival) AS INTEGER) AS VARCHAR), 2, '0')||CASE WHEN evening THEN ', after dark' ELSE '' END"),
+    "sla": ("SLA tightness", 12, f"'minutes late / to spare: '||{whole('delay_h*60')}||' / '||{whole('slack_h*60')}"),
+    "performance": ("Route on-time history", 5, f"'on time when dry: '||{whole('none_on_time*100')}||'%'"),
 }
 _PARTS = " UNION ALL ".join(
     f"SELECT route_id, tier, dispatch, {i} AS ord, '{k}' AS key, '{label}' AS label, {r(f'raw_{k}', 1)} AS points, {cap} AS cap, {detail} AS detail FROM b_raw"
@@ -47,12 +47,12 @@ _KPI = f"""SELECT d.total_orders, m.in_transit, m.weather_exposed, m.affected_no
     (SELECT coalesce(sum(orders) FILTER (dispatch <= {NOW} + INTERVAL 24 HOUR AND p_breach >= 0.5), 0) AS at_risk FROM b_risk) k,
     (SELECT string_agg(city_id, ',' ORDER BY city_id) AS wet_cities FROM b_weather WHERE severity <> 'none') wc"""
 _TOP3 = "SELECT * FROM b_ri ORDER BY avg_delay_min DESC, route_id LIMIT 3"
-_ALERTS = f"""SELECT 'high' AS level, '/future?window=12' AS link, format('{{:,}}', heavy_exposed)||' deliveries dispatching in the next 12 h are exposed to heavy rainfall.' AS text
+_ALERTS = f"""SELECT 'high' AS level, 'network' AS kind, CAST(NULL AS VARCHAR) AS id, CAST(12 AS INTEGER) AS window_h, 'Heavy rain threatens orders leaving within 12 h: '||format('{{:,}}', heavy_exposed) AS text
       FROM ({_SUMMARY}) WHERE horizon_h = 12 AND heavy_exposed > 0
-    UNION ALL SELECT 'high', '/map?sel=route:'||(SELECT route_id FROM b_ri ORDER BY delayed_trips DESC, in_transit DESC, route_id DESC LIMIT 1), delayed_trips||' trucks on the road are running late because of rain.' FROM ({_KPI}) WHERE delayed_trips > 0
-    UNION ALL SELECT 'medium', '/map?sel=route:'||first(route_id ORDER BY avg_delay_min DESC, route_id), 'Highest expected delay: '||string_agg(code||' (+'||{whole('avg_delay_min')}||' min)', ', ' ORDER BY avg_delay_min DESC, route_id)||'.' FROM ({_TOP3}) WHERE avg_delay_min >= 15 HAVING count(*) > 0
-    UNION ALL (SELECT 'medium', '/future?window=24&route='||route_id, sla_risk||' orders on '||code||' may breach their SLA.' FROM (SELECT * FROM b_ri ORDER BY sla_risk DESC, route_id LIMIT 2) WHERE sla_risk >= 5)
-    UNION ALL SELECT 'info', '/map?sel=warehouse:'||id, name||' handles '||{whole('exposed/total*100')}||'% of weather-exposed deliveries in the next 12 h.' FROM
+    UNION ALL SELECT 'high', 'route', (SELECT route_id FROM b_ri ORDER BY delayed_trips DESC, in_transit DESC, route_id DESC LIMIT 1), NULL, 'Trips held up by rain: '||delayed_trips FROM ({_KPI}) WHERE delayed_trips > 0
+    UNION ALL SELECT 'medium', 'route', first(route_id ORDER BY avg_delay_min DESC, route_id), NULL, 'Slowest routes: '||string_agg(code||' '||{whole('avg_delay_min')}||' min', '; ' ORDER BY avg_delay_min DESC, route_id) FROM ({_TOP3}) WHERE avg_delay_min >= 15 HAVING count(*) > 0
+    UNION ALL (SELECT 'medium', 'route', route_id, 24, 'Promises at risk on '||code||': '||sla_risk FROM (SELECT * FROM b_ri ORDER BY sla_risk DESC, route_id LIMIT 2) WHERE sla_risk >= 5)
+    UNION ALL SELECT 'info', 'warehouse', id, 12, 'Largest share of exposed orders: '||name||', '||{whole('exposed/total*100')}||'%' FROM
       (SELECT * FROM (SELECT id, exposed, sum(exposed) OVER () AS total FROM b_roll WHERE level = 'warehouse') ORDER BY exposed DESC, id LIMIT 1) JOIN b_wh ON warehouse_id = id WHERE total > 0 AND exposed/total >= 0.25"""
 
 

@@ -70,8 +70,8 @@ def filter_monsoon(fact: DataFrame) -> DataFrame:
 def filter_last_12_months(selected: DataFrame, whole_history: DataFrame) -> DataFrame:
     """Rows of the twelve months up to the latest month of the whole history
     (not just of the selection)."""
-    after = whole_history.agg(F.add_months(F.trunc(F.max(_day(whole_history)), "month"), -12)).scalar()
-    return selected.filter(F.trunc(_day(selected), "month") > after)
+    first = whole_history.agg(F.add_months(F.trunc(F.max(_day(whole_history)), "month"), -11)).scalar()
+    return selected.filter(_day(selected) >= first)
 
 
 # ---- breakdowns ------------------------------------------------------------

@@ -1,29 +1,28 @@
 """Running values over a global order without a single-task window.
 
-Rows are split into key ranges of similar size; per-range totals are carried
-forward over the (few) ranges, and only then does a window run inside each
-range. Keys must be unique, so that no range can be dominated by one value.
+Rows are dealt to key ranges of similar size and written once; per-range totals
+are carried forward over the (few) ranges, and only then does a window run inside
+each range. Keys must be unique, so that no range can be dominated by one value.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from raincourier.sources.scratch import written
 
-def _ranges(df: DataFrame, key: str) -> Column:
-    """Range number of a numeric key; the split points are few and come from a
-    mergeable quantile sketch. They only balance work, results never depend on them."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    points = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
-    bounds = F.array(*[F.lit(float(p)) for p in sorted(set(points))]).cast("array<double>")
-    return F.size(F.filter(bounds, lambda b: b <= F.col(key)))
+
+def _in_ranges(df: DataFrame, key: str) -> DataFrame:
+    """Rows with the number of their key range, higher numbers for higher keys.
+    The split points only balance work, results never depend on them."""
+    return written(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_before(df: DataFrame, key: str, values: dict) -> DataFrame:
     """For each output name, (aggregate, column) over all rows with a smaller
     key; null for the first row. `aggregate` is F.sum or F.max."""
-    split = df.withColumn("_range", _ranges(df, key))
+    split = _in_ranges(df, key)
     sums = split.groupBy("_range").agg(*[agg(column).alias(f"_{name}") for name, (agg, column) in values.items()])
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
     carry = sums.select("_range", *[agg(f"_{name}").over(earlier).alias(f"_c_{name}") for name, (agg, _) in values.items()])

@@ -11,6 +11,10 @@ def star(lake, *needs):
     return history.join_history_star(lake.history("route", *needs), lake.routes, lake.cities)
 
 
+def monthly_star(lake):
+    return history.join_history_star(lake.monthly, lake.routes, lake.cities)
+
+
 @query()
 def join_history_star(lake):
     return star(lake).groupBy("route_id", "route_code", "warehouse_id", "hub_id", "city_id", "city_name", "state").agg(F.count("*").alias("rows"))
@@ -34,7 +38,7 @@ def filter_history(lake):
 
 @query()
 def filter_monsoon(lake):
-    return history.filter_monsoon(lake.history()).groupBy(F.month("date").alias("month")).agg(*history.agg_measures())
+    return history.filter_monsoon(lake.monthly).groupBy(F.month("month").alias("month")).agg(*history.agg_measures())
 
 
 @query()
@@ -45,57 +49,57 @@ def filter_last_12_months(lake):
 
 @query()
 def hist_totals(lake):
-    return history.hist_totals(lake.history())
+    return history.hist_totals(lake.monthly)
 
 
 @query()
 def hist_monthly(lake):
-    return history.hist_monthly(lake.history())
+    return history.hist_monthly(lake.monthly)
 
 
 @query()
 def hist_yearly(lake):
-    return history.hist_yearly(lake.history())
+    return history.hist_yearly(lake.monthly)
 
 
 @query()
 def hist_seasons(lake):
-    return history.hist_seasons(lake.history())
+    return history.hist_seasons(lake.monthly)
 
 
 @query()
 def hist_geography(lake):
-    return history.hist_geography(star(lake))
+    return history.hist_geography(monthly_star(lake))
 
 
 @query()
 def topk_geography(lake):
-    return history.hist_geography(star(lake), {"city": "C2"})
+    return history.hist_geography(monthly_star(lake), {"city": "C2"})
 
 
 @query()
 def hist_categories(lake):
-    return history.hist_categories(lake.history("category"), lake.categories)
+    return history.hist_categories(lake.monthly, lake.categories)
 
 
 @query()
 def hist_severity(lake):
-    return history.hist_severity(lake.history())
+    return history.hist_severity(lake.monthly)
 
 
 @query()
 def hist_yoy_growth(lake):
-    return history.hist_yoy_growth(lake.history())
+    return history.hist_yoy_growth(lake.monthly)
 
 
 @query()
 def hist_per_1000(lake):
-    return history.hist_per_1000(lake.history())
+    return history.hist_per_1000(lake.monthly)
 
 
 @query()
 def hist_heavy_vs_rain(lake):
-    return history.hist_heavy_vs_rain(lake.history())
+    return history.hist_heavy_vs_rain(lake.monthly)
 
 
 def _money(df, *columns):
@@ -119,18 +123,18 @@ def route_weather_impact(lake):
 
 @query()
 def structural_impact(lake):
-    return history.structural_impact(star(lake))
+    return history.structural_impact(monthly_star(lake))
 
 
 @query()
 def location_history(lake):
-    months, monsoon = history.location_history(star(lake), "state", "ASIA")
+    months, monsoon = history.location_history(monthly_star(lake), "state", "ASIA")
     return months.unionByName(monsoon.withColumn("month", F.lit("monsoon")))
 
 
 @query()
 def options_distinct(lake):
-    return history.options_distinct(lake.history(), lake.cities, lake.warehouses, lake.hubs, lake.routes, lake.categories)
+    return history.options_distinct(lake.monthly, lake.cities, lake.warehouses, lake.hubs, lake.routes, lake.categories)
 
 
 @query()

@@ -58,14 +58,15 @@ def event_type_counts(lake):
 
 @query()
 def trailing_event_rate(lake):
-    return ingest.trailing_event_rate(clean(lake), _latest(lake))
+    return ingest.trailing_event_rate(checked(lake), _latest(lake))
 
 
 def _latest(lake):
-    """The arrival time of the newest valid event, as the wall clock."""
-    return clean(lake).agg(F.max("emitted_at")).scalar()
+    """The arrival time of the newest valid event, as the wall clock; repeated
+    events do not change a maximum."""
+    return ingest.valid(checked(lake)).agg(F.max("emitted_at")).scalar()
 
 
 @query()
 def event_freshness(lake):
-    return ingest.event_freshness(clean(lake), clock.moment(NOW))
+    return ingest.event_freshness(ingest.valid(checked(lake)), clock.moment(NOW))

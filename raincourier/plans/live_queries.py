@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from raincourier.functions.numeric import rounded
-from raincourier.operators import history, impact, scenario, scoring, trips
+from raincourier.operators import history, impact, ingest, scenario, scoring, trips
+from raincourier.plans import ingest_queries
 from raincourier.plans.catalog import query
 from raincourier.sources import eventlog
 from raincourier.sources.scratch import written
@@ -10,7 +11,6 @@ from raincourier.sources.tables import COEFS
 
 FUTURE_FILTERS = {"tier": "standard", "q": "nation_1"}
 LEVERS = {"dispatch_shift_h": 2, "reroute": True, "add_hub": "C2", "rain_scale": 1.5}
-ORDER = "O4321"
 
 
 def hourly(lake):
@@ -18,7 +18,7 @@ def hourly(lake):
 
 
 def cohorts_of(lake):
-    return trips.cohorts(lake.live_orders(), lake.now)
+    return trips.cohorts(lake.order_book, lake.now)
 
 
 def risk_of(lake):
@@ -27,7 +27,7 @@ def risk_of(lake):
 
 
 def _risk(lake):
-    return scoring.cohort_risk(lake.live_orders(), lake.routes, hourly(lake), lake.route_history, COEFS, lake.now)
+    return scoring.cohort_risk(lake.order_book, lake.routes, hourly(lake), lake.route_history, COEFS, lake.now)
 
 
 def route_impact_of(lake, risk=None):
@@ -44,18 +44,18 @@ def rollup_of(lake, route_impact=None):
 
 
 def kpis_of(lake, risk=None):
-    return impact.live_kpis(lake.live_orders(), eventlog.open_trips(lake), lake.warehouses, eventlog.city_weather(lake),
+    return impact.live_kpis(lake.order_book, eventlog.open_trips(lake), lake.warehouses, eventlog.city_weather(lake),
                             risk or risk_of(lake), lake.now)
 
 
 def structural_of(lake):
-    return history.structural_impact(history.join_history_star(lake.history("route"), lake.routes, lake.cities))
+    return history.structural_impact(history.join_history_star(lake.monthly, lake.routes, lake.cities))
 
 
 # ---- trips and risk --------------------------------------------------------
 @query()
 def filter_upcoming(lake):
-    return trips.filter_upcoming(lake.live_orders(), lake.now, 24).select("order_id", "route_id", "tier", "status", "planned_dispatch")
+    return trips.filter_upcoming(lake.order_book, lake.now, 24).select("order_id", "route_id", "tier", "status", "planned_dispatch")
 
 
 @query()
@@ -160,7 +160,7 @@ def replace_predictions(lake):
 
 @query()
 def order_risk(lake):
-    return scoring.order_risk(lake.live_orders(), risk_of(lake)).select("order_id", "score", "category", "p_breach")
+    return scoring.order_risk(lake.order_book, risk_of(lake)).select("order_id", "score", "category", "p_breach")
 
 
 # ---- outlook ---------------------------------------------------------------
@@ -198,7 +198,7 @@ def wet_cities(lake):
 
 @query()
 def join_live_exposure(lake):
-    out = impact.join_live_exposure(lake.live_orders(), eventlog.open_trips(lake), lake.warehouses, eventlog.city_weather(lake))
+    out = impact.join_live_exposure(lake.order_book, eventlog.open_trips(lake), lake.warehouses, eventlog.city_weather(lake))
     return out.select("order_id", "trip_id", "near", "trip_delay_min", "exposed")
 
 
@@ -245,8 +245,8 @@ def join_drilldown(lake):
 @query()
 def semi_known_ids(lake):
     """Events whose city is on the map."""
-    from raincourier.plans.ingest_queries import clean
-    return impact.semi_known_ids(clean(lake), lake.cities, "city_id").groupBy("city_id").agg(F.count("*").alias("events"))
+    known = impact.semi_known_ids(ingest_queries.checked(lake), lake.cities, "city_id")
+    return ingest.clean_dedup(known).groupBy("city_id").agg(F.count("*").alias("events"))
 
 
 @query()
@@ -257,7 +257,7 @@ def top_by_level(lake):
 
 @query()
 def critical_orders(lake):
-    return impact.critical_orders(lake.live_orders(), risk_of(lake), 12)
+    return impact.critical_orders(lake.order_book, risk_of(lake), 12)
 
 
 @query()
@@ -269,7 +269,7 @@ def alerts(lake):
 
 # ---- order book ------------------------------------------------------------
 def _future(lake):
-    return impact.join_future_orders(lake.live_orders(), risk_of(lake), lake.routes, lake.cities)
+    return impact.join_future_orders(lake.order_book, risk_of(lake), lake.routes, lake.cities)
 
 
 @query()
@@ -289,7 +289,7 @@ def page_future(lake):
 
 @query()
 def join_route_orders_left(lake):
-    return impact.join_route_orders_left(lake.live_orders(), risk_of(lake), limit=100)
+    return impact.join_route_orders_left(lake.order_book, risk_of(lake), limit=100)
 
 
 @query()
@@ -302,8 +302,8 @@ def join_items_products(lake):
 def join_order_detail(lake):
     """The detail row of every order, nested parts reduced to their sizes."""
     detail = impact.join_order_detail(
-        lake.live_orders(), lake.routes, lake.cities, lake.warehouses, lake.hubs, lake.categories, lake.order_items(), lake.products(),
-        risk_of(lake), eventlog.lifecycle_events(lake), history.route_weather_impact(lake.history("route"), lake.routes))
+        lake.order_book, lake.routes, lake.cities, lake.warehouses, lake.hubs, lake.categories, lake.order_items(), lake.products(),
+        risk_of(lake), lake.event_log, history.route_weather_impact(lake.history("route"), lake.routes))
     return detail.select("order_id", "route", "city", "state", "warehouse", "hub", "category", "status",
                          F.coalesce(F.size("items"), F.lit(0)).alias("items"), F.coalesce(F.size("events"), F.lit(0)).alias("events"),
                          F.element_at("events", -1)["type"].alias("last_event"), F.col("prediction.score").alias("score"),
@@ -312,18 +312,18 @@ def join_order_detail(lake):
 
 @query()
 def sort_order_events(lake):
-    ordered = impact.sort_order_events(eventlog.lifecycle_events(lake))
+    ordered = impact.sort_order_events(lake.event_log)
     return ordered.select("order_id", F.array_join(F.transform("events", lambda e: e["type"]), ">").alias("types"))
 
 
 @query()
 def search_entities(lake):
-    return impact.search_entities(lake.live_orders(), lake.routes, lake.cities, lake.warehouses, lake.hubs, "12")
+    return impact.search_entities(lake.order_book, lake.routes, lake.cities, lake.warehouses, lake.hubs, "12")
 
 
 @query()
 def limit_search(lake):
-    book = lake.live_orders().select(F.lit("order").alias("kind"), F.col("order_id").alias("id"), F.col("status").alias("label"))
+    book = lake.order_book.select(F.lit("order").alias("kind"), F.col("order_id").alias("id"), F.col("status").alias("label"))
     places = lake.warehouses.select(F.lit("warehouse").alias("kind"), F.col("warehouse_id").alias("id"), F.col("name").alias("label"))
     return impact.limit_search(book.unionByName(places))
 

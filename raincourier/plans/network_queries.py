@@ -42,7 +42,7 @@ def src_dimensions(lake):
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 @query()

@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 from raincourier.functions.numeric import rounded
 from raincourier.operators import lifecycle, model
 from raincourier.plans.catalog import query
-from raincourier.sources import eventlog
 
 
 def _log(lake):
-    return eventlog.lifecycle_events(lake)
+    return lake.event_log
 
 
 @query()
@@ -44,7 +43,7 @@ def delivered_rollup(lake):
 @query()
 def expire_orders(lake):
     """Orders to keep a day and a half after the reference moment."""
-    return lifecycle.expire_orders(lake.live_orders(), "2024-01-16T18:00:00Z").select("order_id", "status", "planned_dispatch", "delivered_at")
+    return lifecycle.expire_orders(lake.order_book, "2024-01-16T18:00:00Z").select("order_id", "status", "planned_dispatch", "delivered_at")
 
 
 @query()
@@ -81,7 +80,7 @@ def src_replay_log(lake):
 
 
 def completed_orders(lake):
-    return lake.live_orders().filter("status = 'delivered'").select(
+    return lake.order_book.filter("status = 'delivered'").select(
         "route_id", "tier", F.col("trip_class").alias("true_class"), (1 + F.col("number") % 48).cast("double").alias("lead_h"), "sla_breached")
 
 

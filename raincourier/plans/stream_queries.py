@@ -21,7 +21,7 @@ MAX_FILES = 8  # part files a trigger takes in
 
 def source(lake) -> DataFrame:
     events = lake.table("events")
-    return event_messages(readers.table_stream(lake.spark, f"{lake.folder}/events.parquet", events.schema, MAX_FILES))
+    return event_messages(readers.table_stream(lake.spark, f"{lake.folder}/events.parquet", events.schema, MAX_FILES), lake.n_cities)
 
 
 def _reported(lake, start) -> tuple[DataFrame, str]:
@@ -97,7 +97,7 @@ def stream_branches(lake):
 def _log_stream(lake, parts: int | None = None):
     """The event log as a stream; with `parts`, in time ranges that arrive in batches of their own."""
     path = scratch(lake.spark, "log")
-    log = eventlog.lifecycle_events(lake)
+    log = lake.event_log
     (log.repartitionByRange(parts, "sim_time") if parts else log).write.parquet(path)
     return readers.file_stream(lake.spark, path, log.schema, max_files=1 if parts else None)
 
@@ -130,7 +130,7 @@ def stream_late_data(lake):
     spark, folder, checkpoint = lake.spark, scratch(lake.spark, "late"), scratch(lake.spark, "late-checkpoint")
     events = lake.table("events")
     for again in (False, True):
-        messages = event_messages(events)
+        messages = event_messages(events, lake.n_cities)
         if again:
             text = F.replace(F.col("value").cast("string"), F.lit('"event_id":"E'), F.lit('"event_id":"L'))
             messages = messages.withColumn("value", text.cast("binary"))
@@ -172,7 +172,7 @@ def stream_rollup(lake):
 def stream_recovery(lake):
     """History rebuilt after a restart: days of the replay are dropped and
     recomputed from the retained log."""
-    log = eventlog.lifecycle_events(lake)
+    log = lake.event_log
     recovered = jobs.recover(lifecycle.delivered_rollup(log), log, "2024-01-14", lambda events: lifecycle.delivered_rollup(events).filter("date >= '2024-01-14'"))
     return recovered.select("date", "route_id", "category_id", "severity", "orders", "sla_breaches")
 

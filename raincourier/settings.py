@@ -116,7 +116,6 @@ HORIZONS_H = (6, 12, 24, 48)
 UPCOMING = ("scheduled", "assigned")
 ON_THE_ROAD = ("in_transit", "at_hub")
 ACTIVE = ("scheduled", "assigned", "in_transit", "at_hub")
-LIFECYCLE = ("scheduled", "assigned", "in_transit", "at_hub", "delivered")
 KEEP_DELIVERED_H = 48
 EXPIRE_AFTER_H = 6
 AFFECTED_MIN = 5

@@ -44,8 +44,8 @@ def planned_trips(book: DataFrame) -> DataFrame:
 
 def lifecycle_events(lake: Lake, now=None) -> DataFrame:
     """Everything that happened up to `now`, as envelope rows."""
+    book = lake.order_book if now is None else lake.live_orders(now)
     now = lake.now if now is None else clock.moment(now)
-    book = lake.live_orders(now)
     c = F.col
     lines = F.transform(F.sequence(F.lit(0), F.col("items") - 1), lambda i: F.struct(
         F.concat(F.lit("P"), (c("number") * 3 + i * 31) % PRODUCTS).alias("product_id"), (i + 1).alias("qty"), (i + 1).cast("double").alias("price_inr")))
@@ -88,8 +88,9 @@ def lifecycle_events(lake: Lake, now=None) -> DataFrame:
 
 def open_trips(lake: Lake, now=None) -> DataFrame:
     """Trip table at `now`, straight from the plan (no event log)."""
+    book = lake.order_book if now is None else lake.live_orders(now)
     now = lake.now if now is None else clock.moment(now)
-    trips = planned_trips(lake.live_orders(now)).filter(clock.plus_minutes(F.col("planned_dispatch"), -30) <= now)
+    trips = planned_trips(book).filter(clock.plus_minutes(F.col("planned_dispatch"), -30) <= now)
     gone, arrived = F.col("planned_dispatch") <= now, F.col("arrive_at") <= now
     slipped = (F.col("weather_min") >= S.LATE_TRIP_MIN) & (F.col("slip_at") <= now)
     span = F.unix_micros("arrive_at") - F.unix_micros("planned_dispatch")

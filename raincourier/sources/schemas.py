@@ -33,3 +33,8 @@ PROGRESS = T.StructType([
     T.StructField("stateOperators", T.ArrayType(STATE_OPERATOR)),
     T.StructField("sources", T.ArrayType(_struct(metrics=T.MapType(STRING, STRING)))),
 ])
+
+# The order table: what an order is, set when it is first seen, and how far it has come.
+ORDER_IDENTITY = ["order_id", "customer_id", "city_id", "route_id", "warehouse_id", "hub_id", "category_id", "tier", "value_inr", "items"]
+ORDER_PROGRESS = ["status", "created_at", "planned_dispatch", "promised_at", "dispatched_at", "eta_at", "delivered_at", "vehicle_id", "weather_class",
+                  "delay_min", "sla_breached"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +90,8 @@ def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
 def materialize_monthly(fact: DataFrame, path: str, months: list | None = None) -> None:
     """Write the monthly roll-up, or refresh only the given months of it."""
     if months is not None:
-        fact = fact.filter(F.trunc("date", "month").isin(*months))
+        # Ranges of the bare column, so that other months are not read.
+        fact = fact.filter(reduce(or_, [(F.col("date") >= F.trunc(m, "month")) & (F.col("date") < F.add_months(F.trunc(m, "month"), 1)) for m in months], F.lit(False)))
     # One file per month: rows of a month meet in one writer, already aggregated.
     overwrite_partitions(history.mv_monthly(fact).repartition("month"), path, "month")
 

@@ -2,9 +2,9 @@
 
 A `Lake` reads one folder of parquet tables and derives cities, warehouses,
 hubs, routes, the daily history fact, rain series, the event stream and the
-live order book. Facts are never kept. Dimensions are written once per session
-to the shared scratch folder and read back, so the planner knows their real
-size: it broadcasts them below `spark.sql.autoBroadcastJoinThreshold` and
+live order book. Dimensions, the monthly roll-up, the order book and its event
+log are written once per session to the shared scratch folder and read back, so
+that no query derives them again and the planner knows their real size: it broadcasts them below `spark.sql.autoBroadcastJoinThreshold` and
 shuffles them above it.
 """
 from __future__ import annotations
@@ -70,6 +70,10 @@ class Lake:
                     (68 + n * 11 % 25).cast("double").alias("lon"), (1 + n % 10).cast("double").alias("demand"),
                     (F.lit(0.7) + n % 8 * F.lit(0.1)).alias("sensitivity")))
 
+    @cached_property
+    def n_cities(self) -> int:
+        return max(1, self.table("nation").count())
+
     @cached_property
     def warehouses(self) -> DataFrame:
         s = F.col("s_suppkey")
@@ -163,6 +167,12 @@ class Lake:
             columns.append(F.col("category_id"))
         return fact.select(*columns)
 
+    @cached_property
+    def monthly(self) -> DataFrame:
+        """The monthly roll-up, written once; breakdowns of month grain read it."""
+        from raincourier.operators import history
+        return measured(history.mv_monthly(self.history("route", "category")), "monthly")
+
     @cached_property
     def route_history(self) -> DataFrame:
         """Model table: delay ratio and on-time share per route, one row each."""
@@ -172,7 +182,7 @@ class Lake:
     # ---- rain --------------------------------------------------------------
     def daily_rain(self) -> DataFrame:
         return self.table("orders").select(
-            F.concat(F.lit("C"), F.col("o_custkey") % 25).alias("city_id"), F.to_date("o_orderdate").alias("date"),
+            F.concat(F.lit("C"), F.col("o_custkey") % self.n_cities).alias("city_id"), F.to_date("o_orderdate").alias("date"),
             rounded(F.col("o_totalprice") / 4000, 1).alias("rain_mm"))
 
     def hourly_rain(self, since=None) -> DataFrame:
@@ -180,15 +190,26 @@ class Lake:
         events = self.table("events")
         if since is not None:
             events = events.filter(F.col("ts") >= F.date_trunc("hour", since).cast("timestamp_ntz"))
-        return (events.groupBy(F.concat(F.lit("C"), F.col("user_id") % 25).alias("city_id"),
+        return (events.groupBy(F.concat(F.lit("C"), F.col("user_id") % self.n_cities).alias("city_id"),
                                F.date_trunc("hour", clock.from_ntz(F.col("ts"))).alias("hour"))
                 .agg((F.max("value") / 10).alias("mm")))
 
     # ---- raw stream --------------------------------------------------------
     def messages(self, events: DataFrame | None = None) -> DataFrame:
-        return event_messages(self.table("events") if events is None else events)
+        return event_messages(self.table("events") if events is None else events, self.n_cities)
 
     # ---- live order book ---------------------------------------------------
+    @cached_property
+    def order_book(self) -> DataFrame:
+        """The order table at the reference moment, written once for all views."""
+        return measured(self.live_orders(), "order-book")
+
+    @cached_property
+    def event_log(self) -> DataFrame:
+        """The event log up to the reference moment, written once for all folds."""
+        from raincourier.sources import eventlog
+        return measured(eventlog.lifecycle_events(self), "event-log")
+
     def live_orders(self, now=None) -> DataFrame:
         """Every order with its lifecycle up to `now`, spread over dispatch
         waves from 60 h before to 47 h after the reference moment."""
@@ -254,7 +275,7 @@ def _role(key):
     return F.when(key % 4 < 3, "primary").otherwise("secondary")
 
 
-def event_messages(events: DataFrame) -> DataFrame:
+def event_messages(events: DataFrame, n_cities: int) -> DataFrame:
     """The events table as broker messages (value binary, timestamp), with the
     faults a real stream has: duplicates, missing fields, bad clocks, garbage."""
     e = F.col("event_id")
@@ -270,7 +291,7 @@ def event_messages(events: DataFrame) -> DataFrame:
         F.when(fault == 8, "not a time").otherwise(at).alias("sim_time"),
         F.when(fault == 5, "2099-01-01T00:00:00Z").otherwise(at).alias("emitted_at"),
         F.when(fault != 3, F.concat(F.lit("O"), "user_id")).alias("order_id"),
-        F.when(fault == 9, None).when(fault != 4, F.concat(F.lit("C"), F.col("user_id") % 25)).alias("city_id"),
+        F.when(fault == 9, None).when(fault != 4, F.concat(F.lit("C"), F.col("user_id") % n_cities)).alias("city_id"),
         F.concat(F.lit("R"), F.col("user_id") % 50).alias("route_id"),
         F.to_json(F.struct(F.col("value").alias("delay_min"))).alias("payload"))
     text = F.when(fault == 6, F.concat(F.lit("not json "), e)).otherwise(F.to_json("envelope"))
