@@ -167,5 +167,8 @@ SQL = {
     "publish_views": """SELECT 'risk' AS view, count(*) AS rows FROM b_risk UNION ALL SELECT 'future', 4 UNION ALL SELECT 'timeline', 48 UNION ALL SELECT 'impact', count(*) FROM b_levels
         UNION ALL SELECT 'weather', count(*) FROM b_weather""",
 }
+for _view, _rows in (("kpis", _KPI), ("alerts", _ALERTS), ("top", SQL["top_by_level"]), ("critical", SQL["critical_orders"])):
+    SQL["publish_views"] += f" UNION ALL SELECT '{_view}', count(*) FROM ({_rows})"
+SQL["publish_views"] += " UNION ALL SELECT 'forecast', 48 * count(*) FROM b_city"
 # A twin with its own WITH joins the shared CTE list instead of nesting.
 SQL["scenario_levers"] = f"SELECT * FROM ({SQL['scenario_levers']})"

@@ -142,7 +142,8 @@ def stream_late_data(lake):
 
 @query()
 def stream_tick(lake):
-    """One tick of the live engine over the streamed log: the outlook it publishes."""
+    """Ticks of the live engine over the log streamed in several batches: the
+    outlook that the last one publishes."""
     from raincourier.operators import impact, scoring
     from raincourier.sources.tables import COEFS
     root = scratch(lake.spark, "tick")
@@ -154,9 +155,9 @@ def stream_tick(lake):
     def views(events, risk_table):
         return {"future": impact.future_summary(risk_table, lake.now)}
 
-    tick = jobs.Tick(f"{root}/log", f"{root}/views", risk, views)
-    jobs.drain([jobs.start(_log_stream(lake), None, tick, f"{root}/checkpoint", every=None)])
-    return lake.spark.read.parquet(f"{root}/views/future").drop("tick")
+    tick = jobs.Tick(f"{root}/log", f"{root}/views", risk, views, risk_every=1)
+    jobs.drain([jobs.start(_log_stream(lake, parts=3), None, tick, f"{root}/checkpoint", every=None)])
+    return sinks.newest_view(lake.spark, f"{root}/views", "future")
 
 
 @query()

@@ -1,12 +1,14 @@
 """Sinks and table maintenance, each read back as a query result."""
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raincourier.functions import clock
 from raincourier.functions.numeric import rounded
 from raincourier.functions import rain
-from raincourier.operators import history, impact, ingest, lifecycle, merge, scenario
+from raincourier.operators import climate, history, impact, ingest, lifecycle, merge, scenario
 from raincourier.plans import ingest_queries, live_queries
 from raincourier.plans.catalog import query
 from raincourier.sources import eventlog, readers, sinks
@@ -170,17 +172,18 @@ def save_scenario(lake):
 
 @query()
 def publish_views(lake):
-    """All live views of one tick written as tables; rows per view."""
+    """All live views of two ticks published; rows per view of the newest."""
     folder = scratch(lake.spark, "views")
-    sinks.publish_views({"risk": live_queries.risk_of(lake).drop("contributions")}, folder, 0)
-    risk = _read(lake, f"{folder}/risk").drop("tick")
-    routes = live_queries.route_impact_of(lake, risk)
-    sinks.publish_views({
-        "future": impact.future_summary(risk, lake.now), "timeline": impact.risk_timeline(risk, lake.cities, live_queries.hourly(lake), lake.now),
-        "impact": impact.union_levels(routes, live_queries.rollup_of(lake, routes)), "weather": eventlog.city_weather(lake)}, folder, 0)
-    parts = [_read(lake, f"{folder}/{view}").groupBy(F.lit(view).alias("view")).agg(F.count("*").alias("rows"))
-             for view in ("risk", "future", "timeline", "impact", "weather")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for tick in (0, 1):
+        sinks.publish_views({"risk": live_queries.risk_of(lake).drop("contributions")}, folder, tick)
+        risk = sinks.newest_view(lake.spark, folder, "risk")
+        routes = live_queries.route_impact_of(lake, risk)
+        rollup, future, kpis = live_queries.rollup_of(lake, routes), impact.future_summary(risk, lake.now), live_queries.kpis_of(lake, risk)
+        levels, hourly = impact.union_levels(routes, rollup), live_queries.hourly(lake)
+        views = {
+            "future": future, "timeline": impact.risk_timeline(risk, lake.cities, hourly, lake.now), "impact": levels, "weather": eventlog.city_weather(lake),
+            "kpis": kpis, "alerts": impact.alerts(future, kpis, routes, rollup, lake.warehouses), "top": impact.top_by_level(levels.filter("level <> 'hub'")),
+            "critical": impact.critical_orders(lake.order_book, risk, 12), "forecast": climate.forecast_grid(lake.cities, hourly, lake.now)}
+        sinks.publish_views(views, folder, tick)
+    counts = [sinks.newest_view(lake.spark, folder, view).groupBy(F.lit(view).alias("view")).agg(F.count("*").alias("rows")) for view in ("risk", *views)]
+    return reduce(DataFrame.unionByName, counts)

@@ -139,10 +139,24 @@ def save_scenario(run_id: str, sim_time, window_h: int, levers: dict, current: D
     results[0].unionByName(results[1]).write.mode("append").parquet(f"{folder}/scenario_results")
 
 
-def publish_views(views: dict, folder: str, tick: int) -> None:
-    """One table per live view and tick; a repeated tick replaces its own."""
+def publish_views(views: dict, folder: str, tick: int, keep: int = 3) -> None:
+    """Publish a tick's views, one table each. A view has `keep` slots that are
+    overwritten in turn, so old ticks do not pile up; the newest is never the one
+    overwritten, unless the same tick is repeated."""
     for name, df in views.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/tick={tick}")
+        path, slot = f"{folder}/{name}", 0
+        if exists(df.sparkSession, path):
+            last = df.sparkSession.read.parquet(path).agg(F.max(F.struct("tick", "slot")).alias("last")).select("last.*").first()
+            if last.tick is not None:
+                slot = last.slot if last.tick == tick else (last.slot + 1) % keep
+        df.withColumn("tick", F.lit(tick)).write.mode("overwrite").parquet(f"{path}/slot={slot}")
+
+
+def newest_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a view as its latest tick published them."""
+    ticks = spark.read.parquet(f"{folder}/{name}")
+    newest = ticks.agg(F.max("tick")).first()[0]
+    return ticks.filter(F.col("tick") == F.lit(newest)).drop("tick", "slot")
 
 
 def checkpoint_path(root: str, name: str) -> str:

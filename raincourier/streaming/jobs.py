@@ -70,7 +70,7 @@ def drain(queries: list[StreamingQuery], timeout_s: int = 600) -> None:
 class Tick:
     """foreachBatch body of the live engine: appends the batch to the clean
     log, and rebuilds the views from the log, the risk only every `risk_every`
-    ticks (or after a wrap)."""
+    ticks."""
 
     def __init__(self, log: str, views: str, compute_risk: Callable, compute_views: Callable, risk_every: int = 4):
         self.log, self.views, self.compute_risk, self.compute_views, self.risk_every = log, views, compute_risk, compute_views, risk_every
@@ -82,10 +82,7 @@ class Tick:
         risk_path = f"{self.views}/risk"
         if batch_id % self.risk_every == 0 or not sinks.exists(spark, risk_path):
             sinks.publish_views({"risk": self.compute_risk(events)}, self.views, batch_id)
-        # The newest published risk; older ticks stay readable meanwhile.
-        published = spark.read.parquet(risk_path)
-        newest = published.agg(F.max("tick")).first()[0]
-        risk = published.filter(F.col("tick") == newest).drop("tick")
+        risk = sinks.newest_view(spark, self.views, "risk")
         sinks.publish_views(self.compute_views(events, risk), self.views, batch_id)
 
 
