@@ -206,3 +206,13 @@ def test_geojson_features(spark):
     line = features[route.route_id]
     assert line["geometry"]["type"] == "LineString" and len(line["geometry"]["coordinates"]) == len(route.path)
     assert line["properties"]["distance_km"] == route.distance_km and features["C3"]["geometry"]["type"] == "Point"
+
+
+def test_views_keep_a_bounded_number_of_ticks(spark, tmp_path):
+    folder = str(tmp_path / "views")
+    for tick in range(7):
+        sinks.publish_views({"v": spark.range(tick + 1)}, folder, tick)
+        assert sinks.newest_view(spark, folder, "v").count() == tick + 1
+    sinks.publish_views({"v": spark.range(2)}, folder, 6)
+    assert sinks.newest_view(spark, folder, "v").count() == 2
+    assert spark.read.parquet(f"{folder}/v").select("tick").distinct().count() == 3
