@@ -87,3 +87,10 @@ def test_stages_keep_columns(spark, odd, labels, benchmark, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     kept = [r.doc_id for r in token_groups.keep_one(odd, 5, 80).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [1, 3, 4, 5, None, None, 6, 7, 8, 9]))
+
+
+def test_long_candidates(spark):
+    """Strings of many parts are judged without a deep stack or repeated tries."""
+    texts = ["ab-" * 30_000, "aB" * 60 + "1", "aBcD/" * 20_000, "Qx7" * 20_000]
+    df = spark.createDataFrame([(k, "see " + t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: len(r.added) for r in secrets.scan_secrets(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
