@@ -23,7 +23,7 @@ from raincourier.llm.components import components
 from raincourier.llm.packs import Pack, census, find, make_packs, mixed, rolling, with_answers, word_hashes
 from raincourier.sources.scratch import written
 
-WIDTH, PERCENT, GROUP = 4, 85, 64
+WIDTH, PERCENT, GROUP, GROUP_SHINGLES = 4, 85, 64, 1_000_000
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("central", pa.float64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary())])
@@ -183,18 +183,25 @@ def _similar(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sizes = placed.groupBy("comp").agg(F.count("*").alias("size"))
     placed = placed.join(sizes, "comp").withColumn("base", F.when(F.col("size") >= GROUP, F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(
         F.concat(F.lit("h"), F.coalesce("hub", "node").cast("string"))))
-    counts = placed.groupBy("base").agg(F.count("*").alias("in_base"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("in_base") / GROUP).cast("long"))
+    counts = placed.groupBy("base").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("long").alias("parts"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("parts"))
     placed = written(placed.join(counts, "base").select("node", "n", "rare", "comp", F.concat_ws(":", "base", chunk.cast("string")).alias("group")), "shingle-groups")
     # 3. Token-group matrix. Pairs of groups that share a rare shingle, fit in size and span components are opened.
     about = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = placed.select("group", F.explode("rare").alias("t")).distinct()
-    matrix = matrix.join(matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "t", "left_semi").join(about, "group")
-    matrix = written(matrix, "shingle-matrix")
-    other = matrix.select("t", *[F.col(c).alias(f"{c}_h") for c in ("group", "low", "high", "least", "most")])
+    # Groups inside one component need no comparison with each other. Of the component with most groups around a shingle
+    # only pairs with other groups are made, so that a large group of linked copies costs its size, not its square.
+    matrix = placed.select("group", F.explode("rare").alias("t")).distinct().join(about, "group")
+    pure = F.when(F.col("low") == F.col("high"), F.col("low"))
+    per_comp = matrix.groupBy("t", pure.alias("comp")).agg(F.count("*").alias("c"))
+    main = (per_comp.groupBy("t").agg(F.sum("c").alias("c"), F.max(F.when(F.col("comp").isNotNull(), F.struct("c", "comp"))).alias("m"))
+            .where("m is null or c > m.c").where("c > 1").select("t", F.col("m.comp").alias("main")))
+    matrix = written(matrix.join(main, "t").withColumn("in_main", F.coalesce(pure == F.col("main"), F.lit(False))).drop("main"), "shingle-matrix")
+    other = matrix.select("t", *[F.col(c).alias(f"{c}_h") for c in ("group", "low", "high", "least", "most", "in_main")])
     fits = (100 * F.col("most") >= percent * F.col("least_h")) & (100 * F.col("most_h") >= percent * F.col("least"))
     mixed_pair = ~((F.col("low") == F.col("high_h")) & (F.col("high") == F.col("low_h")))
-    proposed = matrix.join(other, "t").where((F.col("group") < F.col("group_h")) & fits & mixed_pair).select(F.col("group").alias("g"), F.col("group_h").alias("h")).distinct()
+    once = F.col("in_main_h") | (F.col("group") < F.col("group_h"))
+    proposed = (matrix.where("not in_main").join(other, "t").where(once & fits & mixed_pair)
+                .select(F.least("group", "group_h").alias("g"), F.greatest("group", "group_h").alias("h")).distinct())
     inside = about.where("low <> high").select(F.col("group").alias("g"), F.col("group").alias("h"))
     proposed = written(proposed.unionAll(inside), "shingle-proposed")
     merged = components(_open_groups(proposed, placed, nodes, percent).distinct()).select(F.col("node").alias("old"), F.col("comp").alias("new"))
