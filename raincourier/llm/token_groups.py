@@ -180,12 +180,14 @@ def _similar(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # 2. Groups of similar documents: parts of one component, or small components around the same central document.
     hubs = met.groupBy("node").agg(F.max(F.struct("weight", "b")).alias("h")).select("node", F.col("h.b").alias("hub"))
     placed = nodes.select("node", "n", "rare").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(hubs, "node", "left")
-    sizes = placed.groupBy("comp").agg(F.count("*").alias("size"))
-    placed = placed.join(sizes, "comp").withColumn("base", F.when(F.col("size") >= GROUP, F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(
+    # Only what is large is looked up, a 64th of the documents at most, so that a large component is not dealt to one task.
+    large = placed.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= GROUP)
+    placed = placed.join(checked_broadcast(large), "comp", "left").withColumn("base", F.when(F.col("size").isNotNull(), F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise(
         F.concat(F.lit("h"), F.coalesce("hub", "node").cast("string"))))
-    counts = placed.groupBy("base").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("long").alias("parts"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("parts"))
-    placed = written(placed.join(counts, "base").select("node", "n", "rare", "comp", F.concat_ws(":", "base", chunk.cast("string")).alias("group")), "shingle-groups")
+    split = (placed.groupBy("base").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("long").alias("parts"))
+             .where("parts > 1"))
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    placed = written(placed.join(checked_broadcast(split), "base", "left").select("node", "n", "rare", "comp", F.concat_ws(":", "base", chunk.cast("string")).alias("group")), "shingle-groups")
     # 3. Token-group matrix. Pairs of groups that share a rare shingle, fit in size and span components are opened.
     about = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     # Groups inside one component need no comparison with each other. Of the component with most groups around a shingle
