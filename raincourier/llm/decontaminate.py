@@ -6,6 +6,7 @@ q-grams are counted in overlapping diagonal bands, bands that reach the bound
 are kept and verified by a banded alignment."""
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,9 +125,11 @@ def matches(text: str, index: Index, q: int = Q) -> list[tuple[int, int, int, in
         # Bands overlap by half: band b holds the diagonals of steps b and b + 1.
         key = np.concatenate([item * span + band, item * span + band - 1]) + span // 2
         key, where = np.unique(key, return_inverse=True)
-        for k in np.flatnonzero(np.bincount(where, minlength=len(key)) >= index.need[key // span]):
+        sizes = np.bincount(where, minlength=len(key))
+        ends, grouped = np.cumsum(sizes), np.argsort(where, kind="stable")
+        for k in np.flatnonzero(sizes >= index.need[key // span]):
             t, b = int(key[k] // span), int(key[k] % span - span // 2)
-            own = np.flatnonzero(where == k) % len(item)
+            own = grouped[ends[k] - sizes[k]:ends[k]] % len(item)
             if len(np.unique(place[own])) < index.need[t]:  # a place of the item counts once in a band
                 continue
             most = int(index.edits[t])
@@ -146,9 +149,15 @@ def matches(text: str, index: Index, q: int = Q) -> list[tuple[int, int, int, in
                 found.append((t, start, start + len(word), 0))
                 start = plain.find(word, start + len(word))
     kept: list[tuple[int, int, int, int]] = []
+    taken: dict[int, tuple[list[int], list[int]]] = {}  # by item, starts and ends of what is kept, in order
     for t, start, end, cost in sorted(found, key=lambda m: (m[0], m[3], m[1], m[2])):
-        if not any(t == o[0] and start < o[2] and o[1] < end for o in kept):
-            kept.append((t, start, end, cost))
+        begins, ends_ = taken.setdefault(t, ([], []))
+        before = bisect_left(begins, end)
+        if before and ends_[before - 1] > start:
+            continue
+        begins.insert(before, start)
+        ends_.insert(before, end)
+        kept.append((t, start, end, cost))
     return sorted(kept)
 
 
