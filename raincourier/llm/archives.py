@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -19,6 +20,7 @@ FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length".split(),
           2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length".split()}
 END = b"\r\n\r\n"
 ARC_BYTES = 8 << 20
+ARCHIVE_RECORDS = 5_000
 RECORD = ("archive string, offset long, page_id long, warc_type string, url string, stamp string, ip string, mime string, "
           "head binary, payload binary, payload_bytes long, payload_digest string")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -188,26 +190,29 @@ def warc_text(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Archives of at most 20 000 records below `path`; a run that is repeated overwrites them."""
-    warc_text(records).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    """Archives of at most `ARCHIVE_RECORDS` records below `path`; a run that is repeated overwrites them."""
+    warc_text(records).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (lower-case names) and block of each record of an archive."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while at < len(content):
-        stop = content.find(END, at)
-        lines = content[at:stop].split(b"\r\n")
-        if stop < 0 or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"bad WARC record at byte {at}")
-        fields = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
-        start, size = stop + 4, int(fields["content-length"])
-        if content[start + size:start + size + 4] != END:
-            raise ValueError(f"WARC record at byte {at} has another length than declared")
-        yield fields, content[start:start + size]
-        at = start + size + 4
+    """Header fields (lower-case names) and block of each record of an archive,
+    which is unpacked as it is read: one record at a time is in memory."""
+    plain = io.BytesIO(content)
+    source = io.BufferedReader(gzip.GzipFile(fileobj=plain), 1 << 18) if content[:2] == b"\x1f\x8b" else plain
+    k = 0
+    while first := source.readline():
+        fields, line = {}, b""
+        while (line := source.readline()).strip():
+            name, _, value = line.partition(b":")
+            fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
+        if not first.startswith(b"WARC/") or not line or not fields.get("content-length", "").isdigit():
+            raise ValueError(f"bad WARC header of record {k}")
+        size = int(fields["content-length"])
+        block = source.read(size)
+        if len(block) < size or source.read(4) != END:
+            raise ValueError(f"WARC record {k} has another length than declared")
+        yield fields, block
+        k += 1
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 """Operators against plain reference computations and SQL twins on the small tables."""
+import gzip
 import hashlib
 import math
 import random
@@ -203,3 +204,24 @@ def test_key_coding():
     for values in (np.array([5]), np.array([-3, 2 ** 62]), np.arange(1000)):
         assert (packs.unnarrow(packs.narrow(values)) == values).all()
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_leaks_of_a_text_full_of_copies():
+    """Thousands of occurrences are found once each, in time that grows with their number."""
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    index = decontaminate.build_index([(1, item)])
+    text = ("-" * 40).join([item] * 4000)
+    assert decontaminate.matches(text, index) == [(0, k * 160, k * 160 + 120, 0) for k in range(4000)]
+
+
+def test_archives_are_read_record_by_record():
+    def record(block, length=None):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (len(block) if length is None else length) + block + b"\r\n\r\n"
+    blocks = [b"", b"\r\n\r\nWARC/1.0\r\n", b"x" * 300_000]
+    whole = b"".join(map(record, blocks))
+    for content in (whole, gzip.compress(whole), b"".join(gzip.compress(record(b)) for b in blocks)):
+        assert [b for _, b in archives.parse_warc(content)] == blocks
+    for bad in (record(b"abc", 2), record(b"abc", 9), b"nonsense\r\n\r\n", whole[:-3], b"WARC/1.0\r\nContent-Length: 1"):
+        with pytest.raises(ValueError):
+            list(archives.parse_warc(bad))
