@@ -120,15 +120,17 @@ def matches(text: str, index: Index, q: int = Q) -> list[tuple[int, int, int, in
         # No band of an item can reach its bound if all of the text's hits together do not.
         able = (np.bincount(item, minlength=len(index.need)) >= index.need)[item]
         item, place, diagonal = item[able], place[able], (pos - place)[able]
-        span = np.int64(len(codes) + 2 * max(map(len, index.texts)) + 4)
+        # Bands run from -longest - 1 to len(codes); shifted, they stay inside an item's span.
+        shift = np.int64(max(map(len, index.texts)) + 2)
+        span = np.int64(len(codes)) + 2 * shift
         band = diagonal // (index.edits[item] + 1)
         # Bands overlap by half: band b holds the diagonals of steps b and b + 1.
-        key = np.concatenate([item * span + band, item * span + band - 1]) + span // 2
+        key = np.concatenate([item * span + band, item * span + band - 1]) + shift
         key, where = np.unique(key, return_inverse=True)
         sizes = np.bincount(where, minlength=len(key))
         ends, grouped = np.cumsum(sizes), np.argsort(where, kind="stable")
         for k in np.flatnonzero(sizes >= index.need[key // span]):
-            t, b = int(key[k] // span), int(key[k] % span - span // 2)
+            t, b = int(key[k] // span), int(key[k] % span - shift)
             own = grouped[ends[k] - sizes[k]:ends[k]] % len(item)
             if len(np.unique(place[own])) < index.need[t]:  # a place of the item counts once in a band
                 continue

@@ -215,6 +215,22 @@ def test_leaks_of_a_text_full_of_copies():
     assert decontaminate.matches(text, index) == [(0, k * 160, k * 160 + 120, 0) for k in range(4000)]
 
 
+def test_short_items_late_in_a_long_text():
+    rng = random.Random(11)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (8, 394, 12, 15)]
+    for order in (items, items[::-1], items[1:] + items[:1]):
+        index = decontaminate.build_index(list(enumerate(order)))
+        for tail in (0, 30, 2000, 9000):
+            text = "-" * 10_000
+            places = {}
+            for t, item in enumerate(order):
+                if len(item) < 20:
+                    start = len(text) - tail - 20 * (t + 1)
+                    text = text[:start] + item + text[start + len(item):]
+                    places[t] = start
+            assert decontaminate.matches(text, index) == [(t, start, start + len(order[t]), 0) for t, start in sorted(places.items())]
+
+
 def test_archives_are_read_record_by_record():
     def record(block, length=None):
         return b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (len(block) if length is None else length) + block + b"\r\n\r\n"
