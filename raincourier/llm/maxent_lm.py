@@ -1,11 +1,19 @@
-"""Language model: hashed maximum entropy with a class-factored softmax.
+"""Language model: a hashed maximum-entropy model of token shapes, and above it
+a row of its own for every context of the corpus.
 
 A token falls into one of 16 classes and 16 members of it, by its shape. The
-model is P(class | context) * P(member | class, context) * P(token | slot). The
-first two are log-linear in hashed features: the previous token, the one before
-it (a skip) and both; the last is the token's smoothed share in its slot,
+lowest level is P(class | context) * P(member | class, context) * P(token | slot).
+The first two are log-linear in hashed features: the previous token, the one
+before it (a skip) and both; the last is the token's smoothed share in its slot,
 counted over all training texts. Weights are trained by gradient steps inside
-each task and averaged over tasks by tokens seen, round after round."""
+each task and averaged over tasks by tokens seen, round after round.
+
+Hashed rows are of fixed number, so they only model shapes. Above them each
+distinct skip token, previous token and pair has weights for every token that
+follows it: of a level below, P, it makes P'(token) = (n(context, token) + s P) /
+(n(context) + s). That is the maximum of likelihood less s times the relative
+entropy to P, solved exactly by counts, so nothing is averaged. Counts are those
+of the whole corpus, held by key range; a pack gets those of its own tokens."""
 from __future__ import annotations
 
 import zlib
@@ -22,10 +30,12 @@ CLASSES = MEMBERS = 16
 SLOTS = CLASSES * MEMBERS
 HASHED = 1024
 ROWS = 1 + 3 * HASHED
-BATCH, RATE, ROUNDS, CHUNKS = 16_384, 0.15, 1, 256
+BATCH, RATE, ROUNDS, CHUNKS = 16_384, 0.15, 2, 256
+LEVELS = (300.0, 100.0, 10.0)  # s of skip, previous and pair
 SIZE = ROWS * (CLASSES + SLOTS)
 END = np.uint64(0xC0FFEE00000000F0)  # key of the end token; its slot is the first of the last class
 _START = np.uint64(7)
+_SKIP, _PREVIOUS, _PAIR = np.array([0x51, 0x52, 0x53], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(255)
 assert ROWS * CLASSES <= 1 << 16
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
@@ -68,13 +78,27 @@ class Tokens:
         self.doc = np.repeat(np.arange(n), sizes + 1)
         self.train = ~np.array([held_out(i) for i in self.ids], bool)
 
+    def back(self, k: int) -> np.ndarray:
+        out = np.full(len(self.keys), _START)
+        out[k:] = np.where(self.doc[k:] == self.doc[:-k], self.keys[:-k], _START)
+        return out
+
+    def grams(self) -> np.ndarray:
+        """64-bit keys of what is counted at each token: the skip token as context,
+        and the token after its skip, its previous token and its pair."""
+        one, two = self.back(1), self.back(2)
+        skip, pair = mixed(two + _SKIP), mixed(mixed(one + _PAIR) + two)
+        return np.stack([skip, mixed(skip + self.keys), mixed(mixed(one + _PREVIOUS) + self.keys), mixed(pair + self.keys)])
+
+    def own_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams, this pack's training count of each, and the place of every gram among them."""
+        keys, number = np.unique(self.grams(), return_inverse=True)
+        number = number.reshape(4, -1)
+        return keys, np.bincount(number.ravel(), weights=np.tile(self.train[self.doc], 4), minlength=len(keys)).astype(np.int64), number
+
     def features(self) -> np.ndarray:
         """Row numbers of the four features of each token: constant, previous, skip, both."""
-        def back(k: int) -> np.ndarray:
-            out = np.full(len(self.keys), _START)
-            out[k:] = np.where(self.doc[k:] == self.doc[:-k], self.keys[:-k], _START)
-            return out
-        one, two = back(1), back(2)
+        one, two = self.back(1), self.back(2)
         rows = np.zeros((len(self.keys), 4), np.int64)
         for k, h in enumerate((mixed(one), mixed(two + np.uint64(1)), mixed(one * np.uint64(0x9E3779B97F4A7C15) + two))):
             rows[:, k + 1] = 1 + k * HASHED + (h % np.uint64(HASHED)).astype(np.int64)
@@ -112,7 +136,7 @@ class Model:
             out[a:a + BATCH] = outer[at, kind].astype(np.float64) + inner[at, part % MEMBERS]
         return out
 
-    def learn(self, rows: np.ndarray, slot: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
+    def learn(self, rows: np.ndarray, slot: np.ndarray, seen: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
         """One pass of gradient steps; `seen` holds each weight's squared gradients."""
         for a in range(0, len(slot), BATCH):
             part, own = slot[a:a + BATCH], rows[a:a + BATCH]
@@ -123,11 +147,11 @@ class Model:
             outer[at, kind] -= 1
             inner[at, part % MEMBERS] -= 1
             for k in range(own.shape[1]):
-                _step(self.of_class, seen[0], own[:, k], outer)
-                _step(self.of_member, seen[1], places[:, k], inner)
+                _step(self.of_class, seen[0], own[:, k], outer, rate)
+                _step(self.of_member, seen[1], places[:, k], inner, rate)
 
 
-def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Sum a batch's gradients by row, then scale each by its history."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # row numbers are below 2^16, which numpy sorts by radix
     ranked = rows[order]
@@ -135,7 +159,7 @@ def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndar
     total = np.add.reduceat(grad[order], starts, axis=0) / np.float32(np.sqrt(BATCH))
     hit = ranked[starts]
     seen[hit] += total * total
-    weights[hit] -= np.float32(RATE) * total / np.sqrt(seen[hit] + np.float32(1e-4))
+    weights[hit] -= np.float32(rate) * total / np.sqrt(seen[hit] + np.float32(1e-4))
 
 
 def first_weights(counts: np.ndarray) -> np.ndarray:
@@ -147,7 +171,7 @@ def first_weights(counts: np.ndarray) -> np.ndarray:
     return flat
 
 
-def train_round(packs: DataFrame, flat: np.ndarray) -> np.ndarray:
+def train_round(packs: DataFrame, flat: np.ndarray, rate: float = RATE) -> np.ndarray:
     """Every task learns from its packs, starting at `flat`; the mean of the
     tasks' weights by tokens is made in Spark, piece by piece. The driver gets
     one model, whatever the input."""
@@ -161,7 +185,7 @@ def train_round(packs: DataFrame, flat: np.ndarray) -> np.ndarray:
                 tokens = Tokens(body.as_py())
                 use = tokens.train[tokens.doc]
                 rows = tokens.features()[use]
-                model.learn(rows, (tokens.keys[use] & _LOW).astype(np.int64), seen)
+                model.learn(rows, (tokens.keys[use] & _LOW).astype(np.int64), seen, rate)
                 n += len(rows)
         if n:
             pieces = np.array_split((model.flat() - shared.value).astype(np.float32), CHUNKS)
@@ -179,7 +203,26 @@ def train_round(packs: DataFrame, flat: np.ndarray) -> np.ndarray:
     return flat + np.concatenate([np.frombuffer(r.delta, np.float32) for r in sorted(rows, key=lambda r: r.piece)])
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def follow(log: np.ndarray, tokens: Tokens, unigrams: np.ndarray, grams: np.ndarray, levels: tuple = LEVELS) -> np.ndarray:
+    """Natural logs of the lowest level, raised by each level of contexts in turn.
+    `unigrams` and the rows of `grams` are training counts at each token. A token of
+    a training text is not held for its own evidence: it is left out of its counts."""
+    own = tokens.train[tokens.doc].astype(np.int64)
+    first, end = tokens.bounds[:-1], unigrams[tokens.bounds[1] - 1]
+
+    def before(counts: np.ndarray) -> np.ndarray:
+        """How often the context of each token comes: as often as the last token
+        with its own context, and at the start of a text once per training text."""
+        out = np.empty_like(counts)
+        out[1:], out[first] = counts[:-1], end
+        return out
+    p = np.exp(log)
+    for strength, context, both in zip(levels, (grams[0], before(unigrams), before(grams[2])), grams[1:]):
+        p = (both - own + strength * p) / (context - own + strength)
+    return np.log(p)
+
+
+def score_texts(docs: DataFrame, rounds: int = ROUNDS, levels: tuple = LEVELS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the whole text with its end).
 
@@ -187,7 +230,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     as empty text there. Null and empty texts are the end token alone. Repeated
     rows count and come out each. With nothing to learn from, every token is
     unknown and the model is uniform over slots. Token keys have 56 hash bits and
-    8 slot bits. Other columns are ignored."""
+    8 slot bits, keys of contexts 64. Other columns are ignored."""
     packs = make_packs(docs)
 
     def of_pack(body):
@@ -205,6 +248,17 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     answers = written(census(packs, of_pack, decide, keys_per_byte=0.05, totals=totals), "token-counts")
 
+    def grams_of_pack(body):
+        return Tokens(body).own_grams()[:2]
+
+    def beyond(keys, numbers, starts):
+        # A pack whose own count is the whole count needs no answer.
+        total = np.repeat(np.add.reduceat(numbers, starts), np.diff(np.append(starts, len(keys))))
+        mask = total != numbers
+        return mask, total[mask]
+
+    grams = census(packs, grams_of_pack, beyond, keys_per_byte=0.4)
+
     def add_up(batches):
         total = np.zeros(2 * SLOTS, np.int64)
         for batch in batches:
@@ -217,8 +271,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     by_slot, distinct = sums[:SLOTS], sums[SLOTS:]
     n_train, n_distinct = int(by_slot.sum()), int(distinct.sum())
     flat = first_weights(by_slot)
-    for _ in range(rounds if n_train else 0):
-        flat = train_round(packs, flat)
+    for k in range(rounds if n_train else 0):
+        flat = train_round(packs, flat, RATE / (1 + k) ** 2)
     shared = docs.sparkSession.sparkContext.broadcast(flat)
     floor = np.log10(by_slot + distinct + 1.0)
 
@@ -228,11 +282,15 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         count = np.where(at >= 0, counts[np.maximum(at, 0)], 0) if len(counts) else np.zeros(len(at), np.int64)
         slot = (tokens.keys & _LOW).astype(np.int64)
         own = np.log10(count + 1.0)
-        log = Model(shared.value).score(tokens.features(), slot) / np.log(10) + own - floor[slot]
+        log = Model(shared.value).score(tokens.features(), slot) + (own - floor[slot]) * np.log(10)
+        held, known, number = tokens.own_grams()
+        at = find(keys, held)
+        known[at >= 0] = counts[at[at >= 0]]
+        log = follow(log, tokens, count, known[number], levels) / np.log(10)
         edges = tokens.bounds[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(tokens.ids, pa.int64()), pa.array(~tokens.train), pa.array(np.diff(tokens.bounds)), pa.array(np.add.reduceat((count > 0).astype(np.int64), edges)),
                                           pa.array(np.full(len(edges), n_train)), pa.array(np.add.reduceat(own - np.log10(n_train + n_distinct + 1.0), edges)),
                                           pa.array(np.add.reduceat(log, edges))], schema=_OUT)
 
-    return with_answers(packs, answers.where("pack >= 0"), finish,
+    return with_answers(packs, answers.where("pack >= 0").unionAll(grams), finish,
                         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", _OUT)

@@ -60,6 +60,46 @@ def test_slots_are_a_distribution():
     assert math.isclose(np.exp(model.score(rows, np.arange(maxent_lm.SLOTS))).sum(), 1, rel_tol=1e-4)
 
 
+def test_contexts_of_the_whole_corpus_count(spark):
+    """5000 contexts, each followed by a word of its own out of one slot: more than any fixed table of rows tells apart."""
+    n = 5000
+    pair = [f"c{i:04d}qa f{7 * i % n:04d}qa" for i in range(n)]
+    wrong = [f"c{i:04d}qa f{7 * (i + 1) % n:04d}qa" for i in range(n)]
+    learned, held = [i for i in range(60) if not maxent_lm.held_out(i)][:40], [i for i in range(60) if maxent_lm.held_out(i)][:2]
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.sample(pair, n))) for i in learned] + [(held[0], " ".join(pair[:300])), (held[1], " ".join(wrong[:300]))]
+    score = {r.doc_id: r.score for r in maxent_lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert score[held[0]] > score[held[1]] + 300 * 0.5
+
+
+def test_context_levels_against_plain_counts(spark, texts):
+    tokens = {i: t.encode().translate(_FOLD).split() + [None] for i, t in texts.items()}
+    slot = {w: int(maxent_lm.slots(w, np.array([0]))[0]) if w else 240 for ws in tokens.values() for w in ws}
+    context, both, count = Counter(), Counter(), Counter()
+
+    def grams(ws):
+        for two, one, w in zip([0, 0] + ws, [0] + ws, ws):
+            yield w, [("skip", two), ("previous", one), ("pair", two, one)]
+    for i, ws in tokens.items():
+        if not maxent_lm.held_out(i):
+            count.update(ws)
+            for w, cs in grams(ws):
+                context.update(cs)
+                both.update((c, w) for c in cs)
+    by_slot, distinct = Counter(), Counter(slot[w] for w in count)
+    for w, n in count.items():
+        by_slot[slot[w]] += n
+    levels, whole = (30.0, 10.0, 3.0), sum(by_slot.values()) + maxent_lm.SLOTS
+    for r in maxent_lm.score_texts(spark.read.parquet(f"{SF}/documents.parquet"), rounds=0, levels=levels).collect():
+        own, want = int(not r.held_out), 0.0
+        for w, cs in grams(tokens[r.doc_id]):
+            p = (by_slot[slot[w]] + 1) / whole * (count[w] + 1) / (by_slot[slot[w]] + distinct[slot[w]] + 1)
+            for s, c in zip(levels, cs):
+                p = (both[c, w] - own + s * p) / (context[c] - own + s)
+            want += math.log10(p)
+        assert math.isclose(r.score, want, rel_tol=1e-4)
+
+
 def test_quality_counts(spark, texts):
     for r in llm_queries()["op6_quality_rules"](spark, SF).collect():
         text = texts[r.doc_id]
