@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 An occurrence of an item of length L with at most k edits shares at least
-L - q + 1 - k*q of its q-grams, all within k + 1 neighbouring diagonals. Shared
+L - q + 1 - k*q of its q-grams, all within k + 1 neighbouring diagonals. q is 8,
+and for short items the largest at which at least one is certain. Shared
 q-grams are counted in overlapping diagonal bands, bands that reach the bound
 are kept and verified by a banded alignment."""
 from __future__ import annotations
@@ -44,9 +45,15 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return level ^ (level >> np.uint64(29))
 
 
+def _sized(hashes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of grams of different sizes kept apart."""
+    return hashes ^ np.uint64(q * int(_BASE) % (1 << 64))
+
+
 @dataclass
 class Index:
     """q-grams of a block of items: sorted hashes, and for each the items and positions that have it."""
+    sizes: list
     ids: list
     texts: list
     edits: np.ndarray
@@ -62,9 +69,10 @@ class Index:
 def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
     texts = [normal(t) for _, t in items]
     sizes = np.array([len(t) for t in texts], np.int64)
-    # The most edits for which at least one shared q-gram is certain.
-    edits = np.maximum(0, np.minimum((rate * sizes).astype(np.int64), (sizes - q) // q))
-    hashes = [gram_hashes(t, q) for t in texts]
+    edits = np.maximum(0, np.minimum((rate * sizes).astype(np.int64), sizes - 1))
+    # The largest q for which at least one shared q-gram is certain; below q characters without edits an item is looked up as it is.
+    fit = np.where(edits > 0, np.clip(sizes // (edits + 1), 1, q), q)
+    hashes = [_sized(gram_hashes(t, k), k) for t, k in zip(texts, fit.tolist())]
     grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes]).astype(np.int64)
     place = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int64) if hashes else np.zeros(0, np.int64)
@@ -73,8 +81,8 @@ def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Inde
     unique, starts = np.unique(grams, return_index=True)
     bloom = np.zeros(1 << _FILTER_BITS, bool)
     bloom[(unique * _BASE) >> np.uint64(64 - _FILTER_BITS)] = True
-    short = [k for k, n in enumerate(sizes) if 0 < n < q]
-    return Index([i for i, _ in items], texts, edits, sizes - q + 1 - edits * q, unique, np.append(starts, len(grams)), item, place, bloom, short)
+    short = [k for k, n in enumerate(sizes) if 0 < n < fit[k]]
+    return Index(np.unique(fit).tolist(), [i for i, _ in items], texts, edits, sizes - fit + 1 - edits * fit, unique, np.append(starts, len(grams)), item, place, bloom, short)
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -102,17 +110,21 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) ->
     return (cost, start, int(at[best]) + len(item)) if cost <= most else None
 
 
-def matches(text: str, index: Index, q: int = Q) -> list[tuple[int, int, int, int]]:
+def matches(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(item number, start, end, edits): for each item its best occurrences,
     overlapping ones of the same item once."""
     codes = normal(text)
     found: list[tuple[int, int, int, int]] = []
-    hashes = gram_hashes(codes, q)
-    at = np.flatnonzero(index.bloom[(hashes * _BASE) >> np.uint64(64 - _FILTER_BITS)]) if len(hashes) else np.zeros(0, np.int64)
-    if len(at) and len(index.grams):
+    ats, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q in index.sizes if len(index.grams) else ():
+        hashes = _sized(gram_hashes(codes, q), q)
+        at = np.flatnonzero(index.bloom[(hashes * _BASE) >> np.uint64(64 - _FILTER_BITS)])
         slot = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
         real = index.grams[slot] == hashes[at]
-        at, slot = at[real], slot[real]
+        ats.append(at[real])
+        slots.append(slot[real])
+    at, slot = np.concatenate(ats), np.concatenate(slots)
+    if len(at):
         n = index.starts[slot + 1] - index.starts[slot]
         rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(index.starts[slot], n) + rank
@@ -182,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -
     points), edits; up to `rate` of an item's length in edits, after ASCII case
     and blanks are levelled.
 
-    Null and empty texts and items match nothing; items shorter than a q-gram
+    Null and empty texts and items match nothing; items too short for an edit
     must occur exactly. Repeated rows of documents come out each, repeated items
     once; null ids stay null. Other columns are ignored. Blocks of a large
     benchmark are searched one after another."""

@@ -271,6 +271,33 @@ def test_short_items_late_in_a_long_text():
             assert decontaminate.matches(text, index) == [(t, start, start + len(order[t]), 0) for t, start in sorted(places.items())]
 
 
+def test_short_items_have_their_whole_budget():
+    rng = random.Random(13)
+    items = [(n, "".join(rng.choice("abcdefgh ") for _ in range(n))) for n in range(1, 46)]
+    index = decontaminate.build_index(items)
+    assert index.edits.tolist() == [n // 10 for n in range(1, 46)]
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(text, 1):
+                last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+        return min(row)
+
+    for n, item in items[7:]:
+        for _ in range(4):
+            noisy = list(item)
+            for _ in range(rng.choice([n // 10, n // 10, n // 10 + 1])):
+                at = rng.randrange(len(noisy))
+                noisy[at:at + 1] = rng.choice([[], ["z"], [noisy[at], "y"]])
+            text = "".join(rng.choice("abcdefgh ") for _ in range(50)) + "".join(noisy) + "".join(rng.choice("abcdefgh ") for _ in range(30))
+            found = {}
+            for t, _, _, edits in decontaminate.matches(text, index):
+                found[t] = min(edits, found.get(t, edits))
+            assert found == {t: cost for t, (m, other) in enumerate(items) if (cost := least(other, text)) <= m // 10}
+
+
 def test_archives_are_read_record_by_record():
     def record(block, length=None):
         return b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (len(block) if length is None else length) + block + b"\r\n\r\n"
