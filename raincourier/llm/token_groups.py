@@ -26,7 +26,7 @@ from raincourier.sources.scratch import written
 WIDTH, PERCENT, GROUP, GROUP_SHINGLES = 4, 85, 64, 1_000_000
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
-_OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("central", pa.float64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("digest", pa.binary()), ("central", pa.float64()), ("rare", pa.list_(pa.int64())), ("body", pa.binary())])
 
 
 def _short(words: np.ndarray) -> np.uint64:
@@ -68,8 +68,8 @@ def _sets(pack: Pack, width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Written rows (doc_id, n, digest, central, rare, body): set size, set
-    digest, mean rank of its shingles by spread, its rare shingles that other
+    """Written rows (doc_id, text_key, n, digest, central, rare, body): digest of
+    the text, set size, set digest, mean rank of its shingles by spread, its rare shingles that other
     sets have, and, where there are any, the packed text."""
     packs = make_packs(docs)
 
@@ -101,10 +101,11 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
         rows = []
         for k, raw in enumerate(pack.raws):
             rare = own[cuts[k]:cuts[k + 1]]
-            rows.append((pack.ids[k].as_py(), int(n[k]), digests[k], float(central[k]), rare, press.compress(raw.translate(_FOLD)) if len(rare) else None))
+            rows.append((pack.ids[k].as_py(), hashlib.md5(raw, usedforsecurity=False).hexdigest(), int(n[k]), digests[k], float(central[k]), rare,
+                         press.compress(raw.translate(_FOLD)) if len(rare) else None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
-    return written(with_answers(packs, census(packs, of_pack, decide), finish, "doc_id long, n long, digest binary, central double, rare array<long>, body binary", _OUT), "shingle-sets")
+    return written(with_answers(packs, census(packs, of_pack, decide), finish, "doc_id long, text_key string, n long, digest binary, central double, rare array<long>, body binary", _OUT), "shingle-sets")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -210,6 +211,19 @@ def _similar(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", "digest"), placed.select("node", "comp").join(merged, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
 
 
+def _named(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n, part (the same for all of a component), component."""
+    sets = described(docs, width, percent)
+    nodes, comps = _similar(sets, percent)
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
+    joined = classes.join(nodes, "digest", "left").join(comps, "node", "left")
+    lows = joined.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
+    names = joined.join(lows, "comp", "left").select(F.col("digest").alias("d"), F.coalesce(F.concat(F.lit("c"), F.hex("comp")), F.hex("digest")).alias("part"),
+                                                     F.coalesce("least", "low").alias("component"))
+    out = sets.select("doc_id", "text_key", "n", "digest").join(names, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "text_key", "n", "part", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id
     reachable by links, its own included).
@@ -218,24 +232,32 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     of each other and come out each. A row without an id takes part in links but
     gives no component its name; a component of such rows alone has none. Other
     columns are ignored."""
-    sets = described(docs, width, percent)
-    nodes, comps = _similar(sets, percent)
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
-    joined = classes.join(nodes, "digest", "left").join(comps, "node", "left")
-    lows = joined.where("comp is not null").groupBy("comp").agg(F.min("low").alias("least"))
-    names = joined.join(lows, "comp", "left").select(F.col("digest").alias("d"), F.coalesce("least", "low").alias("component"))
-    out = sets.select("doc_id", "n", "digest").join(names, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _named(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of documents that name their component, all columns kept. Rows
-    without an id stay. Of repeated rows with equal id and text one stays."""
-    found = written(near_copies(docs, width, percent), "near-copies")
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    that share an id are judged by their own texts, and one of them names a
+    component. Rows without an id stay beside a row with one; of a component of
+    such rows alone one stays. Blank texts stay, once for each id and text."""
+    found = written(_named(docs, width, percent), "near-copies")
+    gone = found.where("component is not null and doc_id <> component").select("doc_id").distinct()
     out = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    if twice.isEmpty():
-        return out
-    twice = checked_broadcast(twice)
-    return out.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    alone = found.where("component is null and n > 0")
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    if not twice.isEmpty():
+        twice = checked_broadcast(twice)
+        own = found.join(twice, "doc_id", "left_semi").where("doc_id = component")
+        stay = own.where("n > 0").groupBy("doc_id").agg(F.min("text_key").alias("k")).unionByName(own.where("n = 0").select("doc_id", F.col("text_key").alias("k")).distinct())
+        rows = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
+        stay = stay.select(F.col("doc_id").alias("own_id"), F.col("k").alias("own_key"))
+        rows = rows.join(stay, (rows["doc_id"] == F.col("own_id")) & (key == F.col("own_key")), "left_semi")
+        out = out.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows.dropDuplicates(["doc_id", "text"]))
+    if not alone.isEmpty():
+        least = alone.groupBy("part").agg(F.min("text_key").alias("own_key")).select("own_key")
+        every = alone.select(F.col("text_key").alias("own_key")).distinct()
+        rows, nameless = out.where("doc_id is null"), key == F.col("own_key")
+        one = rows.join(least, nameless, "left_semi").dropDuplicates(["text"])
+        out = out.where("doc_id is not null").unionByName(rows.join(every, nameless, "left_anti")).unionByName(one)
+    return out

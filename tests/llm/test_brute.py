@@ -200,6 +200,19 @@ def test_near_copies_of_a_large_group(spark):
     assert len(set(got.values())) > 3
 
 
+def test_rows_of_a_shared_id_are_judged_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    near = lambda t: t + " end"
+    rows = [(3, b), (7, a), (7, near(b)), (8, c), (8, near(c)), (8, c), (9, ""), (9, " "), (9, near(a))]
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in token_groups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()), key=str)
+    got = kept(rows)
+    assert [r for r in got if r[0] != 8] == sorted([(3, b), (7, a), (9, ""), (9, " ")], key=str)
+    assert [r in ((8, c), (8, near(c))) for r in got if r[0] == 8] == [True]
+    got = kept([(None, a), (None, a), (None, near(a)), (None, b), (3, b), (None, None), (None, None)])
+    assert len(got) == 5 and got.count((None, None)) == 2 and (3, b) in got and (None, b) in got
+    assert sum(r in ((None, a), (None, near(a))) for r in got) == 1
+
+
 def test_mixture_meets_its_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, mix = mixing.mix_sources(docs, block_tokens=2000)
