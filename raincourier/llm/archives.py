@@ -81,7 +81,7 @@ def _described(name: str, rec: dict, whole: bool) -> dict:
     """The fields a WARC record is made of; `whole` keeps the bytes."""
     body, url = rec["body"], rec["url"]
     head, payload, kind, key = b"", body, "resource", None
-    if url.startswith("filedesc:"):
+    if rec["offset"] == 0 and url.startswith("filedesc:"):  # the version block; further on it is a page's url
         kind = "warcinfo"
     elif body.startswith(b"HTTP/"):
         cut = body.find(END)

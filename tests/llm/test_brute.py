@@ -248,6 +248,12 @@ def test_archives_of_both_versions():
         list(archives.parse_arc("c.arc", archives.arc_file("c.arc", 1, pages)[:-9]))
 
 
+def test_a_page_named_like_a_version_block_is_a_page():
+    content = archives.arc_file("n.arc", 1, [(7, "filedesc://x", b"page")])
+    got = [archives._described("n.arc", r, True) for r in archives.parse_arc("n.arc", content)]
+    assert [(g["warc_type"], g["page_id"]) for g in got] == [("warcinfo", None), ("response", 7)]
+
+
 def test_key_coding():
     rng = np.random.default_rng(1)
     for n in (1, 2, 1000):
