@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raincourier.llm import archives, decontaminate, maxent_lm, mixing, pu_classifier, quality_rules, secrets, substring_dedup, token_groups, url_filter
+from raincourier.llm import archives, decontaminate, manifest, maxent_lm, mixing, packing, pu_classifier, quality_rules, resampling, secrets, substring_dedup, token_groups, url_filter
 from raincourier.llm.twins import llm_sql  # noqa: F401
 from raincourier.sources.scratch import scratch
 
@@ -57,6 +57,22 @@ def op10_mixing(spark, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))[0]
 
 
+def op11_resampling(spark, folder: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def op12_merkle_manifest(spark, folder: str) -> DataFrame:
+    checked = manifest.verified_manifest(_table(spark, folder, "documents"))
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_best_fit_packing(spark, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(_table(spark, folder, "documents"))
+    return pieces.select("doc_id", "piece", "start", "length", packing.ids_crc32().alias("ids_crc32"), "sequence_id", "offset")
+
+
 def llm_queries() -> dict:
-    found = [op1_quality_classifier, op2_substring_dedup, op3_jaccard_join, op4_warc, op5_lm_scoring, op6_quality_rules, op7_decontamination, op8_secret_scans, op9_url_filters, op10_mixing]
+    found = [op1_quality_classifier, op2_substring_dedup, op3_jaccard_join, op4_warc, op5_lm_scoring, op6_quality_rules, op7_decontamination, op8_secret_scans, op9_url_filters, op10_mixing,
+             op11_resampling, op12_merkle_manifest, op13_best_fit_packing]
     return {f.__name__: f for f in found}
