@@ -8,9 +8,10 @@ soon as it is given, so a task holds no sequence, only the look-ahead, and
 nothing is shuffled."""
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,18 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 1024, 2
 OPEN_BINS, LOOKAHEAD = 4096, 4096
-# Characters encoded at once, word forms remembered, characters of new forms joined into one text.
-GROUP_CHARS, MOST_FORMS, JOIN_CHARS = 2_000_000, 300_000, 65_536
-# The tokenizer never joins anything across a blank that a visible character follows.
-_CUT = re.compile(r"(?= [!-~\w])")
+MOST_FORMS = 800_000
+
+
+def _forms(letters: str, numbers: str, blanks: str) -> re.Pattern:
+    """What the tokenizer's rule takes for one form, among characters it knows the classes of."""
+    return re.compile(rf" ?[{letters}]+| ?[{numbers}]+|'(?:[sdmt]|ll|ve|re)| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
+# The classes up to U+007F and U+024F. Texts with other characters go to the tokenizer as a whole.
+_ASCII = _forms("A-Za-z", "0-9", r"\t-\r ")
+_LATIN = _forms(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
+_OTHER = re.compile(r"[^\x00-\u024f]")
 _OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -34,53 +43,52 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself
+    where it is printable, else the next one from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Forms(dict):
+    """Ids of word forms, found by the tokenizer's model where they are new."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, form: str) -> bytes:
+        tokens = self.model.tokenize(form.encode().decode("latin-1").translate(self.letters))
+        ids = self[form] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit numbers. Word forms are
-    encoded once and remembered, up to MOST_FORMS of them; new forms of a group are
-    encoded in joined texts and told apart by the bytes each token stands for.
-    Strings of special tokens are ordinary text."""
+    """Token ids of texts, as little-endian unsigned 32-bit numbers. The tokenizer's
+    model sees a word form once and the result is remembered, for some MOST_FORMS
+    forms. Strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, number in vocab.items():
-            self.widths[number] = len(token)  # one character of a byte-level token is one byte
-        self.forms: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, forms: list[str]) -> None:
-        lone = [f for f in forms if f[:1] != " " or not _CUT.match(f)]
-        for form, ids in zip(lone, self._raw(lone)):
-            self.forms[form] = ids.tobytes()
-        joined = [f for f in forms if f not in self.forms]
-        ends = list(accumulate(len(f) for f in joined))
-        groups, at = [], 0
-        while at < len(joined):
-            base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + JOIN_CHARS)))
-            groups.append(joined[at:stop])
-            at = stop
-        for group, ids in zip(groups, self._raw(["".join(g) for g in groups])):
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(f.encode()) for f in group])) + 1
-            first = 0
-            for form, cut in zip(group, cuts.tolist()):
-                self.forms[form] = ids[first:cut].tobytes()
-                first = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(t) if t else [] for t in texts]
+        self.forms = _Forms(self.tokenizer.model)
+
+    def encode(self, text: str) -> bytes:
+        known = _ASCII if text.isascii() else _LATIN
+        if known is _LATIN and _OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.forms) > MOST_FORMS:
             self.forms.clear()
-        new = set().union(*split).difference(self.forms)
-        if new:
-            self._learn(list(new))
-        look = self.forms.__getitem__
-        return [b"".join(map(look, parts)) for parts in split]
+        return b"".join(map(self.forms.__getitem__, known.findall(text)))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, with the forms its earlier tasks met."""
+    return Encoder(path)
 
 
 class Bins:
@@ -121,22 +129,6 @@ class Bins:
         return number, self.capacity - space
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Rows in groups of some GROUP_CHARS characters."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py() or ""
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if texts:
-        yield ids, texts
-
-
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids, sequence_id, offset): `ids` holds
     the tokens as little-endian unsigned 32-bit numbers.
@@ -154,7 +146,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, bins = Encoder(path), Bins(capacity, open_bins, TaskContext.get().partitionId() << 33)
+        encoder, bins = encoder_of(path), Bins(capacity, open_bins, TaskContext.get().partitionId() << 33)
         held: list[tuple] = []
 
         def rows(items):
@@ -167,9 +159,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                 del held[:lookahead]
                 yield rows(items)
 
-        for doc_ids, texts in _groups(batches):
-            for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
-                ids += end
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity
                 cuts = [*([0] if first else []), *range(first, n, capacity), n]
@@ -177,7 +169,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                 held += pieces[:1]
                 for at in range(1, len(pieces), 1000):  # these fill a sequence each
                     yield rows(pieces[at:at + 1000])
-            yield from waiting(lookahead)
+                yield from waiting(lookahead)
         yield from waiting(1)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
