@@ -233,6 +233,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     scored = flat.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
     scored = scored.withColumn("score", F.col("weight") + _noise(F.col("doc_id"), seed, SCALE)).withColumn("able", F.col("n_words") >= least_words)
     # Ranks without a window over all rows: key ranges written once, counted, and numbered each for itself.
+    scored = written(scored, "resampling-scores")  # dealing to ranges would read the texts twice
     order = [F.col("able").desc(), F.col("score").desc(), F.col("doc_id"), F.col("n_features"), F.col("weight")]
     ranged = written(scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "resampled")
     sizes = ranged.groupBy("part").agg(F.count_if("able").alias("n"))
