@@ -148,7 +148,7 @@ def build_manifest(docs: DataFrame, carried: dict[str, Column] | None = None, bi
     order of their digests, repeated rows are leaves each. An empty table has no
     root. Other columns do not count."""
     leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf_of().alias("leaf"), *[c.alias(name) for name, c in (carried or {}).items()])
-    numbered, trees = _numbered(leaves)
+    numbered, trees = _numbered(written(leaves, "manifest-digests"))  # dealing to ranges would hash the texts twice
     numbered = written(numbered, "manifest-leaves")
     runs = build_log(numbered.select("tree", "n", "idx", F.col("leaf").alias("digest")), bits)
     trees = written(trees.join(_roots(runs, bits), "tree"), "manifest-roots")
