@@ -295,7 +295,7 @@ CTES = {
         JOIN b_risk p ON p.route_id = o.route_id AND p.tier = o.tier AND p.dispatch = o.planned_dispatch JOIN b_routes r ON r.route_id = o.route_id JOIN b_city c ON c.city_id = o.city_id""",
 }
 
-_RESERVED = re.compile(r"\bat\b")  # a column name here, a keyword to the checker
+_RESERVED = re.compile(r"('(?:[^']|'')*')|\bat\b")  # a column name here, a keyword to the checker; text literals stay as they are
 _WORD = re.compile(r"\bb_[a-z0-9]+\b")
 
 
@@ -306,11 +306,15 @@ def _needs(sql: str, found: dict) -> None:
             found[name] = CTES[name]
 
 
+def quoted(sql: str) -> str:
+    return _RESERVED.sub(lambda m: m.group(1) or '"at"', sql)
+
+
 def complete(sql: str) -> str:
     found: dict = {}
     _needs(sql, found)
     if not found:
-        return _RESERVED.sub('"at"', sql)
+        return quoted(sql)
     # Materialised: a chain of CTEs would otherwise be inlined at every mention.
     shared = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in found.items())
-    return _RESERVED.sub('"at"', f"WITH {shared}\n{sql}")
+    return quoted(f"WITH {shared}\n{sql}")

@@ -143,20 +143,19 @@ def weather_events(events: DataFrame) -> DataFrame:
 
 
 def creations(parsed: DataFrame) -> DataFrame:
-    """Latest creation per order, with what a delivery is accounted by. A
-    maximum, so those of several batches merge by `latest_creations`."""
+    """Latest creation per order, with what a delivery is accounted by."""
     return parsed.filter("type = 'ORDER_CREATED'").groupBy("order_id").agg(
         F.max(F.struct("sim_time", "event_id", "route_id", "p.category_id", "p.tier")).alias("o"))
 
 
-def latest_creations(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("order_id").agg(F.max("o").alias("o"))
+def completion_fields() -> list[Column]:
+    """What a completion is accounted by, from its parsed payload."""
+    return [F.col("p.weather_class").alias("class"), finite(F.col("p.weather_delay_min")).alias("weather_delay_min"),
+            finite(F.col("p.delay_min")).alias("delay_min"), F.coalesce("p.sla_breached", F.lit(False)).alias("breached")]
 
 
 def completions(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("type = 'DELIVERY_COMPLETED'").select(
-        "order_id", "sim_time", F.col("p.weather_class").alias("class"), finite(F.col("p.weather_delay_min")).alias("weather_delay_min"),
-        finite(F.col("p.delay_min")).alias("delay_min"), F.coalesce("p.sla_breached", F.lit(False)).alias("breached"))
+    return parsed.filter("type = 'DELIVERY_COMPLETED'").select("order_id", "sim_time", *completion_fields())
 
 
 def delivered_rollup(events: DataFrame) -> DataFrame:

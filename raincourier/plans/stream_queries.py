@@ -13,7 +13,7 @@ from raincourier.plans.ingest_queries import NOW as CLOCK
 from raincourier.sources import eventlog, readers, sinks
 from raincourier.sources.scratch import scratch, written
 from raincourier.sources.tables import event_messages
-from raincourier.streaming import jobs, order_state, progress
+from raincourier.streaming import jobs, order_state, progress, rollup
 
 
 MAX_FILES = 8  # part files a trigger takes in
@@ -165,8 +165,8 @@ def stream_rollup(lake):
     """Delivered roll-up over several batches: an order and its delivery mostly
     arrive in different ones."""
     path = scratch(lake.spark, "rollup")
-    jobs.drain([jobs.start(_log_stream(lake, parts=5), None, sinks.rollup_folder(path), scratch(lake.spark, "rollup-checkpoint"), every=None)])
-    return sinks.read_rollup(lake.spark, path)
+    jobs.drain([jobs.start(_log_stream(lake, parts=5), None, rollup.rollup_writer(path), scratch(lake.spark, "rollup-checkpoint"), every=None)])
+    return rollup.read_rollup(lake.spark, path)
 
 
 @query()

@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raincourier.operators import history, lifecycle
+from raincourier.operators import history
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -96,37 +96,6 @@ def materialize_monthly(fact: DataFrame, path: str, months: list | None = None)
     overwrite_partitions(history.mv_monthly(fact).repartition("month"), path, "month")
 
 
-def rollup_folder(path: str) -> Writer:
-    """Delivered roll-up kept up to date by day. A batch adds its creations and
-    completions to those kept; then the days it touches are added up anew: days
-    it has completions of, and days of earlier completions whose order it
-    announces. So an order and its delivery may come in any batches, and a
-    repeated batch changes nothing."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = lifecycle.with_payload(batch).persist()
-        try:
-            lifecycle.creations(parsed).write.mode("overwrite").parquet(f"{path}/created/batch_id={batch_id}")
-            done = lifecycle.completions(parsed).withColumn("date", F.to_date("sim_time")).withColumn("batch_id", F.lit(batch_id))
-            overwrite_partitions(done, f"{path}/done", "date", "batch_id")
-        finally:
-            parsed.unpersist()
-        if not exists(spark, f"{path}/done"):
-            return
-        created, done = spark.read.parquet(f"{path}/created"), spark.read.parquet(f"{path}/done")
-        late = done.join(created.filter(F.col("batch_id") == batch_id).select("order_id"), "order_id", "left_semi")
-        touched = done.filter(F.col("batch_id") == batch_id).select("date").unionByName(late.select("date")).distinct()
-        days = [r.date for r in touched.collect()]  # calendar days, few
-        if days:
-            done = done.filter(F.col("date").isin(days)).drop("date", "batch_id")
-            overwrite_partitions(lifecycle.account(done, lifecycle.latest_creations(created)), f"{path}/rollup", "date")
-    return write
-
-
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rollup")
-
-
 def save_scenario(run_id: str, sim_time, window_h: int, levers: dict, current: DataFrame, simulated: DataFrame, folder: str) -> None:
     """Append one run and its two result rows."""
     import json
@@ -152,11 +121,15 @@ def publish_views(views: dict, folder: str, tick: int, keep: int = 3) -> None:
         df.withColumn("tick", F.lit(tick)).write.mode("overwrite").parquet(f"{path}/slot={slot}")
 
 
-def newest_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The rows of a view as its latest tick published them."""
+def newest_view(spark: SparkSession, folder: str, name: str, before: int | None = None) -> DataFrame:
+    """The rows of a view as its latest tick published them (before: the latest
+    of the ticks below that one, which is what a repeated tick starts from)."""
     ticks = spark.read.parquet(f"{folder}/{name}")
-    newest = ticks.agg(F.max("tick")).first()[0]
-    return ticks.filter(F.col("tick") == F.lit(newest)).drop("tick", "slot")
+    if before is not None:
+        ticks = ticks.filter(F.col("tick") < before)
+    newest = ticks.agg(F.max(F.struct("tick", "slot")).alias("n")).select("n.*").first()
+    # The slot is a folder: others may be overwritten while these rows are read.
+    return ticks.filter((F.col("slot") == F.lit(newest.slot)) & (F.col("tick") == F.lit(newest.tick))).drop("tick", "slot")
 
 
 def checkpoint_path(root: str, name: str) -> str:

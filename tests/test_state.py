@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from raincourier.operators import history, impact, lifecycle, merge
 from raincourier.sources import eventlog, readers, sinks
 from raincourier.sources.tables import lake
-from raincourier.streaming import jobs, order_state, progress
+from raincourier.streaming import jobs, keyed, order_state, progress, rollup
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2025, 7, 1)
@@ -128,13 +128,13 @@ def test_rollup_over_batches(spark, tmp_path):
     rows = [("ORDER_CREATED", 0, "a", "R1", CREATED), ("ORDER_CREATED", 1, "b", "R1", CREATED), ("DELIVERY_COMPLETED", 30, "a", "R1", done),
             ("DELIVERY_COMPLETED", 31, "b", "R1", {**done, "weather_delay_min": float("nan")}), ("DELIVERY_COMPLETED", 50, "c", "R1", done), ("ORDER_CREATED", 2, "c", "R1", CREATED)]
     log = event(spark, rows)
-    writer = sinks.rollup_folder(str(tmp_path / "rollup"))
+    writer = rollup.rollup_writer(str(tmp_path / "rollup"))
     parts = [log.filter(F.col("event_id").isin(*ids)) for ids in (("e0", "e1"), ("e2", "e4"), ("e3",), ("e5",))]
     for k in (0, 1, 1, 2, 3, 3):
         writer(parts[k], k)
     columns = ["date", "route_id", "category_id", "orders", "sla_breaches", "delay_min_sum", "cost_transport"]
     want = sorted(map(str, lifecycle.delivered_rollup(log).select(columns).collect()))
-    got = sorted(map(str, sinks.read_rollup(spark, str(tmp_path / "rollup")).select(columns).collect()))
+    got = sorted(map(str, rollup.read_rollup(spark, str(tmp_path / "rollup")).select(columns).collect()))
     assert got == want and len(want) == 2 and "None" not in "".join(want) and "nan" not in "".join(want)
 
 
