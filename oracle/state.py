@@ -17,6 +17,7 @@ _X = f"""SELECT 1.0::DOUBLE AS x0, {r(f"({promised('normal_eta_h', 'tier')} - no
 SQL = {
     "fold_orders": "SELECT * EXCLUDE (weather_delay_min), weather_delay_min FROM b_orders",
     "stream_order_state": "SELECT * FROM b_orders",
+    "stream_interval_join": "SELECT * FROM b_orders",
     "stream_state_ttl": f"""SELECT trip_id, route_id, CASE WHEN arrive_at <= {NOW} THEN 'at_hub' ELSE 'in_transit' END AS status, greatest(last_move, planned, CASE WHEN weather_min >= 15 AND slip_at <= {NOW} THEN slip_at ELSE planned END,
         CASE WHEN arrive_at <= {NOW} THEN arrive_at ELSE planned END) AS last_report, CASE WHEN arrive_at <= {NOW} THEN arrive_at END AS arrived_at FROM
         (SELECT *, planned + to_minutes(30*CAST(least(epoch_us({NOW}) - epoch_us(planned), epoch_us(arrive_at) - epoch_us(planned) - 1)//1800000000 AS INTEGER)) AS last_move FROM b_trip0 WHERE planned <= {NOW})

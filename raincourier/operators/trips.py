@@ -12,6 +12,12 @@ from raincourier.operators.climate import forecast
 TRIP = ("route_id", "dispatch")
 
 
+def within_horizon(cohorts: DataFrame, now, hours: float = 48) -> DataFrame:
+    """Cohorts that leave within the horizon (ends included)."""
+    now = clock.moment(now)
+    return cohorts.filter(F.col("dispatch").between(now, clock.plus_hours(now, hours)))
+
+
 def filter_upcoming(orders: DataFrame, now, hours: float) -> DataFrame:
     """Not yet dispatched orders leaving within the horizon (ends included)."""
     now = clock.moment(now)

@@ -13,7 +13,7 @@ from raincourier.plans.ingest_queries import NOW as CLOCK
 from raincourier.sources import eventlog, readers, sinks
 from raincourier.sources.scratch import scratch, written
 from raincourier.sources.tables import event_messages
-from raincourier.streaming import jobs, order_state, progress, rollup
+from raincourier.streaming import jobs, live_state, order_state, progress, rollup
 
 
 MAX_FILES = 8  # part files a trigger takes in
@@ -94,12 +94,22 @@ def stream_branches(lake):
 
 
 
+def _log_folder(lake, parts: int) -> str:
+    """The event log as files, a time range each, that a stream takes one after the other."""
+    path, log = scratch(lake.spark, "log"), lake.event_log
+    ranges = written(log.repartitionByRange(parts, "sim_time").withColumn("part", F.spark_partition_id()), "log-ranges")
+    for part in range(parts):  # the source takes files by their age
+        ranges.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _log_stream(lake, parts: int | None = None):
     """The event log as a stream; with `parts`, in time ranges that arrive in batches of their own."""
+    if parts:
+        return readers.file_stream(lake.spark, _log_folder(lake, parts), lake.event_log.schema, max_files=1)
     path = scratch(lake.spark, "log")
-    log = lake.event_log
-    (log.repartitionByRange(parts, "sim_time") if parts else log).write.parquet(path)
-    return readers.file_stream(lake.spark, path, log.schema, max_files=1 if parts else None)
+    lake.event_log.write.parquet(path)
+    return readers.file_stream(lake.spark, path, lake.event_log.schema)
 
 
 @query()
@@ -113,13 +123,7 @@ def stream_order_state(lake):
 @query()
 def stream_state_ttl(lake):
     """Trips left in the state store after timers forgot the old ones."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = lake.spark.conf.get(provider)
-    lake.spark.conf.set(provider, order_state.ROCKSDB)
-    try:
-        changes = _run(lake, order_state.trip_stream(_log_stream(lake)), "trips", "update")
-    finally:
-        lake.spark.conf.set(provider, before)
+    changes = _rocksdb(lake, lambda: _run(lake, order_state.trip_stream(_log_stream(lake)), "trips", "update"))
     return order_state.current_trips(changes)
 
 
@@ -140,24 +144,51 @@ def stream_late_data(lake):
     return progress.progress_digest(reports).agg(F.sum("dropped_late").alias("dropped_late"), F.sum("rows").alias("rows"))
 
 
+def _rocksdb(lake, run):
+    """Run with the RocksDB state store provider, which keyed processors need."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = lake.spark.conf.get(provider)
+    lake.spark.conf.set(provider, order_state.ROCKSDB)
+    try:
+        return run()
+    finally:
+        lake.spark.conf.set(provider, before)
+
+
+def run_ticks(lake, parts: int, root: str) -> None:
+    """The live engine over the log in `parts` batches, views below `root`."""
+    from raincourier.operators import impact, scoring, trips
+    from raincourier.sources.tables import COEFS
+
+    def risk(cohorts):
+        return scoring.risk_of_cohorts(trips.within_horizon(cohorts, lake.now), lake.routes, lake.hourly_rain(lake.now), lake.route_history, COEFS, lake.now).drop("contributions")
+
+    tick = live_state.IncrementalTick(f"{root}/views", risk, lambda cohorts, risk_table: {"future": impact.future_summary(risk_table, lake.now)}, risk_every=1)
+    log = _log_folder(lake, parts)
+    deltas = live_state.cohort_deltas(lambda: readers.file_stream(lake.spark, log, lake.event_log.schema, max_files=1))
+    _rocksdb(lake, lambda: jobs.drain([jobs.start(deltas, "ticks", tick, f"{root}/checkpoint", every=None)]))
+
+
 @query()
 def stream_tick(lake):
     """Ticks of the live engine over the log streamed in several batches: the
     outlook that the last one publishes."""
-    from raincourier.operators import impact, scoring
-    from raincourier.sources.tables import COEFS
     root = scratch(lake.spark, "tick")
+    run_ticks(lake, 3, root)
+    return sinks.newest_view(lake.spark, f"{root}/views", "future")
 
-    def risk(events):
-        orders = lifecycle.fold_orders(events, lake.routes)
-        return scoring.cohort_risk(orders, lake.routes, lake.hourly_rain(lake.now), lake.route_history, COEFS, lake.now).drop("contributions")
-
-    def views(events, risk_table):
-        return {"future": impact.future_summary(risk_table, lake.now)}
 
-    tick = jobs.Tick(f"{root}/log", f"{root}/views", risk, views, risk_every=1)
-    jobs.drain([jobs.start(_log_stream(lake, parts=3), None, tick, f"{root}/checkpoint", every=None)])
-    return sinks.newest_view(lake.spark, f"{root}/views", "future")
+@query()
+def stream_interval_join(lake):
+    """The order table from orders' own events and the trip reports that a
+    stream-stream join brought to their members."""
+    root, log = scratch(lake.spark, "interval-join"), _log_folder(lake, 3)
+    source = lambda: readers.file_stream(lake.spark, log, lake.event_log.schema, max_files=1)
+    reports = live_state.member_reports(source)
+    jobs.drain([jobs.start(source(), None, order_state.delta_writer(f"{root}/state"), f"{root}/orders-checkpoint", every=None),
+                jobs.start(reports, "member-reports", sinks.batch_folder(f"{root}/reports"), f"{root}/reports-checkpoint", every=None)])
+    orders = order_state.read_facts(lake.spark, f"{root}/state")[0]
+    return live_state.order_view(orders, lake.spark.read.schema(reports.schema).parquet(f"{root}/reports"), lake.routes)
 
 
 @query()

@@ -1,5 +1,5 @@
-"""The long-running queries: four branches of one event source, the live tick
-and recovery by replay."""
+"""The long-running queries: four branches of one event source, and recovery by
+replay."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -67,25 +67,6 @@ def drain(queries: list[StreamingQuery], timeout_s: int = 600) -> None:
             raise query.exception()
 
 
-class Tick:
-    """foreachBatch body of the live engine: appends the batch to the clean
-    log, and rebuilds the views from the log, the risk only every `risk_every`
-    ticks."""
-
-    def __init__(self, log: str, views: str, compute_risk: Callable, compute_views: Callable, risk_every: int = 4):
-        self.log, self.views, self.compute_risk, self.compute_views, self.risk_every = log, views, compute_risk, compute_views, risk_every
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.log}/batch_id={batch_id}")
-        events = spark.read.parquet(self.log).drop("batch_id")
-        risk_path = f"{self.views}/risk"
-        if batch_id % self.risk_every == 0 or not sinks.exists(spark, risk_path):
-            sinks.publish_views({"risk": self.compute_risk(events)}, self.views, batch_id)
-        risk = sinks.newest_view(spark, self.views, "risk")
-        sinks.publish_views(self.compute_views(events, risk), self.views, batch_id)
-
-
 def recover(history: DataFrame, log: DataFrame, replay_start: str, rollup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """History after a restart without checkpoint: days of the replay are
     dropped and rebuilt from the retained log."""

@@ -8,68 +8,88 @@ starts from the manifest before it and overwrites its own output."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raincourier.sources import sinks
 
-_MARK = -1  # the manifest's own row: it stands even when all buckets are empty
+_MANIFEST = "batch bigint, mark double, bucket int, place int, rows bigint"
+_SLOTS = 3  # manifests kept: the newest, the one a repeated batch starts from, and one being written
+
+
+@dataclass
+class Manifest:
+    """What a batch left: the slot and the rows of each bucket that has any, and its mark."""
+    batch: int = -1
+    mark: float | None = None
+    slots: dict[int, int] = field(default_factory=dict)
+    rows: dict[int, int] = field(default_factory=dict)
 
 
 class KeyedTable:
-    """A table of `schema` (without bucket) below `folder`. Buckets are numbers from 0 on."""
+    """A table of `schema` (without bucket) below `folder`. Buckets are numbers from
+    0 on; the driver holds one number pair per bucket, never a row."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str | T.StructType):
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder = spark, folder
-        self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-
-    def manifest(self, before: int | None = None) -> tuple[dict[int, int], int, object]:
-        """(slot of each bucket that has rows, rows in all, mark) as of the newest
-        batch, or of the newest below `before`. One row per bucket."""
-        if not sinks.exists(self.spark, f"{self.folder}/manifest"):
-            return {}, 0, None
-        rows = sinks.newest_view(self.spark, self.folder, "manifest", before).collect()
-        slots = {r.bucket: r.place for r in rows if r.bucket != _MARK}
-        return slots, sum(r.rows for r in rows), max((r.mark for r in rows if r.mark is not None), default=None)
-
-    def _files(self, slots: Iterable[tuple[int, int]]) -> DataFrame:
-        """Rows of (bucket, slot) pairs; the reader lists no other folders' files."""
+        self.schema = T.StructType.fromDDL(schema)
+
+    def _read(self, name: str, schema) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+
+    def manifest(self, before: int | None = None) -> Manifest:
+        """As of the newest batch, or of the newest one below `before`."""
+        table, out = self._read("manifest", _MANIFEST), Manifest()
+        rows = [] if table is None else [r for r in table.collect() if before is None or r.batch < before]
+        for r in rows:
+            if r.batch > out.batch:
+                out = Manifest(r.batch, r.mark)
+            if r.batch == out.batch and r.bucket is not None:
+                out.slots[r.bucket], out.rows[r.bucket] = r.place, r.rows
+        return out
+
+    def _files(self, slots: dict[int, int]) -> DataFrame:
+        """Rows of buckets in the slots given; no other folder's files are opened."""
         by_slot: dict[int, list[int]] = {}
-        for bucket, slot in slots:
+        for bucket, slot in slots.items():
             by_slot.setdefault(slot, []).append(bucket)
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-        if not by_slot or not sinks.exists(self.spark, f"{self.folder}/rows"):
+        table = self._read("rows", schema) if by_slot else None
+        if table is None:
             return self.spark.createDataFrame([], schema)
-        wanted = reduce(or_, [(F.col("slot") == slot) & F.col("bucket").isin(buckets) for slot, buckets in by_slot.items()])
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/rows").filter(wanted)
-
-    def rows(self, buckets: Iterable[int] | None = None, before: int | None = None) -> DataFrame:
-        """Rows of the given buckets (all by default), with their bucket."""
-        slots = self.manifest(before)[0]
-        wanted = slots if buckets is None else [b for b in buckets if b in slots]
-        return self._files((b, slots[b]) for b in wanted).drop("batch", "slot")
-
-    def replace(self, batch_id: int, rows: DataFrame, touched: Iterable[int], mark=None) -> int:
-        """Make `rows` (with bucket) the content of the touched buckets; returns the
-        rows of the whole table. `mark` (a number) is kept in the manifest."""
-        touched, (slots, _, old_mark) = set(touched), self.manifest(before=batch_id)
-        target = {b: 1 - slots.get(b, 1) for b in touched}
-        columns = [*self.schema.names, F.lit(batch_id).cast("long").alias("batch"), _slot_of(target).alias("slot"), F.col("bucket").cast("int").alias("bucket")]
-        if touched:
-            # One file per bucket; a bucket without rows keeps stale ones, which the batch number tells apart.
+        return table.filter(reduce(or_, [(F.col("slot") == slot) & F.col("bucket").isin(buckets) for slot, buckets in by_slot.items()]))
+
+    def rows(self, buckets: Iterable[int] | None = None, at: Manifest | None = None) -> DataFrame:
+        """Rows of the given buckets (all by default) as of a manifest (the newest), with their bucket."""
+        slots = (at or self.manifest()).slots
+        return self._files(slots if buckets is None else {b: slots[b] for b in buckets if b in slots}).drop("batch", "slot")
+
+    def replace(self, batch_id: int, rows: DataFrame, touched: Iterable[int], at: Manifest, mark: float | None = None) -> Manifest:
+        """Make `rows` (with bucket) the content of the touched buckets. `at` is the
+        manifest before this batch, `mark` a number to keep."""
+        target = {b: 1 - at.slots.get(b, 1) for b in set(touched)}
+        new = Manifest(batch_id, at.mark if mark is None else mark, *({b: v for b, v in old.items() if b not in target} for old in (at.slots, at.rows)))
+        if target:
+            columns = [*self.schema.names, F.lit(batch_id).cast("long").alias("batch"), _slot_of(target).alias("slot"), F.col("bucket").cast("int").alias("bucket")]
+            # One file per bucket. A bucket left without rows keeps a stale file, which the batch number gives away.
             sinks.overwrite_partitions(rows.select(*columns).repartition("bucket"), f"{self.folder}/rows", "slot", "bucket")
-        fresh = self._files(target.items()).filter(F.col("batch") == batch_id).groupBy("bucket").agg(F.count("*").alias("rows"), F.first("slot").alias("place"))
-        kept = [(b, s) for b, s in slots.items() if b not in touched]
-        old = sinks.newest_view(self.spark, self.folder, "manifest", batch_id).filter(F.col("bucket").isin([b for b, _ in kept])).select("bucket", "rows", "place") if kept else None
-        mark = mark if mark is not None else old_mark
-        own = self.spark.range(1).select(F.lit(_MARK).alias("bucket"), F.lit(0).cast("long").alias("rows"), F.lit(0).alias("place"))
-        manifest = (fresh.unionByName(own) if old is None else fresh.unionByName(old).unionByName(own)).withColumn("mark", F.lit(mark).cast("double"))
-        sinks.publish_views({"manifest": manifest.coalesce(1)}, self.folder, batch_id)
-        return self.manifest()[1]
+            for r in self._files(target).filter(F.col("batch") == batch_id).groupBy("bucket").count().collect():
+                new.slots[r["bucket"]], new.rows[r["bucket"]] = target[r["bucket"]], r["count"]
+        # The row without a bucket stands even when the table is empty.
+        lines = [(batch_id, new.mark, None, None, 0), *[(batch_id, new.mark, b, slot, new.rows[b]) for b, slot in new.slots.items()]]
+        self.spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/slot={batch_id % _SLOTS}")
+        return new
 
 
 def _slot_of(target: dict[int, int]) -> Column:
@@ -79,8 +99,3 @@ def _slot_of(target: dict[int, int]) -> Column:
 
 def bucket_of(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
-def buckets_in(rows: DataFrame) -> list[int]:
-    """The buckets that occur, at most as many as the table has."""
-    return [r.bucket for r in rows.select("bucket").distinct().collect()]

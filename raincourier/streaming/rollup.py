@@ -14,9 +14,9 @@ from raincourier import settings as S
 from raincourier.functions import rain, service
 from raincourier.functions.numeric import rounded
 from raincourier.operators import lifecycle
-from raincourier.streaming.keyed import KeyedTable, bucket_of, buckets_in
+from raincourier.streaming.keyed import KeyedTable, bucket_of
 
-BUCKETS = 32
+BUCKETS = 16
 # An undelivered order is forgotten so long after its planned dispatch, an unannounced completion as a delivered order.
 KEEP_UNDELIVERED_H = 24 * 7
 _CREATED = "struct<sim_time: timestamp, event_id: string, route_id: string, category_id: string, tier: string, planned_dispatch: timestamp>"
@@ -36,17 +36,18 @@ def rollup_table(spark: SparkSession, path: str) -> KeyedTable:
 
 
 def _of_batch(batch: DataFrame) -> DataFrame:
-    """One row per order of the batch: its latest creation and its completions."""
+    """One row per order of the batch: its latest creation, its completions, its latest time."""
     parsed = lifecycle.with_payload(batch.filter(F.col("type").isin("ORDER_CREATED", "DELIVERY_COMPLETED")))
     created = F.struct("sim_time", "event_id", "route_id", "p.category_id", "p.tier", "p.planned_dispatch")
-    done = lifecycle.completion_fields()
-    return parsed.groupBy("order_id").agg(F.max(F.when(F.col("type") == "ORDER_CREATED", created)).cast(_CREATED).alias("o"),
-                                          F.collect_list(F.when(F.col("type") == "DELIVERY_COMPLETED", F.struct("sim_time", *done))).cast(_DONE).alias("done"))
+    return parsed.groupBy("order_id").agg(
+        F.max(F.when(F.col("type") == "ORDER_CREATED", created)).cast(_CREATED).alias("o"),
+        F.collect_list(F.when(F.col("type") == "DELIVERY_COMPLETED", F.struct("sim_time", *lifecycle.completion_fields()))).cast(_DONE).alias("done"),
+        F.max("sim_time").alias("top"))
 
 
-def contributions(orders: DataFrame, sign: int) -> DataFrame:
+def contributions(orders: DataFrame, o: str, done: str, sign: int) -> DataFrame:
     """What orders add to each (date, route, category): counts and sums, all additive."""
-    done = orders.select("o", F.explode("done").alias("d")).filter(F.col("d.sim_time") >= F.col("o.sim_time")).select("o", "d.*")
+    done = orders.select(F.col(o).alias("o"), F.explode(done).alias("d")).filter(F.col("d.sim_time") >= F.col("o.sim_time")).select("o", "d.*")
     wet, one = F.col("class") != "none", F.lit(sign).cast("bigint")
     late, breached = F.coalesce("weather_delay_min", F.lit(0.0)), F.col("breached")
     flag = lambda condition: F.when(condition, one).otherwise(0)
@@ -62,37 +63,44 @@ def _added(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_KEYS).agg(*[F.sum(c).cast("bigint").alias(c) for c in _COUNTS], *[F.round(F.sum(c), 9).alias(c) for c in _SUMS])
 
 
+def _day(date: str):
+    return F.datediff(date, F.lit("1970-01-01"))
+
+
 def rollup_writer(path: str, buckets: int = BUCKETS, keep_h: float = S.KEEP_DELIVERED_H, keep_undelivered_h: float = KEEP_UNDELIVERED_H):
     """foreachBatch body. An order and its delivery may come in any batches and in
     either order, and an order may be announced anew; a repeated batch changes
     nothing. A delivered order is forgotten `keep_h` after its delivery, counted by
-    the latest event seen; what comes for it later does not count."""
+    the latest order event seen; what comes for it later does not count."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         orders, rollup = orders_table(spark, path), rollup_table(spark, path)
+        orders_at, rollup_at = orders.manifest(before=batch_id), rollup.manifest(before=batch_id)
         fresh = _of_batch(batch).withColumn("bucket", bucket_of("order_id", buckets)).persist()
-        changed = None
+        state = changed = None
         try:
-            touched = buckets_in(fresh)
-            high = max((x for x in (batch.agg(F.unix_micros(F.max("sim_time"))).first()[0], orders.manifest(before=batch_id)[2]) if x is not None), default=None)
-            old = orders.rows(touched, before=batch_id)
-            both = old.join(fresh.select("order_id"), "order_id", "left_semi").select("order_id", "o", "done", "bucket").unionByName(fresh.select("order_id", "o", "done", "bucket"))
-            merged = both.groupBy("order_id", "bucket").agg(F.max("o").alias("o"), F.flatten(F.collect_list("done")).alias("done"))
-            changes = contributions(old.join(fresh.select("order_id"), "order_id", "left_semi"), -1).unionByName(contributions(merged, 1))
-            changed = _added(changes).filter(" OR ".join(f"{c} <> 0" for c in (*_COUNTS, *_SUMS))).withColumn("bucket", F.datediff("date", F.lit("1970-01-01"))).persist()
-            days = buckets_in(changed)
-            kept = rollup.rows(days, before=batch_id).unionByName(changed)
-            whole = _added(kept).filter("orders > 0").withColumn("bucket", F.datediff("date", F.lit("1970-01-01")))
+            seen = fresh.groupBy("bucket").agg(F.max(F.unix_micros("top")).alias("top")).collect()
+            touched = [r.bucket for r in seen]
+            high = max([float(r.top) for r in seen] + [orders_at.mark or 0.0])
+            # Old and new rows of an order side by side: one pass over the touched buckets serves both tables.
+            old = orders.rows(touched, orders_at).select("order_id", "bucket", F.col("o").alias("o0"), F.col("done").alias("done0"))
+            both = old.unionByName(fresh.select("order_id", "bucket", F.col("o").alias("o1"), F.col("done").alias("done1")), allowMissingColumns=True)
+            state = both.groupBy("order_id", "bucket").agg(F.max("o0").alias("o0"), F.first("done0", True).alias("done0"), F.max(F.coalesce("o1", "o0")).alias("o"),
+                                                           F.first("done1", True).alias("done1")).persist()
+            merged = state.withColumn("done", F.concat(*[F.coalesce(c, F.array().cast(_DONE)) for c in ("done0", "done1")]))
+            mine = merged.filter("done1 IS NOT NULL")
+            changes = contributions(mine, "o0", "done0", -1).unionByName(contributions(mine, "o", "done", 1))
+            changed = _added(changes).filter(" OR ".join(f"{c} <> 0" for c in (*_COUNTS, *_SUMS))).withColumn("bucket", _day("date")).persist()
+            days = [r.bucket for r in changed.select("bucket").distinct().collect()]
+            whole = _added(rollup.rows(days, rollup_at).unionByName(changed)).filter("orders > 0").withColumn("bucket", _day("date"))
             last = F.unix_micros(F.array_max(F.transform("done", lambda d: d["sim_time"])))
-            hours = lambda h: F.lit(float(high or 0) - h * 3.6e9)
-            alive = F.coalesce(last >= hours(keep_h), F.unix_micros("o.planned_dispatch") >= hours(keep_undelivered_h), F.lit(True))
-            rest = old.join(fresh.select("order_id"), "order_id", "left_anti").select("order_id", "o", "done", "bucket").unionByName(merged.select("order_id", "o", "done", "bucket"))
-            rollup.replace(batch_id, whole, days)
-            orders.replace(batch_id, rest.filter(alive), touched, mark=high)
+            alive = F.coalesce(last >= high - keep_h * 3.6e9, F.unix_micros("o.planned_dispatch") >= high - keep_undelivered_h * 3.6e9, F.lit(True))
+            rollup.replace(batch_id, whole, days, rollup_at)
+            orders.replace(batch_id, merged.filter(alive), touched, orders_at, mark=high)
         finally:
-            fresh.unpersist()
-            if changed is not None:
-                changed.unpersist()
+            for table in (fresh, state, changed):
+                if table is not None:
+                    table.unpersist()
     return write
 
 
