@@ -9,6 +9,7 @@ SQL = {
         WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'R' GROUP BY 1""",
     "sink_raw_partitioned": "SELECT CAST(kafka_ts AS DATE) AS date, count(*) AS rows, count(event_id) AS with_id FROM b_checked GROUP BY 1",
     "sink_quarantine": "SELECT reason, event_id FROM b_checked WHERE reason IS NOT NULL",
+    "sink_two_phase": "SELECT type, count(*) AS json_rows, count(*) AS table_rows FROM b_clean GROUP BY 1",
     "sink_multi": "SELECT type, count(*) AS json_rows, count(*) AS table_rows FROM b_clean GROUP BY 1",
     "sink_jdbc_append": "SELECT type, CAST(1 AS INTEGER) AS batch_id, count(*) AS rows FROM b_clean GROUP BY 1",
     "sink_bulk_load": f"SELECT {daily('rain_mm')} AS severity, count(*) AS rows, {r('sum(rain_mm)', 1)} AS rain_mm FROM b_daily GROUP BY 1",

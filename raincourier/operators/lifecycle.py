@@ -8,13 +8,15 @@ ignored.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raincourier import settings as S
 from raincourier.functions import clock, rain, service
 from raincourier.functions.numeric import finite, rounded
-from raincourier.operators.ordered import running_before
+from raincourier.operators.ordered import in_ranges, running_before
 from raincourier.sources.schemas import PAYLOAD
 
 TRIP_TYPES = ("VEHICLE_DISPATCHED", "VEHICLE_MOVEMENT", "HUB_ARRIVAL", "DELIVERY_DELAY")
@@ -210,28 +212,91 @@ def high_water_mark(events: DataFrame) -> DataFrame:
     return before.select("emitted_at", F.greatest("reached", "earlier").alias("high_water"))
 
 
+_BEFORE = -(1 << 62)  # nothing reached yet
+_JUMP_US = int(S.REPLAY_JUMP_H * 3_600_000_000)
+
+
+def _next_start(low: np.ndarray, high: np.ndarray, first: int, reached: int) -> int:
+    """Row from `first` on where business time falls behind what was reached, or the number of rows."""
+    before = np.maximum.accumulate(np.concatenate([[reached], high[first:-1]]))[:len(low) - first]
+    hits = low[first:] < before - _JUMP_US
+    return first + int(hits.argmax()) if hits.any() else len(low)
+
+
+def _starts(low: np.ndarray, high: np.ndarray, reached: int) -> list[int]:
+    """All rows where a lap starts, entering with what was reached before."""
+    out, at = [], _next_start(low, high, 0, reached)
+    while at < len(low):
+        out.append(at)
+        at = _next_start(low, high, at + 1, int(high[at])) if at + 1 < len(low) else len(low)
+    return out
+
+
+def _range_summary(group: pd.DataFrame) -> pd.DataFrame:
+    """What a key range does to the highest time reached on entry: the laps begun
+    in it and the highest time on exit. Entering above a limit begins a lap at the
+    row that sets it, and what follows no longer depends on the entry; limits fall
+    from row to row, so they are the running minima of the rows. The last entry,
+    without a limit, is for all others."""
+    group = group.sort_values("at")
+    low, high = group["low_us"].to_numpy(), group["high_us"].to_numpy()
+    inner = _next_start(low, high, 0, _BEFORE)
+    least = np.minimum.accumulate(low[:inner]) if inner else low[:0]
+    records = np.flatnonzero(np.concatenate([[True], least[1:] < least[:-1]])) if len(least) else np.zeros(0, np.int64)
+    known: dict[int, tuple[int, int]] = {}
+
+    def after(start: int) -> tuple[int, int]:
+        """(laps begun from this start on, highest time on exit)."""
+        path = []
+        while start not in known and start < len(low):
+            path.append(start)
+            start = _next_start(low, high, start + 1, int(high[start])) if start + 1 < len(low) else len(low)
+        laps, reached = known.get(start, (0, int(high[path[-1]:].max()) if path else _BEFORE))
+        for row in reversed(path):
+            laps += 1
+            known[row] = laps, reached
+        return laps, reached
+
+    rows = [(int(low[r]) + _JUMP_US, *after(int(r))) for r in records]
+    rows.append((_BEFORE, *after(inner)) if inner < len(low) else (_BEFORE, 0, int(high.max())))
+    return pd.DataFrame([(group["_range"].iloc[0], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], inner < len(low))], columns=["_range", "above", "laps", "reached", "inner"])
+
+
+def _through(summary, reached: int) -> tuple[int, int]:
+    """(laps begun, highest time on exit) of a range entered with `reached`."""
+    for above, laps, out in zip(summary.above[:-1], summary.laps, summary.reached):
+        if reached > above:
+            return laps, out
+    return (summary.laps[-1], summary.reached[-1]) if summary.inner else (0, max(reached, summary.reached[-1]))
+
+
 def replay_wrap(events: DataFrame) -> DataFrame:
     """Number the laps of a replay: a new lap starts when business time falls
     more than twelve hours behind the lap's high-water mark. Arrival order is
     emitted_at; simultaneous events run in business-time order.
 
-    Each round finds the next lap start with one distributed running maximum
-    over the rest of the log, so there is one round per lap.
-    """
-    instants = (events.groupBy("emitted_at").agg(F.min("sim_time").alias("low"), F.max("sim_time").alias("high"))
-                .withColumn("at", F.unix_micros("emitted_at").cast("double")).persist())
-    starts, rest = [], instants
-    while True:
-        before = running_before(rest, "at", {"reached": (F.max, F.col("high"))})
-        jump = F.col("low") < clock.plus_hours(F.col("reached"), -float(S.REPLAY_JUMP_H))
-        found = before.filter(jump).agg(F.min("at").alias("at")).first()["at"]
-        if found is None:
-            break
-        starts.append(int(found))
-        rest = instants.filter(F.col("at") >= found)
-    instants.unpersist()
-    lap = sum((F.when(F.unix_micros("emitted_at") >= start, 1).otherwise(0) for start in starts), F.lit(0))
-    return events.withColumn("lap", lap.cast("bigint"))
+    The log is read once into key ranges. Each range is summed up by itself, the
+    few summaries are folded in order, and each range then numbers its instants,
+    so the number of jobs does not depend on the number of laps."""
+    instants = events.groupBy("emitted_at").agg(F.unix_micros(F.min("sim_time")).alias("low_us"), F.unix_micros(F.max("sim_time")).alias("high_us"))
+    split = in_ranges(instants.withColumn("at", F.unix_micros("emitted_at")), "at")
+    summaries = split.groupBy("_range").applyInPandas(_range_summary, "_range int, above array<bigint>, laps array<bigint>, reached array<bigint>, inner boolean")
+    entries, reached, laps = [], _BEFORE, 0
+    for summary in sorted(summaries.collect(), key=lambda s: s["_range"]):  # a row per range
+        entries.append((summary["_range"], reached, laps))
+        begun, reached = _through(summary, reached)
+        laps += begun
+    entry = events.sparkSession.createDataFrame(entries, "_range int, entry bigint, laps bigint")
+
+    def number(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        begins = np.zeros(len(group), np.int64)
+        begins[_starts(group["low_us"].to_numpy(), group["high_us"].to_numpy(), int(group["entry"].iloc[0]))] = 1
+        return pd.DataFrame({"at": group["at"], "lap": group["laps"] + begins.cumsum()})
+
+    numbered = split.join(F.broadcast(entry), "_range").groupBy("_range").applyInPandas(number, "at bigint, lap bigint")
+    numbered = numbered.withColumnsRenamed({"at": "_at", "lap": "_lap"})
+    return events.join(numbered, F.unix_micros("emitted_at") == F.col("_at")).select(*events.columns, F.col("_lap").alias("lap"))
 
 
 def latest_lap(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from raincourier.sources.scratch import written
 
 
-def _in_ranges(df: DataFrame, key: str) -> DataFrame:
+def in_ranges(df: DataFrame, key: str) -> DataFrame:
     """Rows with the number of their key range, higher numbers for higher keys.
     The split points only balance work, results never depend on them."""
     return written(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
@@ -22,7 +22,7 @@ def _in_ranges(df: DataFrame, key: str) -> DataFrame:
 def running_before(df: DataFrame, key: str, values: dict) -> DataFrame:
     """For each output name, (aggregate, column) over all rows with a smaller
     key; null for the first row. `aggregate` is F.sum or F.max."""
-    split = _in_ranges(df, key)
+    split = in_ranges(df, key)
     sums = split.groupBy("_range").agg(*[agg(column).alias(f"_{name}") for name, (agg, column) in values.items()])
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
     carry = sums.select("_range", *[agg(f"_{name}").over(earlier).alias(f"_c_{name}") for name, (agg, _) in values.items()])

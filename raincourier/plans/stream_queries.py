@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from raincourier.operators import ingest, lifecycle
 from raincourier.plans.catalog import query
 from raincourier.plans.ingest_queries import NOW as CLOCK
-from raincourier.sources import eventlog, readers, sinks
+from raincourier.sources import readers, sinks, staged, topic
 from raincourier.sources.scratch import scratch, written
 from raincourier.sources.tables import event_messages
 from raincourier.streaming import jobs, live_state, order_state, progress, rollup
@@ -56,9 +56,30 @@ def clean_stream(lake):
 
 @query()
 def src_event_stream(lake):
-    """The unbounded source, counted by arrival day."""
-    days = source(lake).select(F.to_date("timestamp").alias("day"))
-    return _run(lake, days, "source").groupBy("day").agg(F.count("*").alias("messages"))
+    """The unbounded source, counted by arrival day: an offset log of which no
+    micro-batch takes more rows than the cap."""
+    spark, root = lake.spark, scratch(lake.spark, "topic")
+    topic.publish(event_messages(lake.table("events"), lake.n_cities), f"{root}/topic")
+    stream = topic.topic_stream(spark, f"{root}/topic").select(F.to_date("timestamp").alias("day"))
+    query_ = jobs.start(stream, None, sinks.batch_folder(f"{root}/days"), root, every="0 seconds")
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    return spark.read.schema(stream.schema).parquet(f"{root}/days").groupBy("day").agg(F.count("*").alias("messages"))
+
+
+@query()
+def sink_two_phase(lake):
+    """Clean events staged as parquet and as JSON and committed per batch. The
+    stream runs again without its checkpoint: repeated batches change nothing."""
+    root, events = scratch(lake.spark, "two-phase"), clean_stream(lake).select("event_id", "type")
+    for run in ("first", "again"):
+        writer = staged.staged_writer(events, f"{root}/table", "parquet,json").option("checkpointLocation", f"{root}/{run}")
+        jobs.drain([writer.trigger(availableNow=True).start()])
+    kinds = {kind: staged.read_committed(lake.spark, f"{root}/table", events.schema, kind).groupBy("type").agg(F.count("*").alias(f"{name}_rows"))
+             for kind, name in (("json", "json"), ("parquet", "table"))}
+    return kinds["json"].join(kinds["parquet"], "type")
 
 
 @query()

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +23,7 @@ WATERMARK = "1 hour"
 REPORTS_WITHIN_H = 96
 REPORTS = ("VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL")
 HOUR_US = 3_600_000_000
+COHORT = ("route_id", "city_id", "tier", "dispatch")
 
 
 def member_reports(source: Callable[[], DataFrame], within_h: int = REPORTS_WITHIN_H, watermark: str = WATERMARK) -> DataFrame:
@@ -66,7 +66,6 @@ def order_changes(source: Callable[[], DataFrame], watermark: str = WATERMARK) -
 _STATE = ("created_at bigint, created_id string, route_id string, city_id string, tier string, dispatch bigint, assigned_at bigint, assigned_id string, trip_id string, "
           "completed_at bigint, reports array<struct<trip_id: string, at: bigint>>")
 _FIELDS = [part.split()[0] for part in _STATE.split(", ")[:10]] + ["reports"]
-_OUT = ["route_id", "city_id", "tier", "dispatch", "orders"]
 
 
 class Upcoming(StatefulProcessor):
@@ -100,9 +99,9 @@ class Upcoming(StatefulProcessor):
     @staticmethod
     def take(s: dict, e) -> None:
         """Fold one event in; a later one of its kind replaces an earlier one."""
-        mark = (int(e.at), e.event_id)
+        mark = (e.at, e.event_id)
         if e.type == "ORDER_CREATED" and mark > (-1 if s["created_at"] is None else s["created_at"], s["created_id"] or ""):
-            s.update(created_at=mark[0], created_id=e.event_id, route_id=e.route_id, city_id=e.city_id, tier=e.tier, dispatch=None if pd.isna(e.dispatch) else int(e.dispatch))
+            s.update(created_at=mark[0], created_id=e.event_id, route_id=e.route_id, city_id=e.city_id, tier=e.tier, dispatch=e.dispatch)
         elif e.type == "ORDER_ASSIGNED" and mark > (-1 if s["assigned_at"] is None else s["assigned_at"], s["assigned_id"] or ""):
             s.update(assigned_at=mark[0], assigned_id=e.event_id, trip_id=e.trip_id)
         elif e.type == "DELIVERY_COMPLETED":
@@ -113,33 +112,36 @@ class Upcoming(StatefulProcessor):
             s["reports"] = sorted(last.items())
 
     def _load(self) -> dict:
-        if not self.state.exists():
+        kept = self.state.get()
+        if kept is None:
             return dict.fromkeys(_FIELDS) | {"reports": []}
-        s = dict(zip(_FIELDS, self.state.get()))
+        s = dict(zip(_FIELDS, kept))
         s["reports"] = [(r[0], r[1]) for r in s["reports"] or []]
         return s
 
-    def _moved(self, old, new) -> pd.DataFrame:
-        return pd.DataFrame([(*c, n) for c, n in ((old, -1), (new, 1)) if c is not None and old != new], columns=_OUT)
+    @staticmethod
+    def _moved(old, new) -> Iterator[Row]:
+        for cohort, n in ((old, -1), (new, 1)):
+            if cohort is not None and old != new:
+                yield Row(**dict(zip(COHORT, cohort)), orders=n)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         s = self._load()
-        old, before = self.cohort(s), self.expiry(s)
-        for batch in rows:
-            for e in batch.itertuples(index=False):
-                self.take(s, e)
+        old, known = self.cohort(s), self.expiry(s)
+        for e in rows:
+            self.take(s, e)
         self.state.update(tuple(s[f] for f in _FIELDS))
-        after = self.expiry(s)
-        if after != before or not before:
-            if before:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(max(after, 1))
-        yield self._moved(old, self.cohort(s))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not known:  # one timer an order; it is set on when it rings too early
+            self.handle.registerTimer(max(self.expiry(s), 1))
+        yield from self._moved(old, self.cohort(s))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = self._load()
+        if self.expiry(s) > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(self.expiry(s))
+            return
         self.state.clear()
-        yield self._moved(self.cohort(s), None)
+        yield from self._moved(self.cohort(s), None)
 
     def close(self) -> None:
         pass
@@ -149,13 +151,10 @@ def cohort_deltas(source: Callable[[], DataFrame], watermark: str = WATERMARK) -
     """Signed changes (route_id, city_id, tier, dispatch, orders) of upcoming
     cohorts, append mode; needs the RocksDB state store provider."""
     changes = order_changes(source, watermark).withColumn("at", F.unix_micros("sim_time"))
-    out = changes.groupBy("order_id").transformWithStateInPandas(Upcoming(), "route_id string, city_id string, tier string, dispatch bigint, orders bigint", "Append", "EventTime")
+    out = changes.groupBy("order_id").transformWithState(Upcoming(), "route_id string, city_id string, tier string, dispatch bigint, orders bigint", "Append", "EventTime")
     return out.withColumn("dispatch", F.timestamp_micros("dispatch"))
 
 
-COHORT = ("route_id", "city_id", "tier", "dispatch")
-
-
 class IncrementalTick:
     """foreachBatch body of the live engine over `cohort_deltas`: adds the batch's
     deltas to the stored cohort counts and rebuilds the views from those. A tick
