@@ -3,13 +3,13 @@ from oracle.parts import (FAILS, MULTS, NOW, WEIGHTS, by_class, breach, category
 
 _RISK = "route_id, tier, dispatch, city_id, warehouse_id, orders, score, category, expected_class, p_rain, expected_delay_min, p_breach"
 _DETAIL = {
-    "rainfall": ("Rainfall severity", 30, f"'forecast on the way: '||expected_class||', odds of rain '||{whole('p_rain_max*100')}||'%'"),
-    "route_history": ("Historical route impact", 20, f"'past delay on '||code||' in class '||wet_class||': +'||{whole('wet_ratio*100')}||'% of travel time'"),
-    "exposure": ("Route exposure", 15, f"'wet hours: '||{whole('exposed_share*100')}||'% of '||hours"),
-    "load": ("Warehouse load", 10, f"'exposed orders of the warehouse: '||{whole('load_share*100')}||'%'"),
-    "timing": ("Delivery timing", 8, "'local arrival hour '||lpad(CAST(CAST(floor(arrival) AS INTEGER) AS VARCHAR), 2, '0')||CASE WHEN evening THEN ', after dark' ELSE '' END"),
-    "sla": ("SLA tightness", 12, f"'minutes late / to spare: '||{whole('delay_h*60')}||' / '||{whole('slack_h*60')}"),
-    "performance": ("Route on-time history", 5, f"'on time when dry: '||{whole('none_on_time*100')}||'%'"),
+    "rainfall": ("Rain on the way", 30, f"'forecast on the way: '||expected_class||', odds of rain '||{whole('p_rain_max*100')}||'%'"),
+    "route_history": ("Past delays of the route", 20, f"'past delay on '||code||' in class '||wet_class||': +'||{whole('wet_ratio*100')}||'% of travel time'"),
+    "exposure": ("Hours in the rain", 15, f"'wet hours: '||{whole('exposed_share*100')}||'% of '||hours"),
+    "load": ("Warehouse under rain", 10, f"'exposed orders of the warehouse: '||{whole('load_share*100')}||'%'"),
+    "timing": ("Hour of arrival", 8, "'local arrival hour '||lpad(CAST(CAST(floor(arrival) AS INTEGER) AS VARCHAR), 2, '0')||CASE WHEN evening THEN ', after dark' ELSE '' END"),
+    "sla": ("Time to spare", 12, f"'minutes late / to spare: '||{whole('delay_h*60')}||' / '||{whole('slack_h*60')}"),
+    "performance": ("Dry on-time record", 5, f"'on time when dry: '||{whole('none_on_time*100')}||'%'"),
 }
 _PARTS = " UNION ALL ".join(
     f"SELECT route_id, tier, dispatch, {i} AS ord, '{k}' AS key, '{label}' AS label, {r(f'raw_{k}', 1)} AS points, {cap} AS cap, {detail} AS detail FROM b_raw"
@@ -148,6 +148,8 @@ SQL = {
     "filter_future": f"SELECT order_id, route, tier, planned_dispatch, score FROM b_future WHERE planned_dispatch BETWEEN {NOW} AND {NOW} + INTERVAL 24 HOUR AND status IN ('scheduled','assigned') AND tier = 'standard' AND (order_id ILIKE '%nation_1%' OR route ILIKE '%nation_1%')",
     "page_future": f"""SELECT * EXCLUDE (state), (SELECT count(*) FROM b_future WHERE state = 'ASIA' AND status IN ('scheduled','assigned') AND planned_dispatch BETWEEN {NOW} AND {NOW} + INTERVAL 48 HOUR) AS total FROM b_future
         WHERE state = 'ASIA' AND status IN ('scheduled','assigned') AND planned_dispatch BETWEEN {NOW} AND {NOW} + INTERVAL 48 HOUR ORDER BY p_breach DESC, order_id LIMIT 25 OFFSET 25""",
+    "next_page": f"""SELECT * EXCLUDE (state) FROM b_future
+        WHERE state = 'ASIA' AND status IN ('scheduled','assigned') AND planned_dispatch BETWEEN {NOW} AND {NOW} + INTERVAL 48 HOUR ORDER BY p_breach DESC, order_id LIMIT 25 OFFSET 25""",
     "join_route_orders_left": """SELECT order_id, o.tier, status, planned_dispatch, promised_at, score, category, expected_delay_min, p_breach FROM b_orders o LEFT JOIN b_risk p ON p.route_id = o.route_id AND p.tier = o.tier
         AND p.dispatch = o.planned_dispatch WHERE status IN ('scheduled','assigned','in_transit','at_hub') ORDER BY score DESC NULLS LAST, planned_dispatch, order_id LIMIT 100""",
     "join_items_products": f"SELECT p_name AS name, count(*) AS lines, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS qty, {r('sum(l_extendedprice)', 2)} AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",

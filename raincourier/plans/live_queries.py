@@ -287,6 +287,14 @@ def page_future(lake):
     return impact.page_future(impact.filter_future(_future(lake), lake.now, 48, {"state": "ASIA"}), "breach", 2, 25)
 
 
+@query()
+def next_page(lake):
+    """The second page found from the last row of the first one, without an offset."""
+    kept = impact.filter_future(_future(lake), lake.now, 48, {"state": "ASIA"})
+    first = impact.page_future(kept, "breach", 1, 25).collect()  # one page
+    return impact.next_page(kept, (first[-1].p_breach, first[-1].order_id), "breach", 25) if len(first) == 25 else kept.select(*impact.FUTURE_COLUMNS).limit(0)
+
+
 @query()
 def join_route_orders_left(lake):
     return impact.join_route_orders_left(lake.order_book, risk_of(lake), limit=100)

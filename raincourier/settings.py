@@ -92,13 +92,13 @@ RISK_CAPS = {
     "performance": 5,
 }
 RISK_LABELS = {
-    "rainfall": "Rainfall severity",
-    "route_history": "Historical route impact",
-    "exposure": "Route exposure",
-    "load": "Warehouse load",
-    "timing": "Delivery timing",
-    "sla": "SLA tightness",
-    "performance": "Route on-time history",
+    "rainfall": "Rain on the way",
+    "route_history": "Past delays of the route",
+    "exposure": "Hours in the rain",
+    "load": "Warehouse under rain",
+    "timing": "Hour of arrival",
+    "sla": "Time to spare",
+    "performance": "Dry on-time record",
 }
 RISK_EDGES = (("Critical", 75), ("High", 50), ("Medium", 25))
 HISTORY_RATIO_FULL = 0.5
