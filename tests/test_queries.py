@@ -11,7 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FAST = ["agg_city_window", "hist_severity", "climatology", "join_two_nearest", "trip_exposure", "risk_score", "live_kpis", "impact_rollup",
-        "scenario_eval", "fold_trips", "replay_wrap", "stream_tumbling", "merge_upsert_orders"]
+        "scenario_eval", "fold_trips", "replay_wrap", "stream_tumbling", "merge_upsert_orders", "alerts", "next_page", "src_event_stream", "sink_two_phase"]
 NAMES = sorted(queries()) if os.environ.get("RAINCOURIER_ALL") else FAST
 
 
