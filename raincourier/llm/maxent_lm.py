@@ -1,43 +1,40 @@
-"""Language model: a hashed maximum-entropy model of token shapes, and above it
-a row of its own for every context of the corpus.
-
-A token falls into one of 16 classes and 16 members of it, by its shape. The
-lowest level is P(class | context) * P(member | class, context) * P(token | slot).
-The first two are log-linear in hashed features: the previous token, the one
-before it (a skip) and both; the last is the token's smoothed share in its slot,
-counted over all training texts. Weights are trained by gradient steps inside
-each task and averaged over tasks by tokens seen, round after round.
-
-Hashed rows are of fixed number, so they only model shapes. Above them each
-distinct skip token, previous token and pair has weights for every token that
-follows it: of a level below, P, it makes P'(token) = (n(context, token) + s P) /
-(n(context) + s). That is the maximum of likelihood less s times the relative
-entropy to P, solved exactly by counts, so nothing is averaged. Counts are those
-of the whole corpus, held by key range; a pack gets those of its own tokens."""
+"""Language model: a hashed maximum-entropy model with a class-factored softmax.
+
+A token is a path of three choices among 16: its class and its member of the
+class, by its shape, and its cell, by its hash. The last factor is the token's
+smoothed share in its cell, counted over all training texts:
+P(class | context) * P(member | class, context) * P(cell | member, context) * share.
+Each choice is log-linear in hashed features of its context: the previous token,
+the one before it (a skip) and both. A choice below the first has weights of its
+own for each choice above it.
+
+Weights are trained by gradient steps inside each task and averaged, each row over
+the tasks that met it and by how often they did, so a rare row is not thinned out. Each kind of feature has 8 * sqrt(V) rows, V distinct training tokens,
+so the model grows with the corpus, yet fits into a task: 100 million distinct
+tokens make 80 000 rows a kind, 0.5 GB. Token counts stay in Spark, whatever V is.
+
+Scores depend on a text alone: equal texts score equally, learned from or held out."""
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raincourier.llm.packs import Pack, census, find, make_packs, mixed, unnarrow, with_answers
 from raincourier.sources.scratch import written
 
-CLASSES = MEMBERS = 16
-SLOTS = CLASSES * MEMBERS
-HASHED = 1024
-ROWS = 1 + 3 * HASHED
-BATCH, RATE, ROUNDS, CHUNKS = 16_384, 0.15, 2, 256
-LEVELS = (300.0, 100.0, 10.0)  # s of skip, previous and pair
-SIZE = ROWS * (CLASSES + SLOTS)
+FAN = 16  # choices at each of the three levels
+SLOTS, CELLS = FAN ** 2, FAN ** 3
+KINDS = 3
+BATCH, RATE, ROUNDS, PIECE, MERGED = 8_192, 0.3, 2, 1_024, 64
 END = np.uint64(0xC0FFEE00000000F0)  # key of the end token; its slot is the first of the last class
 _START = np.uint64(7)
-_SKIP, _PREVIOUS, _PAIR = np.array([0x51, 0x52, 0x53], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-_LOW = np.uint64(255)
-assert ROWS * CLASSES <= 1 << 16
+_LOW, _CELL = np.uint64(255), np.uint64(CELLS - 1)
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                   ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -60,12 +57,12 @@ def slots(raw: bytes, starts: np.ndarray) -> np.ndarray:
     letter = ((last >= 97) & (last <= 122)) | (last >= 128)
     kind = np.where(last == 46, 0, np.where(last == 44, 1, np.where((last >= 48) & (last <= 57), 2, np.where(letter, by_size, 3))))
     kind = np.where((last == 33) | (last == 63), 4, kind)
-    return kind * MEMBERS + (mixed((last * 256 + before).astype(np.uint64)) % np.uint64(MEMBERS)).astype(np.int64)
+    return kind * FAN + (mixed((last * 256 + before).astype(np.uint64)) % np.uint64(FAN)).astype(np.int64)
 
 
 class Tokens:
     """Tokens of a pack in order, each text closed by the end token: keys whose
-    low byte is the slot, the text's number, and the rows of its features."""
+    low byte is the slot and whose next four bits are the cell in it."""
 
     def __init__(self, body: bytes):
         pack = Pack(body, lower=True)
@@ -83,26 +80,19 @@ class Tokens:
         out[k:] = np.where(self.doc[k:] == self.doc[:-k], self.keys[:-k], _START)
         return out
 
-    def grams(self) -> np.ndarray:
-        """64-bit keys of what is counted at each token: the skip token as context,
-        and the token after its skip, its previous token and its pair."""
+    def contexts(self) -> np.ndarray:
+        """Hashes of the three features of each token: previous, skip, both."""
         one, two = self.back(1), self.back(2)
-        skip, pair = mixed(two + _SKIP), mixed(mixed(one + _PAIR) + two)
-        return np.stack([skip, mixed(skip + self.keys), mixed(mixed(one + _PREVIOUS) + self.keys), mixed(pair + self.keys)])
+        return np.stack([mixed(one), mixed(two + np.uint64(1)), mixed(one * np.uint64(0x9E3779B97F4A7C15) + two)])
 
-    def own_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct grams, this pack's training count of each, and the place of every gram among them."""
-        keys, number = np.unique(self.grams(), return_inverse=True)
-        number = number.reshape(4, -1)
-        return keys, np.bincount(number.ravel(), weights=np.tile(self.train[self.doc], 4), minlength=len(keys)).astype(np.int64), number
+    @property
+    def cells(self) -> np.ndarray:
+        return (self.keys & _CELL).astype(np.int64)
 
-    def features(self) -> np.ndarray:
-        """Row numbers of the four features of each token: constant, previous, skip, both."""
-        one, two = self.back(1), self.back(2)
-        rows = np.zeros((len(self.keys), 4), np.int64)
-        for k, h in enumerate((mixed(one), mixed(two + np.uint64(1)), mixed(one * np.uint64(0x9E3779B97F4A7C15) + two))):
-            rows[:, k + 1] = 1 + k * HASHED + (h % np.uint64(HASHED)).astype(np.int64)
-        return rows
+
+def n_rows(distinct: int) -> int:
+    """Rows of each kind of feature for that many distinct training tokens."""
+    return max(1, math.isqrt(64 * distinct))
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -112,125 +102,160 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights by feature row: 16 class weights, and 16 member weights for each class."""
+    """Sixteen weights for each row of each level. The first row of a level, or the
+    first for each choice above it, is the constant's; then come those of the kinds."""
+
+    def __init__(self, rows: int, flat: np.ndarray):
+        self.rows = rows
+        self.sizes = [1 + KINDS * rows, FAN * (1 + KINDS * rows), SLOTS + FAN * KINDS * rows]
+        ends = np.cumsum([0, *self.sizes]) * FAN
+        self.levels = [flat[a:b].astype(np.float32).reshape(-1, FAN) for a, b in zip(ends[:-1], ends[1:])]
 
-    def __init__(self, flat: np.ndarray):
-        flat = flat.astype(np.float32)
-        self.of_class = flat[:ROWS * CLASSES].reshape(ROWS, CLASSES).copy()
-        self.of_member = flat[ROWS * CLASSES:].reshape(ROWS * CLASSES, MEMBERS).copy()
+    @staticmethod
+    def size(rows: int) -> int:
+        return FAN * (1 + FAN + SLOTS + KINDS * rows * (1 + 2 * FAN))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.of_class.ravel(), self.of_member.ravel()])
-
-    def logs(self, rows: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        inner = rows * CLASSES + kind[:, None]
-        return _log_softmax(self.of_class[rows].sum(axis=1)), _log_softmax(self.of_member[inner].sum(axis=1)), inner
-
-    def score(self, rows: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Natural log of P(slot | context), batch by batch."""
-        out = np.zeros(len(slot))
-        for a in range(0, len(slot), BATCH):
-            part = slot[a:a + BATCH]
-            at, kind = np.arange(len(part)), part // MEMBERS
-            outer, inner, _ = self.logs(rows[a:a + BATCH], kind)
-            out[a:a + BATCH] = outer[at, kind].astype(np.float64) + inner[at, part % MEMBERS]
+        return np.concatenate([w.ravel() for w in self.levels])
+
+    def places(self, contexts: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
+        """Rows of the four features at each level, a row of numbers per feature."""
+        slot, kind = cells % SLOTS, cells % SLOTS // FAN
+        own = (contexts % np.uint64(self.rows)).astype(np.int64)
+        first, second, third = [np.zeros(len(cells), np.int64)], [kind], [slot]
+        for k in range(KINDS):
+            row = 1 + k * self.rows + own[k]
+            first.append(row)
+            second.append(row * FAN + kind)
+            joint = mixed(contexts[k] + (slot.astype(np.uint64) << np.uint64(32)))
+            third.append(SLOTS + k * FAN * self.rows + (joint % np.uint64(FAN * self.rows)).astype(np.int64))
+        return [np.stack(x) for x in (first, second, third)]
+
+    def logs(self, places: list[np.ndarray]) -> list[np.ndarray]:
+        """Natural logs of the sixteen probabilities at each level."""
+        return [_log_softmax(sum(w[p] for p in at)) for w, at in zip(self.levels, places)]
+
+    def score(self, contexts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Natural log of P(cell | context), batch by batch."""
+        out = np.zeros(len(cells))
+        for a in range(0, len(cells), BATCH):
+            part = cells[a:a + BATCH]
+            at = np.arange(len(part))
+            for log, choice in zip(self.logs(self.places(contexts[:, a:a + BATCH], part)), choices(part)):
+                out[a:a + BATCH] += log[at, choice]
+        return out
+
+    def gradients(self, contexts: np.ndarray, cells: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the loss, the negative log probability: per level the rows of the
+        features and each token's gradient by choice, which is that of all its rows."""
+        places, out = self.places(contexts, cells), []
+        for log, at, choice in zip(self.logs(places), places, choices(cells)):
+            np.exp(log, out=log)
+            log[np.arange(len(cells)), choice] -= 1
+            out.append((at, log))
         return out
 
-    def learn(self, rows: np.ndarray, slot: np.ndarray, seen: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
-        """One pass of gradient steps; `seen` holds each weight's squared gradients."""
-        for a in range(0, len(slot), BATCH):
-            part, own = slot[a:a + BATCH], rows[a:a + BATCH]
-            at, kind = np.arange(len(part)), part // MEMBERS
-            outer, inner, places = self.logs(own, kind)
-            np.exp(outer, out=outer)
-            np.exp(inner, out=inner)
-            outer[at, kind] -= 1
-            inner[at, part % MEMBERS] -= 1
-            for k in range(own.shape[1]):
-                _step(self.of_class, seen[0], own[:, k], outer, rate)
-                _step(self.of_member, seen[1], places[:, k], inner, rate)
+    def learn(self, contexts: np.ndarray, cells: np.ndarray, seen: list[np.ndarray], rate: float = RATE) -> None:
+        """One pass of gradient steps; `seen` holds each weight's squared gradients
+        and, in a last column, how often its row was met."""
+        for a in range(0, len(cells), BATCH):
+            for weights, held, (places, grad) in zip(self.levels, seen, self.gradients(contexts[:, a:a + BATCH], cells[a:a + BATCH])):
+                for rows in places:
+                    _step(weights, held, rows, grad, rate)
+
+
+def choices(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return cells % SLOTS // FAN, cells % FAN, cells // SLOTS
+
+
+def ranked(rows: np.ndarray) -> np.ndarray:
+    """Stable order of row numbers; numpy sorts 16 bits at a time by radix."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    for shift in range(16, int(rows.max()).bit_length(), 16):
+        order = order[np.argsort((rows[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
+def by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each is met, and the sum of its gradients."""
+    order = ranked(rows)
+    own = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[starts], np.diff(np.append(starts, len(own))), np.add.reduceat(grad[order], starts, axis=0)
 
 
 def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Sum a batch's gradients by row, then scale each by its history."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # row numbers are below 2^16, which numpy sorts by radix
-    ranked = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    total = np.add.reduceat(grad[order], starts, axis=0) / np.float32(np.sqrt(BATCH))
-    hit = ranked[starts]
-    seen[hit] += total * total
-    weights[hit] -= np.float32(rate) * total / np.sqrt(seen[hit] + np.float32(1e-4))
-
-
-def first_weights(counts: np.ndarray) -> np.ndarray:
-    """The model of slot counts alone: it sits in the constant's row."""
-    by_slot = counts.reshape(CLASSES, MEMBERS) + 1.0
-    flat = np.zeros(SIZE, np.float32)
-    flat[:CLASSES] = np.log(by_slot.sum(axis=1) / by_slot.sum())
-    flat[ROWS * CLASSES:ROWS * CLASSES + SLOTS] = np.log(by_slot / by_slot.sum(axis=1, keepdims=True)).ravel()
-    return flat
-
-
-def train_round(packs: DataFrame, flat: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """Every task learns from its packs, starting at `flat`; the mean of the
-    tasks' weights by tokens is made in Spark, piece by piece. The driver gets
-    one model, whatever the input."""
+    hit, times, total = by_row(rows, grad)
+    total /= np.float32(np.sqrt(BATCH))
+    held = seen[hit]
+    held[:, :FAN] += total * total
+    held[:, FAN] += times
+    seen[hit] = held
+    weights[hit] -= np.float32(rate) * total / np.sqrt(held[:, :FAN] + np.float32(1e-4))
+
+
+def first_weights(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The model of cell counts alone: it sits in the constant's rows."""
+    model = Model(rows, np.zeros(Model.size(rows), np.float32))
+    by_cell = counts.reshape(FAN, SLOTS).T.reshape(FAN, FAN, FAN) + 1.0  # class, member, cell
+    shares = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    model.levels[0][0] = shares(by_cell.sum(axis=(1, 2)))
+    model.levels[1][:FAN] = shares(by_cell.sum(axis=2))
+    model.levels[2][:SLOTS] = shares(by_cell).reshape(SLOTS, FAN)
+    return model.flat()
+
+
+def train_round(packs: DataFrame, flat: np.ndarray, rows: int, rate: float = RATE) -> np.ndarray:
+    """Every task learns from its packs, starting at `flat`. Changes of rows,
+    weighted by how often a task met the row, are added up piece by piece, some
+    tasks at a time; the driver gets one model, however many tasks there were."""
     spark = packs.sparkSession
     shared = spark.sparkContext.broadcast(flat)
+    tasks = packs.rdd.getNumPartitions()
 
     def learn(batches):
-        model, seen, n = Model(shared.value), (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS * CLASSES, MEMBERS), np.float32)), 0
+        model = Model(rows, shared.value)
+        seen = [np.zeros((len(w), FAN + 1), np.float32) for w in model.levels]
         for batch in batches:
             for body in batch.column(0):
                 tokens = Tokens(body.as_py())
                 use = tokens.train[tokens.doc]
-                rows = tokens.features()[use]
-                model.learn(rows, (tokens.keys[use] & _LOW).astype(np.int64), seen, rate)
-                n += len(rows)
-        if n:
-            pieces = np.array_split((model.flat() - shared.value).astype(np.float32), CHUNKS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([n] * CHUNKS, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())],
-                                             ["piece", "n", "delta"])
-
-    def mean(table: pa.Table) -> pa.Table:
-        n = np.asarray(table.column("n"), dtype=np.float64)
-        total = sum(w * np.frombuffer(b.as_py(), np.float32).astype(np.float64) for w, b in zip(n, table.column("delta")))
-        return pa.Table.from_arrays([table.column("piece").slice(0, 1).combine_chunks(), pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())], ["piece", "delta"])
-
-    rows = packs.select("body").mapInArrow(learn, "piece int, n long, delta binary").groupBy("piece").applyInArrow(mean, "piece int, delta binary").collect()
-    if not rows:
-        return flat
-    return flat + np.concatenate([np.frombuffer(r.delta, np.float32) for r in sorted(rows, key=lambda r: r.piece)])
-
-
-def follow(log: np.ndarray, tokens: Tokens, unigrams: np.ndarray, grams: np.ndarray, levels: tuple = LEVELS) -> np.ndarray:
-    """Natural logs of the lowest level, raised by each level of contexts in turn.
-    `unigrams` and the rows of `grams` are training counts at each token. A token of
-    a training text is not held for its own evidence: it is left out of its counts."""
-    own = tokens.train[tokens.doc].astype(np.int64)
-    first, end = tokens.bounds[:-1], unigrams[tokens.bounds[1] - 1]
-
-    def before(counts: np.ndarray) -> np.ndarray:
-        """How often the context of each token comes: as often as the last token
-        with its own context, and at the start of a text once per training text."""
-        out = np.empty_like(counts)
-        out[1:], out[first] = counts[:-1], end
-        return out
-    p = np.exp(log)
-    for strength, context, both in zip(levels, (grams[0], before(unigrams), before(grams[2])), grams[1:]):
-        p = (both - own + strength * p) / (context - own + strength)
-    return np.log(p)
-
-
-def score_texts(docs: DataFrame, rounds: int = ROUNDS, levels: tuple = LEVELS) -> DataFrame:
+                model.learn(tokens.contexts()[:, use], tokens.cells[use], seen, rate)
+        met = np.concatenate([x[:, FAN:] for x in seen])
+        change = np.hstack([(model.flat() - shared.value).reshape(-1, FAN) * met, met]).astype(np.float32)
+        pieces = [(k, change[a:a + PIECE]) for k, a in enumerate(range(0, len(change), PIECE))]
+        pieces = [(k, p.tobytes()) for k, p in pieces if p[:, FAN].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(pieces), pa.int64()),
+                                          pa.array([p for _, p in pieces], pa.binary())], ["piece", "task", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py(), np.float32).astype(np.float64) for b in table.column("sums")).astype(np.float32)
+        first = table.slice(0, 1)
+        return pa.Table.from_arrays([first.column("piece").combine_chunks(), pa.array([first.column("task")[0].as_py() // MERGED], pa.int64()),
+                                     pa.array([total.tobytes()], pa.binary())], ["piece", "task", "sums"])
+
+    schema = "piece int, task long, sums binary"
+    sums = packs.select("body").mapInArrow(learn, schema)
+    while tasks > 0:
+        sums = sums.groupBy("piece", F.expr(f"task div {MERGED}")).applyInArrow(add, schema)
+        tasks //= MERGED
+    out = flat.reshape(-1, FAN).copy()
+    for r in sums.collect():
+        change = np.frombuffer(r.sums, np.float32).reshape(-1, FAN + 1)
+        out[r.piece * PIECE:r.piece * PIECE + len(change)] += change[:, :FAN] / np.maximum(change[:, FAN:], 1)
+    return out.ravel()
+
+
+def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the whole text with its end).
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2; a null id counts
     as empty text there. Null and empty texts are the end token alone. Repeated
     rows count and come out each. With nothing to learn from, every token is
-    unknown and the model is uniform over slots. Token keys have 56 hash bits and
-    8 slot bits, keys of contexts 64. Other columns are ignored."""
+    unknown and the model is uniform over cells. Token keys have 56 hash bits and
+    8 slot bits. Other columns are ignored."""
     packs = make_packs(docs)
 
     def of_pack(body):
@@ -243,54 +268,39 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, levels: tuple = LEVELS) -
         return np.ones(len(keys), bool), np.repeat(total, np.diff(np.append(starts, len(keys))))
 
     def totals(keys, numbers, starts):
-        total, slot = np.add.reduceat(numbers, starts), (keys[starts] & _LOW).astype(np.int64)
-        return np.concatenate([np.bincount(slot, weights=total, minlength=SLOTS), np.bincount(slot[total > 0], minlength=SLOTS)]).astype(np.int64)
+        total, cell = np.add.reduceat(numbers, starts), (keys[starts] & _CELL).astype(np.int64)
+        return np.concatenate([np.bincount(cell, weights=total, minlength=CELLS), np.bincount(cell[total > 0], minlength=CELLS)]).astype(np.int64)
 
     answers = written(census(packs, of_pack, decide, keys_per_byte=0.05, totals=totals), "token-counts")
 
-    def grams_of_pack(body):
-        return Tokens(body).own_grams()[:2]
-
-    def beyond(keys, numbers, starts):
-        # A pack whose own count is the whole count needs no answer.
-        total = np.repeat(np.add.reduceat(numbers, starts), np.diff(np.append(starts, len(keys))))
-        mask = total != numbers
-        return mask, total[mask]
-
-    grams = census(packs, grams_of_pack, beyond, keys_per_byte=0.4)
-
     def add_up(batches):
-        total = np.zeros(2 * SLOTS, np.int64)
+        total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             for b in batch.column(0):
                 total += unnarrow(b.as_py())
-        yield pa.RecordBatch.from_pydict({"k": np.arange(2 * SLOTS, dtype=np.int32), "v": total})
-    sums = np.zeros(2 * SLOTS, np.int64)
+        yield pa.RecordBatch.from_pydict({"k": np.arange(2 * CELLS, dtype=np.int32), "v": total})
+    sums = np.zeros(2 * CELLS, np.int64)
     for r in answers.where("pack = -1").select("numbers").mapInArrow(add_up, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         sums[r.k] = r.v
-    by_slot, distinct = sums[:SLOTS], sums[SLOTS:]
-    n_train, n_distinct = int(by_slot.sum()), int(distinct.sum())
-    flat = first_weights(by_slot)
+    by_cell, distinct = sums[:CELLS], sums[CELLS:]
+    n_train, n_distinct = int(by_cell.sum()), int(distinct.sum())
+    rows = n_rows(n_distinct)
+    flat = first_weights(by_cell, rows)
     for k in range(rounds if n_train else 0):
-        flat = train_round(packs, flat, RATE / (1 + k) ** 2)
+        flat = train_round(packs, flat, rows, RATE / (1 + k) ** 2)
     shared = docs.sparkSession.sparkContext.broadcast(flat)
-    floor = np.log10(by_slot + distinct + 1.0)
+    floor = np.log10(by_cell + distinct + 1.0)
 
     def finish(body, keys, counts):
         tokens = Tokens(body)
         at = find(keys, tokens.keys)
         count = np.where(at >= 0, counts[np.maximum(at, 0)], 0) if len(counts) else np.zeros(len(at), np.int64)
-        slot = (tokens.keys & _LOW).astype(np.int64)
         own = np.log10(count + 1.0)
-        log = Model(shared.value).score(tokens.features(), slot) + (own - floor[slot]) * np.log(10)
-        held, known, number = tokens.own_grams()
-        at = find(keys, held)
-        known[at >= 0] = counts[at[at >= 0]]
-        log = follow(log, tokens, count, known[number], levels) / np.log(10)
+        log = Model(rows, shared.value).score(tokens.contexts(), tokens.cells) / np.log(10) + own - floor[tokens.cells]
         edges = tokens.bounds[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(tokens.ids, pa.int64()), pa.array(~tokens.train), pa.array(np.diff(tokens.bounds)), pa.array(np.add.reduceat((count > 0).astype(np.int64), edges)),
                                           pa.array(np.full(len(edges), n_train)), pa.array(np.add.reduceat(own - np.log10(n_train + n_distinct + 1.0), edges)),
                                           pa.array(np.add.reduceat(log, edges))], schema=_OUT)
 
-    return with_answers(packs, answers.where("pack >= 0").unionAll(grams), finish,
+    return with_answers(packs, answers.where("pack >= 0"), finish,
                         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", _OUT)

@@ -54,10 +54,48 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_slots_are_a_distribution():
-    model = maxent_lm.Model(np.random.default_rng(0).normal(size=maxent_lm.SIZE) / 3)
-    rows = np.array([[0, 5, 2000, 3000]] * maxent_lm.SLOTS)
-    assert math.isclose(np.exp(model.score(rows, np.arange(maxent_lm.SLOTS))).sum(), 1, rel_tol=1e-4)
+def test_cells_are_a_distribution():
+    model = maxent_lm.Model(50, np.random.default_rng(0).normal(size=maxent_lm.Model.size(50)) / 3)
+    context = np.repeat(np.array([[11], [12 << 40], [13 << 50]], np.uint64), maxent_lm.CELLS, axis=1)
+    assert math.isclose(np.exp(model.score(context, np.arange(maxent_lm.CELLS))).sum(), 1, rel_tol=1e-4)
+    counts = np.random.default_rng(1).integers(0, 90, maxent_lm.CELLS)
+    plain = maxent_lm.Model(50, maxent_lm.first_weights(counts, 50)).score(context, np.arange(maxent_lm.CELLS))
+    assert np.allclose(np.exp(plain), (counts + 1) / (counts + 1).sum(), rtol=1e-4)
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(3)
+    context, cells, rows = rng.integers(0, 1 << 62, (3, 200)).astype(np.uint64), rng.integers(0, maxent_lm.CELLS, 200), 5
+    model = maxent_lm.Model(rows, rng.normal(size=maxent_lm.Model.size(rows)) / 3)
+    model.levels = [w.astype(np.float64) for w in model.levels]
+    loss = lambda: -model.score(context, cells).sum()
+    for weights, (places, grad) in zip(model.levels, model.gradients(context, cells)):
+        total = np.zeros_like(weights)
+        for row in places:
+            hit, _, sums = maxent_lm.by_row(row, grad)
+            total[hit] += sums
+        for r, c in zip(rng.choice(np.unique(places), 8), rng.integers(0, maxent_lm.FAN, 8)):
+            at, eps = weights[r, c], 1e-5
+            weights[r, c] = at + eps
+            up = loss()
+            weights[r, c] = at - eps
+            down = loss()
+            weights[r, c] = at
+            assert math.isclose((up - down) / (2 * eps), total[r, c], rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_rows_are_ranked_beyond_sixteen_bits():
+    rows = np.random.default_rng(4).integers(0, 1 << 21, 5000)
+    assert (maxent_lm.ranked(rows) == np.argsort(rows, kind="stable")).all()
+    assert [maxent_lm.n_rows(v) for v in (0, 100, 10_000, 100_000_000)] == [1, 80, 800, 80_000]
+
+
+def test_equal_texts_score_equally(spark, texts):
+    """A text has one probability, whether the model learned from it or not."""
+    held, learned = next(i for i in range(10**6, 10**7) if maxent_lm.held_out(i)), next(i for i in range(10**6, 10**7) if not maxent_lm.held_out(i))
+    docs = [*texts.items(), (held, texts[0]), (learned, texts[0])]
+    score = {r.doc_id: r.score for r in maxent_lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert math.isclose(score[held], score[learned], rel_tol=1e-9) and math.isclose(score[held], score[0], rel_tol=1e-9)
 
 
 def test_contexts_of_the_whole_corpus_count(spark):
@@ -72,34 +110,6 @@ def test_contexts_of_the_whole_corpus_count(spark):
     assert score[held[0]] > score[held[1]] + 300 * 0.5
 
 
-def test_context_levels_against_plain_counts(spark, texts):
-    tokens = {i: t.encode().translate(_FOLD).split() + [None] for i, t in texts.items()}
-    slot = {w: int(maxent_lm.slots(w, np.array([0]))[0]) if w else 240 for ws in tokens.values() for w in ws}
-    context, both, count = Counter(), Counter(), Counter()
-
-    def grams(ws):
-        for two, one, w in zip([0, 0] + ws, [0] + ws, ws):
-            yield w, [("skip", two), ("previous", one), ("pair", two, one)]
-    for i, ws in tokens.items():
-        if not maxent_lm.held_out(i):
-            count.update(ws)
-            for w, cs in grams(ws):
-                context.update(cs)
-                both.update((c, w) for c in cs)
-    by_slot, distinct = Counter(), Counter(slot[w] for w in count)
-    for w, n in count.items():
-        by_slot[slot[w]] += n
-    levels, whole = (30.0, 10.0, 3.0), sum(by_slot.values()) + maxent_lm.SLOTS
-    for r in maxent_lm.score_texts(spark.read.parquet(f"{SF}/documents.parquet"), rounds=0, levels=levels).collect():
-        own, want = int(not r.held_out), 0.0
-        for w, cs in grams(tokens[r.doc_id]):
-            p = (by_slot[slot[w]] + 1) / whole * (count[w] + 1) / (by_slot[slot[w]] + distinct[slot[w]] + 1)
-            for s, c in zip(levels, cs):
-                p = (both[c, w] - own + s * p) / (context[c] - own + s)
-            want += math.log10(p)
-        assert math.isclose(r.score, want, rel_tol=1e-4)
-
-
 def test_quality_counts(spark, texts):
     for r in llm_queries()["op6_quality_rules"](spark, SF).collect():
         text = texts[r.doc_id]
