@@ -9,14 +9,14 @@ the one before it (a skip) and both. A choice below the first has weights of its
 own for each choice above it.
 
 Weights are trained by gradient steps inside each task and averaged, each row over
-the tasks that met it and by how often they did, so a rare row is not thinned out. Each kind of feature has 8 * sqrt(V) rows, V distinct training tokens,
-so the model grows with the corpus, yet fits into a task: 100 million distinct
-tokens make 80 000 rows a kind, 0.5 GB. Token counts stay in Spark, whatever V is.
+the tasks that met it and by how often they did, so a rare row is not thinned out. Each kind of feature has 8 * V^(1/3) rows, V distinct training tokens, so the
+model grows with the corpus, yet fits into a task and its changes stay small beside
+the text it read: a billion distinct tokens make 8 000 rows a kind, 51 MB. Token
+counts stay in Spark, whatever V is.
 
 Scores depend on a text alone: equal texts score equally, learned from or held out."""
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -31,7 +31,8 @@ from raincourier.sources.scratch import written
 FAN = 16  # choices at each of the three levels
 SLOTS, CELLS = FAN ** 2, FAN ** 3
 KINDS = 3
-BATCH, RATE, ROUNDS, PIECE, MERGED = 8_192, 0.3, 2, 1_024, 64
+BATCH, RATE, ROUNDS, PIECE, MERGED = 8_192, 0.3, 1, 1_024, 64
+ROW_FACTOR = 8.0
 END = np.uint64(0xC0FFEE00000000F0)  # key of the end token; its slot is the first of the last class
 _START = np.uint64(7)
 _LOW, _CELL = np.uint64(255), np.uint64(CELLS - 1)
@@ -90,9 +91,9 @@ class Tokens:
         return (self.keys & _CELL).astype(np.int64)
 
 
-def n_rows(distinct: int) -> int:
+def n_rows(distinct: int, factor: float = ROW_FACTOR) -> int:
     """Rows of each kind of feature for that many distinct training tokens."""
-    return max(1, math.isqrt(64 * distinct))
+    return max(1, round(factor * distinct ** (1 / 3)))
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -247,7 +248,7 @@ def train_round(packs: DataFrame, flat: np.ndarray, rows: int, rate: float = RAT
     return out.ravel()
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = ROUNDS, row_factor: float = ROW_FACTOR) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the whole text with its end).
 
@@ -284,7 +285,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         sums[r.k] = r.v
     by_cell, distinct = sums[:CELLS], sums[CELLS:]
     n_train, n_distinct = int(by_cell.sum()), int(distinct.sum())
-    rows = n_rows(n_distinct)
+    rows = n_rows(n_distinct, row_factor)
     flat = first_weights(by_cell, rows)
     for k in range(rounds if n_train else 0):
         flat = train_round(packs, flat, rows, RATE / (1 + k) ** 2)
