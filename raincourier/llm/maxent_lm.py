@@ -9,8 +9,9 @@ the one before it (a skip) and both. A choice below the first has weights of its
 own for each choice above it.
 
 Weights are trained by gradient steps inside each task and averaged, each row over
-the tasks that met it and by how often they did, so a rare row is not thinned out. Each kind of feature has 8 * V^(1/3) rows, V distinct training tokens, so the
-model grows with the corpus, yet fits into a task and its changes stay small beside
+the tasks that met it and by how often they did, so a rare row is
+not thinned out. Each kind of feature has 8 * V^(1/3) rows, V distinct training
+tokens, so the model grows with the corpus, yet fits into a task and its changes stay small beside
 the text it read: a billion distinct tokens make 8 000 rows a kind, 51 MB. Token
 counts stay in Spark, whatever V is.
 
@@ -31,7 +32,7 @@ from raincourier.sources.scratch import written
 FAN = 16  # choices at each of the three levels
 SLOTS, CELLS = FAN ** 2, FAN ** 3
 KINDS = 3
-BATCH, RATE, ROUNDS, PIECE, MERGED = 8_192, 0.3, 1, 1_024, 64
+BATCH, RATE, ROUNDS, PIECE, MERGED = 16_384, 0.3, 1, 1_024, 64
 ROW_FACTOR = 8.0
 END = np.uint64(0xC0FFEE00000000F0)  # key of the end token; its slot is the first of the last class
 _START = np.uint64(7)
@@ -97,11 +98,23 @@ def n_rows(distinct: int, factor: float = ROW_FACTOR) -> int:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """In place. Rows are only centred where their exponentials leave the range of the type."""
+    ones = np.ones(FAN, x.dtype)
+    total = np.exp(x) @ ones if x.size and x.max() < 60 else np.zeros(len(x), x.dtype)
+    if x.size and total.min() < 1e-30:
+        x -= x.max(axis=1, keepdims=True)
+        total = np.exp(x) @ ones
+    x -= np.log(total)[:, None]
     return x
 
 
+def _sum_of(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = weights.take(places[0], axis=0)
+    for rows in places[1:]:
+        out += weights.take(rows, axis=0)
+    return out
+
+
 class Model:
     """Sixteen weights for each row of each level. The first row of a level, or the
     first for each choice above it, is the constant's; then come those of the kinds."""
@@ -134,7 +147,7 @@ class Model:
 
     def logs(self, places: list[np.ndarray]) -> list[np.ndarray]:
         """Natural logs of the sixteen probabilities at each level."""
-        return [_log_softmax(sum(w[p] for p in at)) for w, at in zip(self.levels, places)]
+        return [_log_softmax(_sum_of(w, at)) for w, at in zip(self.levels, places)]
 
     def score(self, contexts: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Natural log of P(cell | context), batch by batch."""
@@ -182,14 +195,14 @@ def by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = ranked(rows)
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[starts], np.diff(np.append(starts, len(own))), np.add.reduceat(grad[order], starts, axis=0)
+    return own[starts], np.diff(np.append(starts, len(own))), np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
 
 
 def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Sum a batch's gradients by row, then scale each by its history."""
     hit, times, total = by_row(rows, grad)
     total /= np.float32(np.sqrt(BATCH))
-    held = seen[hit]
+    held = seen.take(hit, axis=0)
     held[:, :FAN] += total * total
     held[:, FAN] += times
     seen[hit] = held
