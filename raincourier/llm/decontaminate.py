@@ -4,7 +4,12 @@ An occurrence of an item of length L with at most k edits shares at least
 L - q + 1 - k*q of its q-grams, all within k + 1 neighbouring diagonals. q is 8,
 and for short items the largest at which at least one is certain. Shared
 q-grams are counted in overlapping diagonal bands, bands that reach the bound
-are kept and verified by a banded alignment."""
+are kept and verified by a banded alignment.
+
+Memory for a text is bounded: hits are counted slice by slice and bands that
+no later position can reach are closed. Items that repeat a q-gram often are
+counted by text positions instead of pairs of positions, and bands over equal
+stretches of a text are aligned once."""
 from __future__ import annotations
 
 from bisect import bisect_left
@@ -18,6 +23,9 @@ from pyspark.sql import functions as F
 
 Q, EDIT_RATE = 8, 0.1
 BLOCK_CHARS = 4_000_000
+FEW = 4  # places of one q-gram in an item, beyond which the item counts as repetitive
+SLICE = 1 << 19  # pairs of a text position and an item place that are looked at together
+REMEMBERED = 4_096  # alignments of a text kept for equal stretches
 _FILTER_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,7 +60,8 @@ def _sized(hashes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """q-grams of a block of items: sorted hashes, and for each the items and positions that have it."""
+    """q-grams of a block of items: sorted hashes, and for each the items and
+    positions that have it; a repetitive item stands once for each hash, without position."""
     sizes: list
     ids: list
     texts: list
@@ -64,6 +73,7 @@ class Index:
     place: np.ndarray
     bloom: np.ndarray
     short: list
+    repetitive: np.ndarray
 
 
 def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
@@ -78,11 +88,18 @@ def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Inde
     place = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int64) if hashes else np.zeros(0, np.int64)
     order = np.argsort(grams, kind="stable")
     grams, item, place = grams[order], item[order], place[order]
+    first = np.ones(len(grams), bool)
+    first[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
+    heads = np.flatnonzero(first)
+    repetitive = np.zeros(len(texts), bool)
+    repetitive[item[heads[np.diff(np.append(heads, len(grams))) > FEW]]] = True
+    use = first | ~repetitive[item]
+    grams, item, place = grams[use], item[use], np.where(repetitive[item[use]], 0, place[use])
     unique, starts = np.unique(grams, return_index=True)
     bloom = np.zeros(1 << _FILTER_BITS, bool)
     bloom[(unique * _BASE) >> np.uint64(64 - _FILTER_BITS)] = True
     short = [k for k, n in enumerate(sizes) if 0 < n < fit[k]]
-    return Index(np.unique(fit).tolist(), [i for i, _ in items], texts, edits, sizes - fit + 1 - edits * fit, unique, np.append(starts, len(grams)), item, place, bloom, short)
+    return Index(np.unique(fit).tolist(), [i for i, _ in items], texts, edits, sizes - fit + 1 - edits * fit, unique, np.append(starts, len(grams)), item, place, bloom, short, repetitive)
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -110,11 +127,8 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) ->
     return (cost, start, int(at[best]) + len(item)) if cost <= most else None
 
 
-def matches(text: str, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits): for each item its best occurrences,
-    overlapping ones of the same item once."""
-    codes = normal(text)
-    found: list[tuple[int, int, int, int]] = []
+def _hits(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Text positions, in order, whose q-gram some item has, and its number in the index."""
     ats, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for q in index.sizes if len(index.grams) else ():
         hashes = _sized(gram_hashes(codes, q), q)
@@ -124,43 +138,108 @@ def matches(text: str, index: Index) -> list[tuple[int, int, int, int]]:
         ats.append(at[real])
         slots.append(slot[real])
     at, slot = np.concatenate(ats), np.concatenate(slots)
-    if len(at):
-        n = index.starts[slot + 1] - index.starts[slot]
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(index.starts[slot], n) + rank
-        item, place, pos = index.item[entry], index.place[entry], np.repeat(at, n)
-        # No band of an item can reach its bound if all of the text's hits together do not.
-        able = (np.bincount(item, minlength=len(index.need)) >= index.need)[item]
-        item, place, diagonal = item[able], place[able], (pos - place)[able]
-        # Bands run from -longest - 1 to len(codes); shifted, they stay inside an item's span.
-        shift = np.int64(max(map(len, index.texts)) + 2)
-        span = np.int64(len(codes)) + 2 * shift
-        band = diagonal // (index.edits[item] + 1)
-        # Bands overlap by half: band b holds the diagonals of steps b and b + 1.
-        key = np.concatenate([item * span + band, item * span + band - 1]) + shift
-        key, where = np.unique(key, return_inverse=True)
-        sizes = np.bincount(where, minlength=len(key))
-        ends, grouped = np.cumsum(sizes), np.argsort(where, kind="stable")
-        for k in np.flatnonzero(sizes >= index.need[key // span]):
-            t, b = int(key[k] // span), int(key[k] % span - shift)
-            own = grouped[ends[k] - sizes[k]:ends[k]] % len(item)
-            if len(np.unique(place[own])) < index.need[t]:  # a place of the item counts once in a band
-                continue
-            most = int(index.edits[t])
-            start = int(np.median(diagonal[own]))
-            if start >= 0 and np.array_equal(codes[start:start + len(index.texts[t])], index.texts[t]):
-                found.append((t, start, start + len(index.texts[t]), 0))
-                continue
-            hit = align(index.texts[t], codes, b * (most + 1) - most, (b + 2) * (most + 1) - 1 + most, most)
-            if hit:
-                found.append((t, hit[1], hit[2], hit[0]))
+    order = np.argsort(at, kind="stable")
+    return at[order], slot[order]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _by_pairs(at, n, starts, item, place, index: Index, length: int):
+    """Bands that reach their bound by pairs of text position and item place:
+    (item number, band, mean diagonal). Band b holds the diagonals of steps b and b + 1."""
+    shift = np.int64(max(map(len, index.texts)) + 2)
+    span = np.int64(length) + 2 * shift  # bands run from -longest - 1 to the text's length
+    sizes = np.array([len(t) for t in index.texts], np.int64)
+    step = index.edits + 1
+    upto = np.cumsum(n)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(SLICE, upto[-1] if len(upto) else 0, SLICE)) + 1, [len(n)]]))
+    keys, counts, sums = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        entry, pos = _runs(starts[a:b], n[a:b]), np.repeat(at[a:b], n[a:b])
+        t, diagonal = item[entry], pos - place[entry]
+        key = t * span + diagonal // step[t] + shift
+        whole, where = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
+        ones = np.ones(len(key))
+        counts = np.bincount(where, np.concatenate([counts, ones, ones]), len(whole))
+        sums = np.bincount(where, np.concatenate([sums, diagonal, diagonal]), len(whole))
+        keys = whole
+        t, band = keys // span, keys % span - shift
+        closed = np.full(len(keys), True) if b == len(n) else (band + 2) * step[t] + sizes[t] - 2 < at[b]
+        for k in np.flatnonzero(closed & (counts >= index.need[t])):
+            yield int(t[k]), int(band[k]), round(sums[k] / counts[k])
+        keys, counts, sums = keys[~closed], counts[~closed], sums[~closed]
+
+
+def _by_positions(at: np.ndarray, t: int, index: Index):
+    """Bands of a repetitive item that enough of its text positions can lie in."""
+    step, size = int(index.edits[t]) + 1, len(index.texts[t])
+    band = np.arange((int(at[0]) - size) // step - 1, int(at[-1]) // step + 1)
+    inside = np.searchsorted(at, (band + 2) * step + size - 1) - np.searchsorted(at, band * step)
+    for b in band[inside >= index.need[t]].tolist():
+        yield t, b, -1
+
+
+def _bands(codes: np.ndarray, index: Index):
+    """(item number, band, likely diagonal or -1) of every band that reaches its bound."""
+    at, slot = _hits(codes, index)
+    if not len(at):
+        return
+    own, where, times = np.unique(slot, return_inverse=True, return_counts=True)
+    n = index.starts[own + 1] - index.starts[own]
+    entry, gram = _runs(index.starts[own], n), np.repeat(np.arange(len(own)), n)
+    item = index.item[entry]
+    # No band of an item can reach its bound if all of the text's hits together do not.
+    able = np.bincount(item, times[gram], len(index.need)) >= index.need
+    pairs = able[item] & ~index.repetitive[item]
+    n = np.bincount(gram[pairs], minlength=len(own))
+    starts = np.cumsum(n) - n
+    hit = n[where] > 0
+    yield from _by_pairs(at[hit], n[where][hit], starts[where][hit], item[pairs], index.place[entry[pairs]], index, len(codes))
+    rest = able[item] & index.repetitive[item]
+    item, gram = item[rest], gram[rest]
+    order = np.argsort(item, kind="stable")
+    item, gram = item[order], gram[order]
+    for a, b in zip(edges := np.flatnonzero(np.diff(item, prepend=-1)), np.append(edges[1:], len(item))):
+        mine = np.zeros(len(own), bool)
+        mine[gram[a:b]] = True
+        yield from _by_positions(at[mine[where]], int(item[a]), index)
+
+
+def matches(text: str, index: Index) -> list[tuple[int, int, int, int]]:
+    """(item number, start, end, edits): for each item its best occurrences,
+    overlapping ones of the same item once."""
+    codes = normal(text)
+    found: set[tuple[int, int, int, int]] = set()
+    known: dict = {}
+    for t, b, start in _bands(codes, index):
+        item, most = index.texts[t], int(index.edits[t])
+        if start >= 0 and np.array_equal(codes[start:start + len(item)], item):
+            found.add((t, start, start + len(item), 0))
+            continue
+        low, high = b * (most + 1) - most, (b + 2) * (most + 1) - 1 + most
+        a, z = max(low, 0), min(high + len(item), len(codes))
+        # Inside the text the outcome depends on the stretch alone.
+        key = (t, codes[a:z].tobytes()) if low >= 0 and z == high + len(item) else None
+        if key is None or key not in known:
+            hit = align(item, codes[a:z], low - a, high - a, most)
+            if key is not None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = hit
+        else:
+            hit = known[key]
+        if hit:
+            found.add((t, hit[1] + a, hit[2] + a, hit[0]))
     if index.short:
         plain = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         for t in index.short:
             word = index.texts[t].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             start = plain.find(word)
             while start >= 0:
-                found.append((t, start, start + len(word), 0))
+                found.add((t, start, start + len(word), 0))
                 start = plain.find(word, start + len(word))
     kept: list[tuple[int, int, int, int]] = []
     taken: dict[int, tuple[list[int], list[int]]] = {}  # by item, starts and ends of what is kept, in order
@@ -223,7 +302,9 @@ def _clean(shared):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """The rows of documents whose text holds no benchmark item; all columns stay.
-    Each row is judged by its own text, so null and repeated ids do no harm."""
+    Each row is judged by its own text, so null and repeated ids do no harm.
+    Null and empty texts are kept, repeated rows share one verdict, without
+    documents or items the rows stay as they are."""
     out = docs
     for block in item_blocks(benchmark):
         out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(build_index(block, rate=rate)))(F.col("text")))
