@@ -18,10 +18,10 @@ BASE = (("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 HEX_BITS, MIXED_BITS = 3.0, 3.9
-# Strings that look random but are no secrets: one-case words, numbers, UUIDs, paths of plain words, placeholders.
+# Strings that look random but are no secrets: one-case words, numbers, UUIDs, placeholders, paths whose parts have one case or one leading capital.
 # No group is repeated, so a match needs neither a deep stack nor many tries however long the string is.
 ALLOWED = (r"^[a-z_/=-]+$", r"^[A-Z_/=-]+$", r"^[A-Z]?[a-z]+$", r"^[0-9_/=-]+$", r"(?i)example|placeholder|changeme|xxxx|your[_-]?",
-           r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(?![_=-])(?!.*(//|[_=-]{2}|/[_=-]))[A-Za-z/_=-]+$")
+           r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(?![_=-])(?!.*(//|[_=-]{2}|/[_=-]|[a-z][A-Z]|[A-Z]{2}[a-z]))[A-Za-z/_=-]+$")
 _SPAN = "array<struct<start:int,kind:int,name:string,stop:int>>"
 
 
