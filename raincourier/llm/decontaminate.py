@@ -74,6 +74,7 @@ class Index:
     bloom: np.ndarray
     short: list
     repetitive: np.ndarray
+    lengths: np.ndarray
 
 
 def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
@@ -99,7 +100,7 @@ def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Inde
     bloom = np.zeros(1 << _FILTER_BITS, bool)
     bloom[(unique * _BASE) >> np.uint64(64 - _FILTER_BITS)] = True
     short = [k for k, n in enumerate(sizes) if 0 < n < fit[k]]
-    return Index(np.unique(fit).tolist(), [i for i, _ in items], texts, edits, sizes - fit + 1 - edits * fit, unique, np.append(starts, len(grams)), item, place, bloom, short, repetitive)
+    return Index(np.unique(fit).tolist(), [i for i, _ in items], texts, edits, sizes - fit + 1 - edits * fit, unique, np.append(starts, len(grams)), item, place, bloom, short, repetitive, sizes)
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -149,14 +150,15 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _by_pairs(at, n, starts, item, place, index: Index, length: int):
     """Bands that reach their bound by pairs of text position and item place:
-    (item number, band, mean diagonal). Band b holds the diagonals of steps b and b + 1."""
-    shift = np.int64(max(map(len, index.texts)) + 2)
+    (item number, band, median diagonal). Band b holds the diagonals of steps b
+    and b + 1. What reaches it is counted once more, each item place once."""
+    sizes = index.lengths
+    shift = sizes.max() + 2
     span = np.int64(length) + 2 * shift  # bands run from -longest - 1 to the text's length
-    sizes = np.array([len(t) for t in index.texts], np.int64)
     step = index.edits + 1
     upto = np.cumsum(n)
     cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(SLICE, upto[-1] if len(upto) else 0, SLICE)) + 1, [len(n)]]))
-    keys, counts, sums = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0)
     for a, b in zip(cuts[:-1], cuts[1:]):
         entry, pos = _runs(starts[a:b], n[a:b]), np.repeat(at[a:b], n[a:b])
         t, diagonal = item[entry], pos - place[entry]
@@ -164,13 +166,18 @@ def _by_pairs(at, n, starts, item, place, index: Index, length: int):
         whole, where = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
         ones = np.ones(len(key))
         counts = np.bincount(where, np.concatenate([counts, ones, ones]), len(whole))
-        sums = np.bincount(where, np.concatenate([sums, diagonal, diagonal]), len(whole))
         keys = whole
         t, band = keys // span, keys % span - shift
         closed = np.full(len(keys), True) if b == len(n) else (band + 2) * step[t] + sizes[t] - 2 < at[b]
         for k in np.flatnonzero(closed & (counts >= index.need[t])):
-            yield int(t[k]), int(band[k]), round(sums[k] / counts[k])
-        keys, counts, sums = keys[~closed], counts[~closed], sums[~closed]
+            low, high = band[k] * step[t[k]], (band[k] + 2) * step[t[k]]
+            near = slice(*np.searchsorted(at, (low, high + sizes[t[k]] - 1)))
+            entry, pos = _runs(starts[near], n[near]), np.repeat(at[near], n[near])
+            own, lag = place[entry], pos - place[entry]
+            inside = (item[entry] == t[k]) & (lag >= low) & (lag < high)
+            if len(np.unique(own[inside])) >= index.need[t[k]]:
+                yield int(t[k]), int(band[k]), int(np.median(lag[inside]))
+        keys, counts = keys[~closed], counts[~closed]
 
 
 def _by_positions(at: np.ndarray, t: int, index: Index):
@@ -193,6 +200,8 @@ def _bands(codes: np.ndarray, index: Index):
     item = index.item[entry]
     # No band of an item can reach its bound if all of the text's hits together do not.
     able = np.bincount(item, times[gram], len(index.need)) >= index.need
+    if not able[item].any():
+        return
     pairs = able[item] & ~index.repetitive[item]
     n = np.bincount(gram[pairs], minlength=len(own))
     starts = np.cumsum(n) - n
