@@ -19,14 +19,19 @@ def moment(value) -> Column:
     return F.timestamp_micros(F.lit(micros))
 
 
+def _nearest(micros: Column) -> Column:
+    """Half-up to a whole number in plain arithmetic; `round` goes through a decimal text per row."""
+    return (F.signum(micros) * F.floor(F.abs(micros) + 0.5)).cast("bigint")
+
+
 def plus_hours(ts: Column, hours) -> Column:
     hours = hours if isinstance(hours, Column) else F.lit(float(hours))
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(hours * 3.6e9).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(ts) + _nearest(hours * 3.6e9))
 
 
 def plus_minutes(ts: Column, minutes) -> Column:
     minutes = minutes if isinstance(minutes, Column) else F.lit(float(minutes))
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(minutes * 6e7).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(ts) + _nearest(minutes * 6e7))
 
 
 def hours_between(start: Column, end: Column) -> Column:

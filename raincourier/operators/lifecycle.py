@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from raincourier import settings as S
 from raincourier.functions import clock, rain, service
@@ -20,12 +21,16 @@ from raincourier.operators.ordered import in_ranges, running_before
 from raincourier.sources.schemas import PAYLOAD
 
 TRIP_TYPES = ("VEHICLE_DISPATCHED", "VEHICLE_MOVEMENT", "HUB_ARRIVAL", "DELIVERY_DELAY")
+REPORT_TYPES = ("VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL")
 ORDER_TYPES = S.TYPES_WITH_ORDER
+TRIP_FIELDS = ("trip_id", "vehicle_id", "planned_arrival", "near_city", "progress", "lat", "lon", "delay_min", "cause", "hub_id")
 
 
-def with_payload(events: DataFrame) -> DataFrame:
-    """Adds the parsed payload `p`, parsed once per row (see parse_envelope)."""
-    return events.select("*", F.explode(F.array(F.from_json("payload", PAYLOAD))).alias("p"))
+def with_payload(events: DataFrame, *fields: str) -> DataFrame:
+    """Adds the parsed payload `p`, parsed once per row (see parse_envelope): all
+    of its fields, or the given ones."""
+    schema = T.StructType([f for f in PAYLOAD if not fields or f.name in fields])
+    return events.select("*", F.explode(F.array(F.from_json("payload", schema))).alias("p"))
 
 
 def _latest(kind: str, *fields: str) -> Column:
@@ -35,15 +40,19 @@ def _latest(kind: str, *fields: str) -> Column:
     return F.max(F.when(F.col("type") == kind, F.struct(*columns)))
 
 
-def latest_order_events(parsed: DataFrame) -> DataFrame:
-    """Latest created, assigned and completed event per order. All columns are
-    maxima, so partial results of several batches merge by maximum again."""
-    created = ("city_id", "route_id", "customer_id", "warehouse_id", "hub_id", "category_id", "tier", "value_inr", "planned_dispatch", "promised_at")
-    lines = F.max(F.when(F.col("type") == "ORDER_CREATED", F.struct(F.col("sim_time").alias("at"), "event_id", F.size("p.items").alias("n"))))
+CREATED = ("city_id", "route_id", "customer_id", "warehouse_id", "hub_id", "category_id", "tier", "value_inr", "planned_dispatch", "promised_at")
+ASSIGNED = ("trip_id", "vehicle_id")
+COMPLETED = ("trip_id", "weather_class", "delay_min", "weather_delay_min", "sla_breached")
+
+
+def latest_order_events(parsed: DataFrame, created=CREATED, assigned=ASSIGNED, completed=COMPLETED, lines: bool = True) -> DataFrame:
+    """Latest created, assigned and completed event per order, with the fields
+    named. All columns are maxima, so partial results of several batches merge by
+    maximum again."""
+    count = F.max(F.when(F.col("type") == "ORDER_CREATED", F.struct(F.col("sim_time").alias("at"), "event_id", F.size("p.items").alias("n"))))
     return parsed.filter(F.col("type").isin(*ORDER_TYPES)).groupBy("order_id").agg(
-        _latest("ORDER_CREATED", *created).alias("created"), lines.alias("lines"),
-        _latest("ORDER_ASSIGNED", "trip_id", "vehicle_id").alias("assigned"),
-        _latest("DELIVERY_COMPLETED", "trip_id", "weather_class", "delay_min", "weather_delay_min", "sla_breached").alias("completed"))
+        _latest("ORDER_CREATED", *created).alias("created"), *([count.alias("lines")] if lines else []),
+        _latest("ORDER_ASSIGNED", *assigned).alias("assigned"), _latest("DELIVERY_COMPLETED", *completed).alias("completed"))
 
 
 def settle_orders(latest: DataFrame) -> DataFrame:
@@ -111,17 +120,18 @@ def order_rows(members: DataFrame, routes: DataFrame) -> DataFrame:
 
 def fold_orders(events: DataFrame, routes: DataFrame) -> DataFrame:
     """Batch twin of the streaming order state: one row per order."""
-    parsed = with_payload(events)
-    return order_rows(join_trip_members(order_facts(parsed), trip_facts(parsed)), routes)
+    own = with_payload(events.filter(F.col("type").isin(*ORDER_TYPES)))
+    reports = with_payload(events.filter(F.col("type").isin(*REPORT_TYPES)), *TRIP_FIELDS)  # positions do not enter the order table
+    return order_rows(join_trip_members(order_facts(own), trip_facts(reports)), routes)
 
 
 def fold_trips(events: DataFrame) -> DataFrame:
     """One row per open trip with its movement state and open orders; a trip
     whose orders are all delivered is closed."""
-    parsed = with_payload(events)
-    members = order_facts(parsed).filter(F.col("assigned").isNotNull()).groupBy(F.col("assigned.trip_id").alias("trip_id")).agg(
+    orders = settle_orders(latest_order_events(with_payload(events, "trip_id"), ("route_id",), ("trip_id",), (), lines=False))
+    members = orders.filter(F.col("assigned").isNotNull()).groupBy(F.col("assigned.trip_id").alias("trip_id")).agg(
         F.count("*").alias("members"), F.count("completed").alias("done"), F.max("created.route_id").alias("member_route"))
-    joined = trip_facts(parsed).join(members, "trip_id", "full")
+    joined = trip_facts(with_payload(events, *TRIP_FIELDS)).join(members, "trip_id", "full")
     known = F.col("dispatched").isNotNull() | F.col("members").isNotNull()
     open_orders = F.coalesce(F.col("members") - F.col("done"), F.lit(0))
     joined = joined.filter(known & ~F.coalesce((F.col("members") > 0) & (F.col("members") == F.col("done")), F.lit(False)))
@@ -134,7 +144,7 @@ def fold_trips(events: DataFrame) -> DataFrame:
 
 def fold_items(events: DataFrame) -> DataFrame:
     """Order lines announced by creations; the first line of a product stays."""
-    lines = (with_payload(events.filter("type = 'ORDER_CREATED'"))
+    lines = (with_payload(events.filter("type = 'ORDER_CREATED'"), "items")
              .select("order_id", "sim_time", "event_id", F.posexplode("p.items").alias("line", "item")))
     first = lines.groupBy("order_id", "item.product_id").agg(F.min(F.struct("sim_time", "event_id", "line", "item.qty", "item.price_inr")).alias("first"))
     return first.select("order_id", "product_id", "first.qty", "first.price_inr")
@@ -163,8 +173,8 @@ def completions(parsed: DataFrame) -> DataFrame:
 def delivered_rollup(events: DataFrame) -> DataFrame:
     """Completed deliveries per (day, route, category), ready to be added to
     the history fact. Completions of unknown orders do not count."""
-    parsed = with_payload(events)
-    return account(completions(parsed), creations(parsed))
+    done = with_payload(events, "weather_class", "weather_delay_min", "delay_min", "sla_breached")
+    return account(completions(done), creations(with_payload(events, "category_id", "tier")))
 
 
 def account(done: DataFrame, known: DataFrame) -> DataFrame:
@@ -197,11 +207,12 @@ def expire_orders(orders: DataFrame, now, expired: bool = False) -> DataFrame:
 def changed_orders(events: DataFrame, since) -> DataFrame:
     """Orders touched by events later than `since`: named ones, and the members
     of trips that reported."""
-    parsed = with_payload(events)
+    parsed = with_payload(events, "trip_id")
     recent = parsed.filter(F.col("sim_time") > clock.moment(since))
     named = recent.filter(F.col("type").isin(*ORDER_TYPES)).select("order_id").distinct()
-    trips = recent.filter(F.col("type").isin("VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL")).select(F.col("p.trip_id").alias("trip_id")).distinct()
-    members = order_facts(parsed).select("order_id", F.col("assigned.trip_id").alias("trip_id")).join(trips, "trip_id", "left_semi").select("order_id")
+    trips = recent.filter(F.col("type").isin(*REPORT_TYPES)).select(F.col("p.trip_id").alias("trip_id")).distinct()
+    orders = settle_orders(latest_order_events(parsed, (), ("trip_id",), (), lines=False))
+    members = orders.select("order_id", F.col("assigned.trip_id").alias("trip_id")).join(trips, "trip_id", "left_semi").select("order_id")
     return named.unionByName(members).distinct()
 
 

@@ -5,6 +5,7 @@ from raincourier.functions.numeric import rounded
 from raincourier.operators import history, impact, ingest, scenario, scoring, trips
 from raincourier.plans import ingest_queries
 from raincourier.plans.catalog import query
+from raincourier.settings import TYPES_WITH_ORDER
 from raincourier.sources import eventlog
 from raincourier.sources.scratch import written
 from raincourier.sources.tables import COEFS
@@ -311,7 +312,7 @@ def join_order_detail(lake):
     """The detail row of every order, nested parts reduced to their sizes."""
     detail = impact.join_order_detail(
         lake.order_book, lake.routes, lake.cities, lake.warehouses, lake.hubs, lake.categories, lake.order_items(), lake.products(),
-        risk_of(lake), lake.event_log, history.route_weather_impact(lake.history("route"), lake.routes))
+        risk_of(lake), lake.log(*TYPES_WITH_ORDER), history.route_weather_impact(lake.history("route"), lake.routes))
     return detail.select("order_id", "route", "city", "state", "warehouse", "hub", "category", "status",
                          F.coalesce(F.size("items"), F.lit(0)).alias("items"), F.coalesce(F.size("events"), F.lit(0)).alias("events"),
                          F.element_at("events", -1)["type"].alias("last_event"), F.col("prediction.score").alias("score"),
@@ -320,7 +321,7 @@ def join_order_detail(lake):
 
 @query()
 def sort_order_events(lake):
-    ordered = impact.sort_order_events(lake.event_log)
+    ordered = impact.sort_order_events(lake.log(*TYPES_WITH_ORDER))
     return ordered.select("order_id", F.array_join(F.transform("events", lambda e: e["type"]), ">").alias("types"))
 
 

@@ -5,30 +5,29 @@ from raincourier.functions.numeric import rounded
 from raincourier.operators import lifecycle, model
 from raincourier.plans.catalog import query
 
-
-def _log(lake):
-    return lake.event_log
+TRIPS, ORDERS, REPORTS = lifecycle.TRIP_TYPES, lifecycle.ORDER_TYPES, lifecycle.REPORT_TYPES
+DELIVERIES = ("ORDER_CREATED", "DELIVERY_COMPLETED")
 
 
 @query()
 def fold_orders(lake):
-    return lifecycle.fold_orders(_log(lake), lake.routes)
+    return lifecycle.fold_orders(lake.log(*ORDERS, *REPORTS), lake.routes)
 
 
 @query()
 def fold_trips(lake):
-    out = lifecycle.fold_trips(_log(lake))
+    out = lifecycle.fold_trips(lake.log(*ORDERS, *TRIPS))
     return out.select("trip_id", "route_id", "vehicle_id", "dispatched_at", "status", "delay_min", "cause", "near_city", "open_orders")
 
 
 @query()
 def fold_items(lake):
-    return lifecycle.fold_items(_log(lake))
+    return lifecycle.fold_items(lake.log("ORDER_CREATED"))
 
 
 @query()
 def join_trip_members(lake):
-    parsed = lifecycle.with_payload(_log(lake))
+    parsed = lifecycle.with_payload(lake.log(*ORDERS, *REPORTS))
     members = lifecycle.join_trip_members(lifecycle.order_facts(parsed), lifecycle.trip_facts(parsed))
     return members.filter(F.col("assigned").isNotNull()).select(
         "order_id", F.col("assigned.trip_id").alias("trip_id"), F.col("dispatched.at").alias("dispatched_at"),
@@ -37,7 +36,7 @@ def join_trip_members(lake):
 
 @query()
 def delivered_rollup(lake):
-    return lifecycle.delivered_rollup(_log(lake))
+    return lifecycle.delivered_rollup(lake.log(*DELIVERIES))
 
 
 @query()
@@ -48,7 +47,7 @@ def expire_orders(lake):
 
 @query()
 def changed_orders(lake):
-    return lifecycle.changed_orders(_log(lake), "2024-01-15T04:00:00Z")
+    return lifecycle.changed_orders(lake.log(*ORDERS, *REPORTS), "2024-01-15T04:00:00Z")
 
 
 def replayed(lake):
@@ -75,7 +74,7 @@ def high_water_mark(lake):
 @query()
 def src_replay_log(lake):
     """State rebuilt from the retained log: orders by status and route."""
-    folded = lifecycle.fold_orders(_log(lake), lake.routes)
+    folded = lifecycle.fold_orders(lake.log(*ORDERS, *REPORTS), lake.routes)
     return folded.groupBy("route_id", "status").agg(F.count("*").alias("orders"), rounded(F.sum("value_inr"), 2).alias("value"))
 
 

@@ -127,7 +127,7 @@ def merge_additive_rollup(lake):
 
 @query()
 def merge_insert_ignore(lake):
-    old = lifecycle.fold_items(lake.event_log)
+    old = lifecycle.fold_items(lake.log("ORDER_CREATED"))
     return merge.insert_ignore(old, lake.order_items(), ["order_id", "product_id"])
 
 
