@@ -57,10 +57,13 @@ def start_branches(source: Callable[[], DataFrame], writers: dict, checkpoints:
     return queries
 
 
-def drain(queries: list[StreamingQuery], timeout_s: int = 600) -> None:
-    """Wait until availableNow queries have processed their input."""
+def drain(queries: list[StreamingQuery], timeout_s: int | None = None) -> None:
+    """Wait until availableNow queries have processed their input, however long it
+    takes, or at most `timeout_s` seconds."""
     for query in queries:
-        if not query.awaitTermination(timeout_s):
+        if timeout_s is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout_s):
             query.stop()
             raise TimeoutError(f"stream {query.name} did not finish in {timeout_s} s")
         if query.exception() is not None:

@@ -7,7 +7,8 @@ bounded, untouched buckets are neither read nor written, and a repeated batch
 starts from the manifest before it and overwrites its own output."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+import pickle
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -99,3 +100,36 @@ def _slot_of(target: dict[int, int]) -> Column:
 
 def bucket_of(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+class BucketState:
+    """State of all keys of a bucket as one value of the state store, for a stateful
+    processor grouped by bucket: one read, one write and one timer a bucket and
+    batch, where a call per key would cost more than the work on it."""
+
+    def __init__(self, handle):
+        self.handle = handle
+        self.value = handle.getValueState("bucket", "keys binary, timer bigint")
+        self.timer = None
+
+    def load(self, rung: int | None = None) -> dict:
+        """What is kept by key. `rung` is the time of a timer that has just expired."""
+        kept = self.value.get()
+        self.timer = None if kept is None or kept[1] == rung else kept[1]
+        return {} if kept is None else pickle.loads(bytes(kept[0]))
+
+    def save(self, keys: dict, expiry: Callable[[object], int]) -> None:
+        """Keep these, with a timer no later than the first expiry (in milliseconds);
+        one that rings too early is set again."""
+        if not keys:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.value.clear()
+            return
+        first = max(min(map(expiry, keys.values())), 1)
+        if self.timer is None or first < self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(first)
+            self.timer = first
+        self.value.update((pickle.dumps(keys, pickle.HIGHEST_PROTOCOL), self.timer))

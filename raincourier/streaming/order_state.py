@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from raincourier import settings as S
 from raincourier.functions import clock
 from raincourier.operators import lifecycle, merge
+from raincourier.streaming.keyed import BucketState, bucket_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS = 3_600_000
@@ -70,58 +71,62 @@ def compact(spark: SparkSession, folder: str, target: str, routes: DataFrame, no
 # ---- state store form ------------------------------------------------------
 FIELDS = ("trip_id", "route_id", "status", "at", "event_id", "arrived_at", "gone")
 STATUS = {"VEHICLE_DISPATCHED": "in_transit", "VEHICLE_MOVEMENT": "in_transit", "DELIVERY_DELAY": "in_transit", "HUB_ARRIVAL": "at_hub"}
+TRIP_BUCKETS = 2048
 
 
 class LatestTrips(StatefulProcessor):
     """Last report of each trip; a trip is forgotten two days after it arrived,
-    or after two days without any report."""
+    or after two days without any report. The state is kept by bucket of trips, so a
+    batch reads and writes it once a bucket and not once a trip."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("trip", "route_id string, status string, at bigint, event_id string, arrived_at bigint")
+        self.state = BucketState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = tuple(self.state.get()) if self.state.exists() else (None, None, -1, "", None)
-        before = self._expiry(seen)
+        trips, touched = self.state.load(), set()
         for batch in rows:
-            arrived = batch.loc[batch["type"] == "HUB_ARRIVAL", "at"]
-            last = batch.sort_values(["at", "event_id"]).iloc[-1]
-            arrived_at = max([t for t in (seen[4], arrived.max() if len(arrived) else None) if t is not None], default=None)
-            newest = (last.route_id, STATUS[last.type], int(last["at"]), last.event_id)
-            if newest[2:] < tuple(seen[2:4]):
-                newest = tuple(seen[:4])
-            seen = (*newest, None if arrived_at is None else int(arrived_at))
-        if seen[4] is not None:
-            seen = (seen[0], "at_hub", *seen[2:])
-        self.state.update(seen)
-        if before is not None and before != self._expiry(seen):
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(self._expiry(seen))
-        yield pd.DataFrame([(key[0], *seen, False)], columns=list(FIELDS)).astype({"arrived_at": "Int64"})
+            arrivals = batch[batch["type"] == "HUB_ARRIVAL"].groupby("trip_id")["at"].max().to_dict()
+            last = batch.sort_values(["at", "event_id"]).drop_duplicates("trip_id", keep="last")
+            for trip, route, kind, at, event_id in zip(*(last[c].tolist() for c in ("trip_id", "route_id", "type", "at", "event_id"))):
+                trips[trip] = self._merged(trips.get(trip), (route, STATUS[kind], at, event_id), arrivals.get(trip))
+                touched.add(trip)
+        self.state.save(trips, self._expiry)
+        yield self._frame([(trip, *trips[trip], False) for trip in sorted(touched)])
 
     @staticmethod
-    def _expiry(seen):
-        if seen[2] < 0:
-            return None
+    def _merged(seen, newest, arrived):
+        """(route, status, at, event id, arrival) of a trip after one more report."""
+        if seen is not None:
+            newest, arrived = max(newest, seen[:4], key=lambda s: s[2:4]), max((t for t in (seen[4], arrived) if t is not None), default=None)
+        return (*newest, None) if arrived is None else (newest[0], "at_hub", *newest[2:], arrived)
+
+    @staticmethod
+    def _expiry(seen) -> int:
         last = seen[2] if seen[4] is None else seen[4]
         return last // 1000 + S.KEEP_DELIVERED_H * HOUR_MS
 
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=list(FIELDS)).astype({"at": "int64", "arrived_at": "Int64", "gone": "bool"})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        gone_at = timerValues.getCurrentWatermarkInMs() * 1000
-        yield pd.DataFrame([(key[0], None, None, gone_at, "", None, True)], columns=list(FIELDS)).astype({"arrived_at": "Int64"})
+        now = timerValues.getCurrentWatermarkInMs()
+        trips = self.state.load(rung=expiredTimerInfo.getExpiryTimeInMs())
+        gone = sorted(trip for trip, seen in trips.items() if self._expiry(seen) <= now)
+        self.state.save({trip: seen for trip, seen in trips.items() if self._expiry(seen) > now}, self._expiry)
+        yield self._frame([(trip, None, None, now * 1000, "", None, True) for trip in gone])
 
     def close(self) -> None:
         pass
 
 
-def trip_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def trip_stream(events: DataFrame, watermark: str = "1 hour", buckets: int = TRIP_BUCKETS) -> DataFrame:
     """Changes of trips (update mode); needs the RocksDB state store provider."""
     rows = events.filter(F.col("type").isin(*STATUS)).withWatermark("sim_time", watermark)
     rows = rows.select(F.get_json_object("payload", "$.trip_id").alias("trip_id"), "type", "sim_time", F.unix_micros("sim_time").alias("at"),
-                       "event_id", "route_id")
+                       "event_id", "route_id").withColumn("bucket", bucket_of("trip_id", buckets))
     schema = "trip_id string, route_id string, status string, at bigint, event_id string, arrived_at bigint, gone boolean"
-    return rows.groupBy("trip_id").transformWithStateInPandas(LatestTrips(), schema, "Update", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(LatestTrips(), schema, "Update", "EventTime")
 
 
 def current_trips(changes: DataFrame) -> DataFrame:
