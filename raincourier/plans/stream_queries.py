@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from raincourier.operators import ingest, lifecycle
 from raincourier.plans.catalog import query
 from raincourier.plans.ingest_queries import NOW as CLOCK
-from raincourier.sources import readers, sinks, staged, topic
+from raincourier.plans.state_queries import DELIVERIES, ORDERS, REPORTS, TRIPS
+from raincourier.sources import eventlog, readers, sinks, staged, topic
+from raincourier.sources.schemas import ENVELOPE
 from raincourier.sources.scratch import scratch, written
 from raincourier.sources.tables import event_messages
 from raincourier.streaming import jobs, live_state, order_state, progress, rollup
@@ -113,38 +115,52 @@ def stream_branches(lake):
     return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
 
 
-
-
 def _log_folder(lake, parts: int) -> str:
     """The event log as files, a time range each, that a stream takes one after the other."""
-    path, log = scratch(lake.spark, "log"), lake.event_log
+    path, log = scratch(lake.spark, "log"), lake.log(*ORDERS, *REPORTS)
     ranges = written(log.repartitionByRange(parts, "sim_time").withColumn("part", F.spark_partition_id()), "log-ranges")
     for part in range(parts):  # the source takes files by their age
         ranges.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _log_stream(lake, parts: int | None = None):
-    """The event log as a stream; with `parts`, in time ranges that arrive in batches of their own."""
-    if parts:
-        return readers.file_stream(lake.spark, _log_folder(lake, parts), lake.event_log.schema, max_files=1)
-    path = scratch(lake.spark, "log")
-    lake.event_log.write.parquet(path)
-    return readers.file_stream(lake.spark, path, lake.event_log.schema)
+def _log_stream(lake, *kinds):
+    """The event log, or the given kinds of its events, as a stream over the files it was written to."""
+    lake.log_folders(*kinds)
+    return readers.file_stream(lake.spark, f"{lake.log_root}/{{{','.join(kinds or eventlog.KINDS)}}}", ENVELOPE)
+
+
+def _in_time_ranges(lake, parts: int, kinds, run) -> None:
+    """The log as a folder that grows by one time range after the other. `run(source)`
+    is called after each and drains its streams, which go on from their checkpoints:
+    a range is a batch of its own, in however many files its tasks write."""
+    path, log = scratch(lake.spark, "log"), lake.log(*kinds)
+    at = F.unix_micros("sim_time")
+    cuts = log.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # only the last range is followed by a batch without data
+    before = lake.spark.conf.get(idle)
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            after, until = F.lit(True) if low is None else at > low, F.lit(True) if high is None else at <= high
+            log.filter(after & until).write.mode("append").parquet(path)
+            lake.spark.conf.set(idle, "false" if high is not None else before)
+            run(lambda: readers.file_stream(lake.spark, path, ENVELOPE))
+    finally:
+        lake.spark.conf.set(idle, before)
 
 
 @query()
 def stream_order_state(lake):
     """The order table from the streamed state; equals the batch fold."""
     state = scratch(lake.spark, "order-state")
-    jobs.drain([jobs.start(_log_stream(lake), None, order_state.delta_writer(state), scratch(lake.spark, "order-state-checkpoint"), every=None)])
+    jobs.drain([jobs.start(_log_stream(lake, *ORDERS, *REPORTS), None, order_state.delta_writer(state), scratch(lake.spark, "order-state-checkpoint"), every=None)])
     return order_state.order_view(lake.spark, state, lake.routes)
 
 
 @query()
 def stream_state_ttl(lake):
     """Trips left in the state store after timers forgot the old ones."""
-    changes = _rocksdb(lake, lambda: _run(lake, order_state.trip_stream(_log_stream(lake)), "trips", "update"))
+    changes = _rocksdb(lake, lambda: _run(lake, order_state.trip_stream(_log_stream(lake, *TRIPS)), "trips", "update"))
     return order_state.current_trips(changes)
 
 
@@ -186,7 +202,7 @@ def run_ticks(lake, parts: int, root: str) -> None:
 
     tick = live_state.IncrementalTick(f"{root}/views", risk, lambda cohorts, risk_table: {"future": impact.future_summary(risk_table, lake.now)}, risk_every=1)
     log = _log_folder(lake, parts)
-    deltas = live_state.cohort_deltas(lambda: readers.file_stream(lake.spark, log, lake.event_log.schema, max_files=1))
+    deltas = live_state.cohort_deltas(lambda: readers.file_stream(lake.spark, log, ENVELOPE, max_files=1))
     _rocksdb(lake, lambda: jobs.drain([jobs.start(deltas, "ticks", tick, f"{root}/checkpoint", every=None)]))
 
 
@@ -203,21 +219,24 @@ def stream_tick(lake):
 def stream_interval_join(lake):
     """The order table from orders' own events and the trip reports that a
     stream-stream join brought to their members."""
-    root, log = scratch(lake.spark, "interval-join"), _log_folder(lake, 3)
-    source = lambda: readers.file_stream(lake.spark, log, lake.event_log.schema, max_files=1)
-    reports = live_state.member_reports(source)
-    jobs.drain([jobs.start(source(), None, order_state.delta_writer(f"{root}/state"), f"{root}/orders-checkpoint", every=None),
-                jobs.start(reports, "member-reports", sinks.batch_folder(f"{root}/reports"), f"{root}/reports-checkpoint", every=None)])
-    orders = order_state.read_facts(lake.spark, f"{root}/state")[0]
-    return live_state.order_view(orders, lake.spark.read.schema(reports.schema).parquet(f"{root}/reports"), lake.routes)
+    root = scratch(lake.spark, "interval-join")
+
+    def step(source_):
+        own, reports = source_().filter(F.col("type").isin(*ORDERS)), live_state.member_reports(source_)
+        jobs.drain([jobs.start(own, None, order_state.delta_writer(f"{root}/state"), f"{root}/orders-checkpoint", every=None),
+                    jobs.start(reports, "member-reports", sinks.batch_folder(f"{root}/reports"), f"{root}/reports-checkpoint", every=None)])
+
+    _rocksdb(lake, lambda: _in_time_ranges(lake, 3, (*ORDERS, *REPORTS), step))
+    orders, reports = order_state.read_facts(lake.spark, f"{root}/state")[0], lake.spark.read.schema(live_state.REPORT_ROWS).parquet(f"{root}/reports")
+    return live_state.order_view(orders, reports, lake.routes)
 
 
 @query()
 def stream_rollup(lake):
     """Delivered roll-up over several batches: an order and its delivery mostly
     arrive in different ones."""
-    path = scratch(lake.spark, "rollup")
-    jobs.drain([jobs.start(_log_stream(lake, parts=5), None, rollup.rollup_writer(path), scratch(lake.spark, "rollup-checkpoint"), every=None)])
+    path, checkpoint = scratch(lake.spark, "rollup"), scratch(lake.spark, "rollup-checkpoint")
+    _in_time_ranges(lake, 5, DELIVERIES, lambda source_: jobs.drain([jobs.start(source_(), None, rollup.rollup_writer(path), checkpoint, every=None)]))
     return rollup.read_rollup(lake.spark, path)
 
 
@@ -225,7 +244,7 @@ def stream_rollup(lake):
 def stream_recovery(lake):
     """History rebuilt after a restart: days of the replay are dropped and
     recomputed from the retained log."""
-    log = lake.event_log
+    log = lake.log(*DELIVERIES)
     recovered = jobs.recover(lifecycle.delivered_rollup(log), log, "2024-01-14", lambda events: lifecycle.delivered_rollup(events).filter("date >= '2024-01-14'"))
     return recovered.select("date", "route_id", "category_id", "severity", "orders", "sla_breaches")
 

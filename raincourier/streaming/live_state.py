@@ -22,6 +22,7 @@ WATERMARK = "1 hour"
 # A trip reports on an order at most so long after its assignment.
 REPORTS_WITHIN_H = 96
 REPORTS = ("VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL")
+REPORT_ROWS = "order_id string, trip_id string, type string, sim_time timestamp, event_id string, delay_min double, cause string"
 HOUR_US = 3_600_000_000
 COHORT = ("route_id", "city_id", "tier", "dispatch")
 
@@ -30,9 +31,9 @@ def member_reports(source: Callable[[], DataFrame], within_h: int = REPORTS_WITH
     """(order_id, trip_id, type, sim_time, event_id, delay_min, cause): every report
     of a trip, for each order assigned to it before. `source` gives the clean event
     stream; each side of the join reads it for itself. Inner join, append mode."""
-    assigned = lifecycle.with_payload(source().filter("type = 'ORDER_ASSIGNED'").withWatermark("sim_time", watermark))
+    assigned = lifecycle.with_payload(source().filter("type = 'ORDER_ASSIGNED'").withWatermark("sim_time", watermark), "trip_id")
     assigned = assigned.select("order_id", F.col("p.trip_id").alias("of_trip"), F.col("sim_time").alias("assigned_at"))
-    reports = lifecycle.with_payload(source().filter(F.col("type").isin(*REPORTS)).withWatermark("sim_time", watermark))
+    reports = lifecycle.with_payload(source().filter(F.col("type").isin(*REPORTS)).withWatermark("sim_time", watermark), "trip_id", "delay_min", "cause")
     reports = reports.select(F.col("p.trip_id").alias("trip_id"), "type", "sim_time", "event_id", "p.delay_min", "p.cause")
     in_range = F.expr(f"of_trip = trip_id AND sim_time >= assigned_at AND sim_time <= assigned_at + INTERVAL {within_h} HOURS")
     return assigned.join(reports, in_range).select("order_id", "trip_id", "type", "sim_time", "event_id", "delay_min", "cause")
