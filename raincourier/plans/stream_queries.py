@@ -115,15 +115,6 @@ def stream_branches(lake):
     return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
 
 
-def _log_folder(lake, parts: int) -> str:
-    """The event log as files, a time range each, that a stream takes one after the other."""
-    path, log = scratch(lake.spark, "log"), lake.log(*ORDERS, *REPORTS)
-    ranges = written(log.repartitionByRange(parts, "sim_time").withColumn("part", F.spark_partition_id()), "log-ranges")
-    for part in range(parts):  # the source takes files by their age
-        ranges.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
 def _log_stream(lake, *kinds):
     """The event log, or the given kinds of its events, as a stream over the files it was written to."""
     lake.log_folders(*kinds)
@@ -193,7 +184,7 @@ def _rocksdb(lake, run):
 
 
 def run_ticks(lake, parts: int, root: str) -> None:
-    """The live engine over the log in `parts` batches, views below `root`."""
+    """The live engine over the log in `parts` time ranges, views below `root`."""
     from raincourier.operators import impact, scoring, trips
     from raincourier.sources.tables import COEFS
 
@@ -201,9 +192,11 @@ def run_ticks(lake, parts: int, root: str) -> None:
         return scoring.risk_of_cohorts(trips.within_horizon(cohorts, lake.now), lake.routes, lake.hourly_rain(lake.now), lake.route_history, COEFS, lake.now).drop("contributions")
 
     tick = live_state.IncrementalTick(f"{root}/views", risk, lambda cohorts, risk_table: {"future": impact.future_summary(risk_table, lake.now)}, risk_every=1)
-    log = _log_folder(lake, parts)
-    deltas = live_state.cohort_deltas(lambda: readers.file_stream(lake.spark, log, ENVELOPE, max_files=1))
-    _rocksdb(lake, lambda: jobs.drain([jobs.start(deltas, "ticks", tick, f"{root}/checkpoint", every=None)]))
+
+    def step(source_):
+        jobs.drain([jobs.start(live_state.cohort_deltas(source_), "ticks", tick, f"{root}/checkpoint", every=None)])
+
+    _rocksdb(lake, lambda: _in_time_ranges(lake, parts, (*ORDERS, *REPORTS), step))
 
 
 @query()

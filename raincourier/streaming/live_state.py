@@ -4,19 +4,23 @@ signed changes of upcoming cohorts.
 A report belongs to the orders assigned to its trip before it, so assignments and
 reports meet in a stream-stream join with a time range; what the range and the
 watermark rule out leaves the state. Orders' own events and these reports then
-meet per order in the state store, where the order's place among the upcoming
-cohorts is kept: whatever moves it gives one row out and one row in."""
+meet per bucket of orders in the state store, where each order's place among the
+upcoming cohorts is kept: what moves orders is summed to the changes of cohorts."""
 from __future__ import annotations
 
+from collections import Counter, defaultdict, namedtuple
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from raincourier import settings as S
 from raincourier.operators import lifecycle
 from raincourier.sources import sinks
+from raincourier.streaming.keyed import BucketState, bucket_of
 
 WATERMARK = "1 hour"
 # A trip reports on an order at most so long after its assignment.
@@ -24,6 +28,7 @@ REPORTS_WITHIN_H = 96
 REPORTS = ("VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL")
 REPORT_ROWS = "order_id string, trip_id string, type string, sim_time timestamp, event_id string, delay_min double, cause string"
 HOUR_US = 3_600_000_000
+ORDER_BUCKETS = 512
 COHORT = ("route_id", "city_id", "tier", "dispatch")
 
 
@@ -57,27 +62,27 @@ def order_view(orders: DataFrame, reports: DataFrame, routes: DataFrame) -> Data
 
 def order_changes(source: Callable[[], DataFrame], watermark: str = WATERMARK) -> DataFrame:
     """All that moves an order's status, as one stream keyed by order."""
-    own = lifecycle.with_payload(source().filter(F.col("type").isin(*lifecycle.ORDER_TYPES)).withWatermark("sim_time", watermark))
+    own = lifecycle.with_payload(source().filter(F.col("type").isin(*lifecycle.ORDER_TYPES)).withWatermark("sim_time", watermark), "trip_id", "tier", "planned_dispatch")
     own = own.select("order_id", "type", "sim_time", "event_id", "p.trip_id", "route_id", "city_id", "p.tier", F.unix_micros("p.planned_dispatch").alias("dispatch"))
     none = [F.lit(None).cast("string").alias(c) for c in ("route_id", "city_id", "tier")]
     joined = member_reports(source, watermark=watermark).filter("type <> 'DELIVERY_DELAY'").select("order_id", "type", "sim_time", "event_id", "trip_id", *none, F.lit(None).cast("long").alias("dispatch"))
     return own.unionByName(joined)
 
 
-_STATE = ("created_at bigint, created_id string, route_id string, city_id string, tier string, dispatch bigint, assigned_at bigint, assigned_id string, trip_id string, "
-          "completed_at bigint, reports array<struct<trip_id: string, at: bigint>>")
-_FIELDS = [part.split()[0] for part in _STATE.split(", ")[:10]] + ["reports"]
+_FIELDS = ("created_at", "created_id", "route_id", "city_id", "tier", "dispatch", "assigned_at", "assigned_id", "trip_id", "completed_at", "reports")
+Event = namedtuple("Event", "type at event_id trip_id route_id city_id tier dispatch")
+_NO_TIME = -2 ** 63  # a null would turn a column of integers into one of floats
 
 
 class Upcoming(StatefulProcessor):
-    """Where an order stands among the upcoming cohorts. Emits -1 for the cohort it
-    leaves and +1 for the one it joins. An order is forgotten, and leaves its
-    cohort, two days after its delivery or six hours after a dispatch that never
-    came; a dispatched one two days after the report."""
+    """Where orders stand among the upcoming cohorts. Emits what their moves add to the
+    cohorts they join and take from those they leave. An order is forgotten, and
+    leaves its cohort, two days after its delivery or six hours after a dispatch that
+    never came; a dispatched one two days after the report. The state is kept by
+    bucket of orders, so a batch reads and writes it once a bucket and not once an order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("order", _STATE)
+        self.state = BucketState(handle)
 
     @staticmethod
     def cohort(s: dict):
@@ -112,47 +117,60 @@ class Upcoming(StatefulProcessor):
             last[e.trip_id] = max(mark[0], last.get(e.trip_id, -1))
             s["reports"] = sorted(last.items())
 
-    def _load(self) -> dict:
-        kept = self.state.get()
-        if kept is None:
-            return dict.fromkeys(_FIELDS) | {"reports": []}
-        s = dict(zip(_FIELDS, kept))
-        s["reports"] = [(r[0], r[1]) for r in s["reports"] or []]
-        return s
+    @classmethod
+    def fold(cls, kept: tuple | None, events: list) -> tuple:
+        """What is kept of an order, its expiry last, after more events."""
+        s = dict.fromkeys(_FIELDS) | {"reports": []} if kept is None else dict(zip(_FIELDS, kept))
+        for e in events:
+            cls.take(s, e)
+        return (*(s[f] for f in _FIELDS), cls.expiry(s))
+
+    @classmethod
+    def _place(cls, kept: tuple | None):
+        return None if kept is None else cls.cohort(dict(zip(_FIELDS, kept)))
 
     @staticmethod
-    def _moved(old, new) -> Iterator[Row]:
-        for cohort, n in ((old, -1), (new, 1)):
-            if cohort is not None and old != new:
-                yield Row(**dict(zip(COHORT, cohort)), orders=n)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        s = self._load()
-        old, known = self.cohort(s), self.expiry(s)
-        for e in rows:
-            self.take(s, e)
-        self.state.update(tuple(s[f] for f in _FIELDS))
-        if not known:  # one timer an order; it is set on when it rings too early
-            self.handle.registerTimer(max(self.expiry(s), 1))
-        yield from self._moved(old, self.cohort(s))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        s = self._load()
-        if self.expiry(s) > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(self.expiry(s))
-            return
-        self.state.clear()
-        yield from self._moved(self.cohort(s), None)
+    def _moves(moved: list) -> pd.DataFrame:
+        """Sums of the (old, new) cohorts of orders, a row per cohort that changes."""
+        sums = Counter()
+        for old, new in moved:
+            if old != new:
+                sums[old] -= 1
+                sums[new] += 1
+        rows = [(*cohort, n) for cohort, n in sums.items() if cohort is not None and n]
+        return pd.DataFrame(rows, columns=[*COHORT, "orders"]).astype({"dispatch": "Int64", "orders": "int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        orders, events = self.state.load(), defaultdict(list)
+        for batch in rows:
+            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in Event._fields[:-1]]
+            dispatch = [None if at == _NO_TIME else at for at in batch["dispatch"].tolist()]
+            for order, e in zip(batch["order_id"].tolist(), map(Event, *columns, dispatch)):
+                events[order].append(e)
+        moved = []
+        for order, new in events.items():
+            before, orders[order] = orders.get(order), self.fold(orders.get(order), new)
+            moved.append((self._place(before), self._place(orders[order])))
+        self.state.save(orders, itemgetter(-1))
+        yield self._moves(moved)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, orders = timerValues.getCurrentWatermarkInMs(), self.state.load(rung=expiredTimerInfo.getExpiryTimeInMs())
+        gone = [order for order, kept in orders.items() if kept[-1] <= now]
+        moved = [(self._place(orders.pop(order)), None) for order in gone]
+        self.state.save(orders, itemgetter(-1))
+        yield self._moves(moved)
 
     def close(self) -> None:
         pass
 
 
-def cohort_deltas(source: Callable[[], DataFrame], watermark: str = WATERMARK) -> DataFrame:
+def cohort_deltas(source: Callable[[], DataFrame], watermark: str = WATERMARK, buckets: int = ORDER_BUCKETS) -> DataFrame:
     """Signed changes (route_id, city_id, tier, dispatch, orders) of upcoming
     cohorts, append mode; needs the RocksDB state store provider."""
-    changes = order_changes(source, watermark).withColumn("at", F.unix_micros("sim_time"))
-    out = changes.groupBy("order_id").transformWithState(Upcoming(), "route_id string, city_id string, tier string, dispatch bigint, orders bigint", "Append", "EventTime")
+    changes = order_changes(source, watermark).withColumns({
+        "at": F.unix_micros("sim_time"), "dispatch": F.coalesce("dispatch", F.lit(_NO_TIME)), "bucket": bucket_of("order_id", buckets)})
+    out = changes.groupBy("bucket").transformWithStateInPandas(Upcoming(), "route_id string, city_id string, tier string, dispatch bigint, orders bigint", "Append", "EventTime")
     return out.withColumn("dispatch", F.timestamp_micros("dispatch"))
 
 

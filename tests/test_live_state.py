@@ -150,3 +150,47 @@ def test_five_hundred_laps_in_as_many_jobs_as_one(spark):
         counts.append(len(tracker.getJobIdsForGroup(f"laps-{len(counts)}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert laps == [k // 10 for k in range(5000)] and counts[1] <= counts[0] + 8
+
+
+def test_a_bucket_of_orders_is_one_value_of_the_state_store():
+    """Hundred orders in two batches: the store is called once a bucket, moves are summed by cohort, timers let orders go."""
+    calls = []
+
+    class Store:
+        kept = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, kept):
+            calls.append("update")
+            self.kept = kept
+
+        def clear(self):
+            self.kept = None
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        def deleteTimer(self, at):
+            pass
+
+    def batch(kind, at, orders, **fields):
+        rows = [{"order_id": f"o{k}", "type": kind, "at": at, "event_id": f"e{at}-{k}", "trip_id": None, "route_id": None, "city_id": None, "tier": None, "dispatch": live_state._NO_TIME} | fields for k in orders]
+        return pd.DataFrame(rows)
+
+    upcoming, moves = live_state.Upcoming(), lambda out: [tuple(r) for frame in out for r in frame.itertuples(index=False)]
+    upcoming.init(Store())
+    leave = 50 * live_state.HOUR_US
+    here = {"route_id": "R", "city_id": "C", "tier": "x", "dispatch": leave}
+    assert moves(upcoming.handleInputRows(1, iter([batch("ORDER_CREATED", 1, range(60), **here), batch("ORDER_CREATED", 1, range(60, 100), **here)]), None)) == [("R", "C", "x", leave, 100)]
+    assert calls == ["get", "update", "timer"] or calls == ["get", "timer", "update"]
+    assert moves(upcoming.handleInputRows(1, iter([batch("ORDER_ASSIGNED", 2, range(30), trip_id="t"), batch("VEHICLE_DISPATCHED", 3, range(30), trip_id="t")]), None)) == [("R", "C", "x", leave, -30)]
+    assert calls.count("get") == calls.count("update") == 2
+    rings = (50 + 6) * 3_600_000
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: rings), SimpleNamespace(getExpiryTimeInMs=lambda: rings)
+    assert moves(upcoming.handleExpiredTimer(1, *times)) == [("R", "C", "x", leave, -70)] and upcoming.state.value.kept is None
