@@ -11,8 +11,8 @@ def star(lake, *needs):
     return history.join_history_star(lake.history("route", *needs), lake.routes, lake.cities)
 
 
-def monthly_star(lake):
-    return history.join_history_star(lake.monthly, lake.routes, lake.cities)
+def daily_star(lake):
+    return history.join_history_star(lake.route_days, lake.routes, lake.cities)
 
 
 @query()
@@ -38,7 +38,7 @@ def filter_history(lake):
 
 @query()
 def filter_monsoon(lake):
-    return history.filter_monsoon(lake.monthly).groupBy(F.month("month").alias("month")).agg(*history.agg_measures())
+    return history.filter_monsoon(lake.days).groupBy(F.month("date").alias("month")).agg(*history.agg_measures())
 
 
 @query()
@@ -49,57 +49,57 @@ def filter_last_12_months(lake):
 
 @query()
 def hist_totals(lake):
-    return history.hist_totals(lake.monthly)
+    return history.hist_totals(lake.days)
 
 
 @query()
 def hist_monthly(lake):
-    return history.hist_monthly(lake.monthly)
+    return history.hist_monthly(lake.days)
 
 
 @query()
 def hist_yearly(lake):
-    return history.hist_yearly(lake.monthly)
+    return history.hist_yearly(lake.days)
 
 
 @query()
 def hist_seasons(lake):
-    return history.hist_seasons(lake.monthly)
+    return history.hist_seasons(lake.days)
 
 
 @query()
 def hist_geography(lake):
-    return history.hist_geography(monthly_star(lake))
+    return history.hist_geography(daily_star(lake))
 
 
 @query()
 def topk_geography(lake):
-    return history.hist_geography(monthly_star(lake), {"city": "C2"})
+    return history.hist_geography(daily_star(lake), {"city": "C2"})
 
 
 @query()
 def hist_categories(lake):
-    return history.hist_categories(lake.monthly, lake.categories)
+    return history.hist_categories(lake.history("category"), lake.categories)
 
 
 @query()
 def hist_severity(lake):
-    return history.hist_severity(lake.monthly)
+    return history.hist_severity(lake.days)
 
 
 @query()
 def hist_yoy_growth(lake):
-    return history.hist_yoy_growth(lake.monthly)
+    return history.hist_yoy_growth(lake.days)
 
 
 @query()
 def hist_per_1000(lake):
-    return history.hist_per_1000(lake.monthly)
+    return history.hist_per_1000(lake.days)
 
 
 @query()
 def hist_heavy_vs_rain(lake):
-    return history.hist_heavy_vs_rain(lake.monthly)
+    return history.hist_heavy_vs_rain(lake.days)
 
 
 def _money(df, *columns):
@@ -123,18 +123,18 @@ def route_weather_impact(lake):
 
 @query()
 def structural_impact(lake):
-    return history.structural_impact(monthly_star(lake))
+    return history.structural_impact(daily_star(lake))
 
 
 @query()
 def location_history(lake):
-    months, monsoon = history.location_history(monthly_star(lake), "state", "ASIA")
+    months, monsoon = history.location_history(daily_star(lake), "state", "ASIA")
     return months.unionByName(monsoon.withColumn("month", F.lit("monsoon")))
 
 
 @query()
 def options_distinct(lake):
-    return history.options_distinct(lake.monthly, lake.cities, lake.warehouses, lake.hubs, lake.routes, lake.categories)
+    return history.options_distinct(lake.days, lake.cities, lake.warehouses, lake.hubs, lake.routes, lake.categories)
 
 
 @query()

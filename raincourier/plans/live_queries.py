@@ -19,7 +19,7 @@ def hourly(lake):
 
 
 def cohorts_of(lake):
-    return trips.cohorts(lake.order_book, lake.now)
+    return trips.cohorts(lake.upcoming, lake.now)
 
 
 def risk_of(lake):
@@ -28,7 +28,7 @@ def risk_of(lake):
 
 
 def _risk(lake):
-    return scoring.cohort_risk(lake.order_book, lake.routes, hourly(lake), lake.route_history, COEFS, lake.now)
+    return scoring.cohort_risk(lake.upcoming, lake.routes, hourly(lake), lake.route_history, COEFS, lake.now)
 
 
 def route_impact_of(lake, risk=None):
@@ -50,13 +50,13 @@ def kpis_of(lake, risk=None):
 
 
 def structural_of(lake):
-    return history.structural_impact(history.join_history_star(lake.monthly, lake.routes, lake.cities))
+    return history.structural_impact(history.join_history_star(lake.route_days, lake.routes, lake.cities))
 
 
 # ---- trips and risk --------------------------------------------------------
 @query()
 def filter_upcoming(lake):
-    return trips.filter_upcoming(lake.order_book, lake.now, 24).select("order_id", "route_id", "tier", "status", "planned_dispatch")
+    return trips.filter_upcoming(lake.upcoming, lake.now, 24).select("order_id", "route_id", "tier", "status", "planned_dispatch")
 
 
 @query()
@@ -258,7 +258,7 @@ def top_by_level(lake):
 
 @query()
 def critical_orders(lake):
-    return impact.critical_orders(lake.order_book, risk_of(lake), 12)
+    return impact.critical_orders(lake.upcoming, risk_of(lake), 12)
 
 
 @query()

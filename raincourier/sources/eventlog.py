@@ -35,13 +35,14 @@ def _stop_at(progress):
     return F.element_at("path", F.least(last, F.bround(progress * last, 0).cast("int")) + 1)
 
 
-def planned_trips(book: DataFrame) -> DataFrame:
+def planned_trips(book: DataFrame, routes: DataFrame) -> DataFrame:
     """One row per planned trip. All its orders share route, wave and truck, so what
-    they share is grouped by as well, which leaves plain counts to a hash aggregate."""
-    shared = ["route_id", "city_id", "warehouse_id", "hub_id", "planned_dispatch", "arrive_at", "slip_at", "weather_min", "trip_class",
-              "planned_truck", "path", "normal_eta_h"]
-    return book.groupBy(F.col("planned_trip_id").alias("trip_id"), *shared).agg(
+    they share is grouped by as well, which leaves plain counts to a hash aggregate;
+    what the route says is joined to the trips."""
+    shared = ["route_id", "planned_dispatch", "arrive_at", "slip_at", "weather_min", "trip_class", "planned_truck"]
+    trips = book.groupBy(F.col("planned_trip_id").alias("trip_id"), *shared).agg(
         F.count("*").cast("int").alias("orders"), F.count(F.when(F.col("status") != "delivered", 1)).alias("open_orders"))
+    return trips.join(routes.select("route_id", "city_id", "warehouse_id", "hub_id", "path", "normal_eta_h"), "route_id")
 
 
 KINDS = ("ORDER_CREATED", "ORDER_ASSIGNED", "DELIVERY_COMPLETED", "VEHICLE_DISPATCHED", "DELIVERY_DELAY", "HUB_ARRIVAL", "VEHICLE_MOVEMENT", "WEATHER_EVENT")
@@ -99,7 +100,7 @@ def lifecycle_events(lake: Lake, now=None, kinds: tuple = KINDS) -> DataFrame:
         if kind in KINDS[:3]:
             parts.append(_order_events(kind, book))
         elif kind != "WEATHER_EVENT":
-            parts.append(_trip_events(kind, lake.trip_plan if now is None else planned_trips(book)))
+            parts.append(_trip_events(kind, lake.trip_plan if now is None else planned_trips(book, lake.city_routes())))
         else:
             weather = lake.hourly_rain().withColumn("key", F.concat("city_id", F.lit(":"), _iso("hour")))
             parts.append(weather.select(_event(kind, F.col("hour"), route=None, id_=F.col("key"), rain_mmph=F.col("mm"), severity=hourly_class(F.col("mm"))).alias("e")).select("e.*"))
@@ -108,7 +109,7 @@ def lifecycle_events(lake: Lake, now=None, kinds: tuple = KINDS) -> DataFrame:
 
 def open_trips(lake: Lake, now=None) -> DataFrame:
     """Trip table at `now`, straight from the plan (no event log)."""
-    plan = lake.trip_plan if now is None else planned_trips(lake.live_orders(now))
+    plan = lake.trip_plan if now is None else planned_trips(lake.live_orders(now), lake.city_routes())
     now = lake.now if now is None else clock.moment(now)
     trips = plan.filter(clock.plus_minutes(F.col("planned_dispatch"), -30) <= now)
     gone, arrived = F.col("planned_dispatch") <= now, F.col("arrive_at") <= now
