@@ -170,9 +170,12 @@ def mv_monthly(fact: DataFrame) -> DataFrame:
             .agg(*[F.sum(c).alias(c) for c in ADDITIVE], F.min("date").alias("first_day"), F.max("date").alias("last_day")))
 
 
-def by_day(fact: DataFrame, *keys: str) -> DataFrame:
-    """Daily roll-up by rain class and the keys given."""
-    return fact.groupBy(*keys, "date", "severity").agg(*[F.sum(c).alias(c) for c in ADDITIVE])
+def by_day(fact: DataFrame, of_class, *keys: str) -> DataFrame:
+    """Daily roll-up by rain class and the keys given. `of_class(delay_min, breaches,
+    orders)` gives the measures that follow from the sums of one class."""
+    summed = ("orders", "affected", "delayed", "sla_breaches", "delay_min_sum")
+    sums = fact.groupBy(*keys, "date", "severity").agg(*[F.sum(c).alias(c) for c in summed])
+    return sums.withColumns(of_class(F.col("delay_min_sum"), F.col("sla_breaches"), F.col("orders")))
 
 
 def weather_impact(fact: DataFrame) -> DataFrame:
