@@ -94,8 +94,11 @@ TRIP_FACTS = ("route_id", "dispatched", "moved", "delayed", "arrived")
 
 
 def join_trip_members(orders: DataFrame, trips: DataFrame) -> DataFrame:
-    """Fan trip facts out to the orders that were assigned before them."""
-    joined = orders.join(trips.drop("route_id"), orders["assigned.trip_id"] == trips["trip_id"], "left")
+    """Fan trip facts out to the orders that were assigned before them. Orders without
+    a trip match none and are spread by their own ids: a null would be one hot key."""
+    trip = F.col("assigned.trip_id")
+    of_trip = F.when(trip.isNotNull(), F.concat(F.lit("+"), trip)).otherwise(F.concat(F.lit("-"), "order_id"))
+    joined = orders.join(trips.drop("route_id"), of_trip == F.concat(F.lit("+"), trips["trip_id"]), "left")
     for fact in ("dispatched", "delayed", "arrived"):
         joined = joined.withColumn(fact, F.when(F.col("assigned.at") <= F.col(f"{fact}.at"), F.col(fact)))
     return joined.drop("moved", "trip_id")

@@ -29,14 +29,14 @@ HOUR_MS = 3_600_000
 
 
 def delta_writer(folder: str):
-    """foreachBatch body: latest order and trip events of the batch."""
+    """foreachBatch body: latest order and trip events of the batch. An event goes
+    into one of the two only, so each parses its own kinds and no parsed batch is
+    kept: its rows would fill the executors before anything is aggregated."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = lifecycle.with_payload(batch).persist()
-        try:
-            lifecycle.latest_order_events(parsed).write.mode("overwrite").parquet(f"{folder}/orders/batch_id={batch_id}")
-            lifecycle.latest_trip_events(parsed).write.mode("overwrite").parquet(f"{folder}/trips/batch_id={batch_id}")
-        finally:
-            parsed.unpersist()
+        own = lifecycle.with_payload(batch.filter(F.col("type").isin(*lifecycle.ORDER_TYPES)))
+        reports = lifecycle.with_payload(batch.filter(F.col("type").isin(*lifecycle.TRIP_TYPES)), *lifecycle.TRIP_FIELDS)
+        lifecycle.latest_order_events(own).write.mode("overwrite").parquet(f"{folder}/orders/batch_id={batch_id}")
+        lifecycle.latest_trip_events(reports).write.mode("overwrite").parquet(f"{folder}/trips/batch_id={batch_id}")
     return write
 
 

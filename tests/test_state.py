@@ -94,6 +94,41 @@ def test_streamed_state_in_many_batches_equals_the_batch_fold(spark, tmp_path):
     assert compacted.exceptAll(kept).count() == 0 and kept.exceptAll(compacted).count() == 0
 
 
+def test_a_batch_is_not_kept_while_its_deltas_are_written(spark, tmp_path, monkeypatch):
+    """Rows of a batch held in the executors, parsed, took all their memory on large logs."""
+    log = event(spark, [("ORDER_CREATED", 0, "o", "R", CREATED), ("ORDER_ASSIGNED", 2, "o", "R", TRIP), ("VEHICLE_DISPATCHED", 3, None, "R", TRIP),
+                        ("WEATHER_EVENT", 3, None, None, {}), ("DELIVERY_DELAY", 4, None, "R", {**TRIP, "delay_min": 30, "cause": "heavy"})])
+    kept = []
+    monkeypatch.setattr(type(log), "persist", lambda df, *_: kept.append(df) or df)
+    monkeypatch.setattr(type(log), "cache", lambda df: kept.append(df) or df)
+    order_state.delta_writer(str(tmp_path))(log, 0)
+    monkeypatch.undo()
+    assert not kept
+    for name, want in (("orders", lifecycle.latest_order_events(lifecycle.with_payload(log))), ("trips", lifecycle.latest_trip_events(lifecycle.with_payload(log)))):
+        got = spark.read.parquet(f"{tmp_path}/{name}/batch_id=0").select(*want.columns)
+        assert [str(r) for r in got.collect()] == [str(r) for r in want.collect()] and got.count() == 1
+
+
+def test_orders_without_a_trip_are_no_hot_key(spark):
+    """Of 500 orders 400 have no trip: they are spread, and match neither a trip nor each other."""
+    at = F.lit(T0)
+    trip = F.when(F.col("id") < 100, F.concat(F.lit("t"), F.col("id") % 50)).when(F.col("id") == 100, "-o1")
+    orders = spark.range(500).select(F.concat(F.lit("o"), "id").alias("order_id"), F.when(F.col("id") <= 110, F.struct(at.alias("at"), trip.alias("trip_id"))).alias("assigned"))
+    trips = spark.range(60).select(F.when(F.col("id") < 59, F.concat(F.lit("t"), "id")).alias("trip_id"), F.lit("R").alias("route_id"), F.lit(None).alias("moved"),
+                                   *[F.struct(at.alias("at")).alias(fact) for fact in ("dispatched", "delayed", "arrived")])
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = lifecycle.join_trip_members(orders, trips)
+        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 500 and max(parts) < 300
+        assert {r.order_id for r in joined.filter("dispatched IS NOT NULL").collect()} == {f"o{k}" for k in range(100)}
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def test_history_breakdowns_add_up(spark):
     data = lake(spark, SF)
     fact = data.history("route", "category").cache()
