@@ -151,7 +151,7 @@ def stream_order_state(lake):
 @query()
 def stream_state_ttl(lake):
     """Trips left in the state store after timers forgot the old ones."""
-    changes = _rocksdb(lake, lambda: _run(lake, order_state.trip_stream(_log_stream(lake, *TRIPS)), "trips", "update"))
+    changes = _rocksdb(lake, TRIPS, lambda: _run(lake, order_state.trip_stream(_log_stream(lake, *TRIPS)), "trips", "update"))
     return order_state.current_trips(changes)
 
 
@@ -172,15 +172,30 @@ def stream_late_data(lake):
     return progress.progress_digest(reports).agg(F.sum("dropped_late").alias("dropped_late"), F.sum("rows").alias("rows"))
 
 
-def _rocksdb(lake, run):
-    """Run with the RocksDB state store provider, which keyed processors need."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = lake.spark.conf.get(provider)
-    lake.spark.conf.set(provider, order_state.ROCKSDB)
+STATE_ROWS = 500_000  # events of the log per partition of a stream's state
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": order_state.ROCKSDB,
+    "spark.sql.streaming.join.stateFormatVersion": "3",  # a join has one store a partition, not four
+    # All stores of an executor share this memory; by themselves they take some 5 MB each, outside the heap.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+def _rocksdb(lake, kinds, run):
+    """Run with the RocksDB state store provider, which keyed processors need, and
+    with partitions by the size of the log's `kinds`: each is a store that every batch
+    opens and commits and that takes memory while the stream lives."""
+    parts = max(lake.spark.sparkContext.defaultParallelism, -(-lake.log(*kinds).count() // STATE_ROWS))
+    settings = STATE_STORE | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {name: lake.spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            lake.spark.conf.set(name, value)
         return run()
     finally:
-        lake.spark.conf.set(provider, before)
+        for name, value in before.items():
+            lake.spark.conf.unset(name) if value is None else lake.spark.conf.set(name, value)
 
 
 def run_ticks(lake, parts: int, root: str) -> None:
@@ -196,7 +211,7 @@ def run_ticks(lake, parts: int, root: str) -> None:
     def step(source_):
         jobs.drain([jobs.start(live_state.cohort_deltas(source_), "ticks", tick, f"{root}/checkpoint", every=None)])
 
-    _rocksdb(lake, lambda: _in_time_ranges(lake, parts, (*ORDERS, *REPORTS), step))
+    _rocksdb(lake, (*ORDERS, *REPORTS), lambda: _in_time_ranges(lake, parts, (*ORDERS, *REPORTS), step))
 
 
 @query()
@@ -219,7 +234,7 @@ def stream_interval_join(lake):
         jobs.drain([jobs.start(own, None, order_state.delta_writer(f"{root}/state"), f"{root}/orders-checkpoint", every=None),
                     jobs.start(reports, "member-reports", sinks.batch_folder(f"{root}/reports"), f"{root}/reports-checkpoint", every=None)])
 
-    _rocksdb(lake, lambda: _in_time_ranges(lake, 3, (*ORDERS, *REPORTS), step))
+    _rocksdb(lake, (*ORDERS, *REPORTS), lambda: _in_time_ranges(lake, 3, (*ORDERS, *REPORTS), step))
     orders, reports = order_state.read_facts(lake.spark, f"{root}/state")[0], lake.spark.read.schema(live_state.REPORT_ROWS).parquet(f"{root}/reports")
     return live_state.order_view(orders, reports, lake.routes)
 

@@ -83,6 +83,33 @@ def test_join_state_is_dropped_by_its_range(spark, tmp_path):
     assert {(r.type, r["count"]) for r in out.groupBy("type").count().collect()} == {("VEHICLE_DISPATCHED", 200)}
 
 
+def test_a_join_keeps_few_stores_in_bounded_memory(spark, tmp_path):
+    """A small log in a session of 40 partitions: a store for each that the log needs, not 160. A second range starts from them."""
+    schema = "event_id string, type string, sim_time timestamp, emitted_at timestamp, order_id string, city_id string, route_id string, payload string"
+    out, checkpoint, seen = str(tmp_path / "out"), str(tmp_path / "checkpoint"), []
+
+    def batch(kind, at, orders):
+        rows = [(f"{kind}{k}", kind, at, at, f"o{k}" if kind == "ORDER_ASSIGNED" else None, "C", "R", '{"trip_id":"t%d"}' % k) for k in orders]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+
+    def step():
+        batch(*((("ORDER_ASSIGNED", T0, range(30)), ("VEHICLE_DISPATCHED", T0 + timedelta(hours=2), range(20)))[len(seen)]))
+        source = lambda: readers.file_stream(spark, str(tmp_path / "log"), spark.read.parquet(str(tmp_path / "log")).schema)
+        jobs.drain([jobs.start(live_state.member_reports(source), "join", sinks.batch_folder(out), checkpoint, every=None)])
+        seen.append(spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "false"))
+
+    data, before = SimpleNamespace(spark=spark, log=lambda *kinds: spark.range(stream_queries.STATE_ROWS * 9 + 1)), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream_queries._rocksdb(data, (), lambda: (step(), step()))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40" and spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", None) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = {f.rpartition("/")[0] for f in glob.glob(f"{checkpoint}/**/state/0/**/*.zip", recursive=True)}
+    assert len(stores) == max(10, spark.sparkContext.defaultParallelism) and seen == ["true", "true"]
+    assert sorted(r.order_id for r in spark.read.parquet(out).collect()) == sorted(f"o{k}" for k in range(20))
+
+
 def test_ticks_equal_a_fold_of_the_whole_log(spark, tmp_path):
     data = lake(spark, SF)
     stream_queries.run_ticks(data, 4, str(tmp_path))
