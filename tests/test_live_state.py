@@ -118,6 +118,20 @@ def test_ticks_equal_a_fold_of_the_whole_log(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 0
 
 
+def test_ticks_of_a_small_log_open_few_stores(spark, tmp_path):
+    """Each of the session's 40 partitions cost every tick five stores and a Python worker's start; the log asks for one a core."""
+    data, before = lake(spark, SF), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        stream_queries.run_ticks(data, 1, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = {f.rpartition("/")[0] for f in glob.glob(f"{tmp_path}/checkpoint/**/state/*/**/*.zip", recursive=True)}
+    assert 0 < len(stores) <= 2 * spark.sparkContext.defaultParallelism  # of the join and of the orders
+    got, want = trips.within_horizon(live_state.current_cohorts(spark, f"{tmp_path}/views"), data.now), trips.cohorts(data.upcoming, data.now)
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and want.count() == got.count() > 0
+
+
 def _state(*events):
     s = dict.fromkeys(live_state._FIELDS) | {"reports": []}
     cohorts = []
