@@ -178,7 +178,7 @@ STATE_STORE = {
     "spark.sql.streaming.join.stateFormatVersion": "3",  # a join has one store a partition, not four
     # All stores of an executor share this memory; by themselves they take some 5 MB each, outside the heap.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
